@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,16 +21,6 @@ QUESTION_DUPLICATE = 0.94
 QUESTION_DUPLICATE_RETRY = 0.98
 
 
-def reaches(left: str, right: str, limit: float) -> bool:
-    """Whether ratio(left, right) >= limit; both quick ratios are upper bounds."""
-    matcher = SequenceMatcher(None, left, right)
-    return (
-        matcher.real_quick_ratio() >= limit
-        and matcher.quick_ratio() >= limit
-        and matcher.ratio() >= limit
-    )
-
-
 def similarity_at_least(limit: float):
     """Pandas UDF (left, right) -> ratio where it reaches `limit`, else NULL."""
 
@@ -46,12 +37,42 @@ def similarity_at_least(limit: float):
     return ratio
 
 
+def _letters(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    return np.bincount(codes % 128, minlength=128)
+
+
 def fresh_positions(keys: list[str], limit: float, accepted: list[str] | None = None) -> list[int]:
-    """Positions kept by a greedy pass that drops keys close to one kept earlier."""
-    kept, seen = [], list(accepted or [])
+    """Positions kept by a greedy pass that drops keys close to one kept earlier.
+
+    ratio(key, old) is at most twice the letters both have over their joint length.
+    That bound is taken against all kept keys at once; only those it cannot rule
+    out are matched, each by the one matcher prepared for it.
+    """
+    size = len(keys) + len(accepted or [])
+    lengths, letters = np.zeros(size), np.zeros((size, 128), dtype=np.int64)
+    matchers: list[SequenceMatcher] = []
+    kept: list[int] = []
+
+    def keep(key: str, count: np.ndarray) -> None:
+        lengths[len(matchers)], letters[len(matchers)] = len(key), count
+        matchers.append(SequenceMatcher(None, "", key))
+
+    def repeats(key: str, count: np.ndarray) -> bool:
+        n = len(matchers)
+        shared = np.minimum(letters[:n], count).sum(axis=1)
+        for old in np.flatnonzero(2.0 * shared >= limit * (lengths[:n] + len(key))):
+            matchers[old].set_seq1(key)
+            if matchers[old].ratio() >= limit:
+                return True
+        return False
+
+    for key in accepted or []:
+        keep(key, _letters(key))
     for position, key in enumerate(keys):
-        if key and not any(reaches(key, old, limit) for old in seen):
-            seen.append(key)
+        count = _letters(key)
+        if key and not repeats(key, count):
+            keep(key, count)
             kept.append(position)
     return kept
 

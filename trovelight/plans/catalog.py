@@ -347,8 +347,8 @@ def integrity_report(spark, folder):
         F.size(T.word_tokens(F.col("body"))).alias("token_count"),
     )
     pieces = sliding_chunks(docs, T.word_tokens(F.col("body")), size=256, overlap=32)
-    pieces = pieces.withColumnRenamed("n_tokens", "token_count")
-    return I.corpus_violations(cut_lineage(docs), pieces, 100, 800)
+    pieces = pieces.select("chunk_id", "document_id", F.col("n_tokens").alias("token_count"))
+    return I.corpus_violations(cut_lineage(docs), cut_lineage(pieces), 100, 800)
 
 
 # --- ranking ----------------------------------------------------------------------------------
