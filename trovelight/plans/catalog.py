@@ -374,7 +374,7 @@ def bm25_idf(spark, folder):
 def bm25_top10(spark, folder):
     index = build_index(chunks(spark, folder), ())
     queries = prepare_queries(benchmark_queries(spark, folder), index)
-    return grid.top_by_list(queries, index.items, index.units, ()).select(
+    return grid.top_by_list(queries, index.items, ()).select(
         "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score")
     )
 
@@ -411,7 +411,7 @@ def dense_top10(spark, folder):
         F.array().cast("array<string>").alias("tokens"),
         F.lit(1.0).alias("norm"),
     )
-    found = grid.top_by_list(queries, items, items.select("unit"), (VECTORS_ONLY,))
+    found = grid.top_by_list(queries, items, (VECTORS_ONLY,))
     return found.filter(F.col("list") == VECTORS_ONLY.name).select(
         "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score")
     )
