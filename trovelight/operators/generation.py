@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -64,26 +65,32 @@ class SentenceGenerator:
 
     def __call__(self, task: str, content: str, seed: int) -> dict:
         if task == FACTS_TASK:
-            source = content
-            found = [s for s in re.split(r"(?<=[.!?])\s+", " ".join(source.split())) if s]
+            found = [s for s in re.split(r"(?<=[.!?])\s+", " ".join(content.split())) if s]
             return {"facts": [{"fact": s, "evidence": s} for s in found]}
         listed = re.findall(r"(?m)^\[(\d+)\] (.*)$", content)
         wanted = int(re.findall(r"(\d+) questions", content)[-1])
-        turns = [(round_, *item) for round_ in range(wanted) for item in listed]
-        start = (seed - SEED) * wanted
-        return {
-            "questions": [
-                {"question": f"What of {round_} {fact}?", "source_fact_ids": [number]}
-                for round_, number, fact in turns[start : start + wanted]
-            ]
-        }
+        attempt = seed - SEED
+        offered = [
+            {"question": self._ask(fact, turn), "source_fact_ids": [number]}
+            for turn in range(wanted + ATTEMPTS)
+            for number, fact in listed
+        ]
+        unused = [q for q in offered if q["question"] not in content]
+        return {"questions": unused[attempt * wanted : (attempt + 1) * wanted]}
+
+    @staticmethod
+    def _ask(fact: str, turn: int) -> str:
+        """A fact as a question; each turn begins at another word of it."""
+        words = fact.split()
+        at = turn * len(words) // 5 % len(words)
+        return f"{turn + 1}: what of {' '.join(words[at:] + words[:at])}?"
 
 
 class ChatGenerator:
     """Chat endpoint behind a plain `send(messages, temperature, seed) -> str`."""
 
-    def __init__(self, send, temperature: float = 0.3, attempts: int = 6):
-        self.send, self.temperature, self.attempts = send, temperature, attempts
+    def __init__(self, send, temperature: float = 0.3, attempts: int = 6, pause=time.sleep):
+        self.send, self.temperature, self.attempts, self.pause = send, temperature, attempts, pause
 
     def __call__(self, task: str, content: str, seed: int) -> dict:
         tries = iter(range(self.attempts))
@@ -97,7 +104,7 @@ class ChatGenerator:
             ]
             return parse_reply(self.send(messages, self.temperature, seed + attempt))
 
-        return with_retries(once, self.attempts, jitter=1.0)
+        return with_retries(once, self.attempts, jitter=1.0, pause=self.pause)
 
 
 def parse_reply(reply: str) -> dict:

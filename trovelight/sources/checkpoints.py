@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trovelight.operators.corpora import upsert_condition
 
@@ -32,7 +33,7 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_checkpoint(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
@@ -59,7 +60,7 @@ def compact(
 
 def store_metrics(spark: SparkSession, path: str, target: str, fresh: DataFrame) -> DataFrame:
     """Upsert condition rows by name into a stored metrics table."""
-    stored = read_checkpoint(spark, path, fresh.schema.simpleString()[7:-1])
+    stored = read_checkpoint(spark, path, fresh.schema)
     upsert_condition(stored, fresh).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
