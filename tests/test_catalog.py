@@ -42,3 +42,15 @@ def test_fuzzy_location_runs_over_everything(spark, folder):
 def test_offline_generation_has_no_failures(spark, folder):
     made = queries()["generate_offline"](spark, folder)
     assert made.filter("error IS NOT NULL OR n_bounded < 5").count() == 0
+
+
+def test_crowded_documents_change_nothing(spark, folder):
+    """Scoring some documents' questions apart gives the same ranking."""
+    from trovelight.plans import catalog as C
+    from trovelight.plans.retrieval import retrieve
+
+    conditions = (C.BOTH_BOUNDED, C.LENIENT_UNBOUNDED)
+    asked, pieces = C.benchmark_queries(spark, folder), C.chunks(spark, folder)
+    plain = retrieve(asked, pieces, conditions).collect()
+    apart = retrieve(asked, pieces, conditions, crowd=8).collect()
+    assert sorted(plain) == sorted(apart)

@@ -635,14 +635,10 @@ def near_duplicate_facts(spark, folder):
 
 
 def near_duplicate_questions(spark, folder):
-    """The same over a conversation's turns, at the first-attempt question limit."""
-    turns = question_rows(spark, folder).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", T.normalize(F.col("text")).alias("key")))).alias("t")
-    )
+    """The same within each chunk, at the first-attempt question limit."""
+    keys = _facts(spark, folder).select("chunk_id", F.col("facts.key").alias("keys"))
     kept = S.keep_fresh(S.QUESTION_DUPLICATE)("keys")
-    return turns.select("conv_id", F.col("t.key").alias("keys")).select(
-        "conv_id", F.size("keys").alias("n_turns"), F.array_join(kept, ",").alias("kept")
-    )
+    return keys.select("chunk_id", F.size("keys").alias("n_questions"), F.array_join(kept, ",").alias("kept"))
 
 
 def resume_todo(spark, folder):
