@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
 from trovelight.session import local_session
 
@@ -14,3 +17,11 @@ def spark():
 @pytest.fixture(scope="session")
 def folder():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def ship_test_module(request):
+    """Workers cannot import test modules; send what they define by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[request.module.__name__])
+    yield
+    cloudpickle.unregister_pickle_by_value(sys.modules[request.module.__name__])

@@ -55,6 +55,47 @@ def sliding_chunks(
     )
 
 
+def encoded_chunks(
+    documents: DataFrame,
+    tokenizer,
+    document_id: str = "document_id",
+    body: str = "body",
+    keep: tuple[str, ...] = (),
+    size: int = CHUNK_TOKENS,
+    overlap: int = OVERLAP_TOKENS,
+) -> DataFrame:
+    """`sliding_chunks` for a tokenizer whose windows must be decoded by itself."""
+    kind = "array<struct<token_start:int,token_end:int,content:string>>"
+
+    @F.pandas_udf(kind)
+    def cut(bodies: pd.Series) -> pd.Series:
+        def one(text: str) -> list[dict]:
+            ids = tokenizer.encode(text or "")
+            starts = range(0, max(len(ids) - overlap, 1), size - overlap) if len(ids) else ()
+            return [
+                {
+                    "token_start": at,
+                    "token_end": min(at + size, len(ids)),
+                    "content": tokenizer.decode(ids[at : at + size]).strip(),
+                }
+                for at in starts
+            ]
+
+        return bodies.map(one)
+
+    windows = F.posexplode(cut(F.col(body))).alias("chunk_position", "_w")
+    return documents.select(document_id, *keep, windows).select(
+        F.format_string("%s::c%02d", F.col(document_id), "chunk_position").alias("chunk_id"),
+        document_id,
+        *keep,
+        "chunk_position",
+        "_w.token_start",
+        "_w.token_end",
+        (F.col("_w.token_end") - F.col("_w.token_start")).alias("n_tokens"),
+        "_w.content",
+    )
+
+
 def pack_sentences(units: list[tuple[int, str, int]], size: int, overlap: int) -> list[list[int]]:
     """Greedy windows of unit positions; a new window opens with a short tail of the last."""
     windows: list[list[int]] = []

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovelight.functions import text as T
 from trovelight.operators.ordinals import first_by_key
 
 # Accepted length range, preferred length, corpus size.
@@ -112,19 +111,3 @@ def corpus_summary(documents: DataFrame, tokens: str = "token_count") -> DataFra
         F.max(tokens).alias("maximum_document_tokens"),
         F.round(F.avg(tokens), 2).alias("mean_document_tokens"),
     )
-
-
-def audit_pages(
-    pages: DataFrame, title: Column, body: Column, token_count: Column
-) -> DataFrame:
-    """Candidate table of the corpus build: one row per fetched page."""
-    return pages.withColumn("title", title).withColumn("body", body).select(
-        *pages.columns,
-        "title",
-        "body",
-        T.category_for(F.col("url")).alias("category"),
-        token_count.alias("token_count"),
-        F.length("body").alias("character_count"),
-        T.body_digest(F.col("body")).alias("digest"),
-        length_status(token_count).alias("status"),
-    )
