@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -38,6 +40,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="trovelight-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(shared)
         shared = spark.sparkContext.getCheckpointDir()
     path = f"{shared.rstrip('/')}/stage-{uuid4().hex}"
