@@ -31,8 +31,10 @@ def sliding_chunks(
     name = F.col(label or document_id)
     words = documents.select(document_id, *keep, name.alias("_label"), tokens.alias("_tokens"))
     last_start = F.greatest(F.size("_tokens") - F.lit(overlap + 1), F.lit(0))
+    # No filter on the token count: it would be pushed below and tokenise twice.
+    starts = F.when(F.size("_tokens") > 0, F.sequence(F.lit(0), last_start, F.lit(stride)))
     windows = F.transform(
-        F.sequence(F.lit(0), last_start, F.lit(stride)),
+        starts,
         lambda start: F.struct(
             start.alias("token_start"),
             F.least(start + size, F.size("_tokens")).alias("token_end"),
@@ -40,8 +42,7 @@ def sliding_chunks(
         ),
     )
     return (
-        words.filter(F.size("_tokens") > 0)
-        .select(document_id, *keep, "_label", F.posexplode(windows).alias("chunk_position", "_w"))
+        words.select(document_id, *keep, "_label", F.posexplode(windows).alias("chunk_position", "_w"))
         .select(
             F.format_string("%s::c%02d", "_label", "chunk_position").alias("chunk_id"),
             F.col(document_id),

@@ -82,11 +82,16 @@ def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _written(docs: DataFrame) -> DataFrame:
+    """Documents with any sentence; tested on the raw text, before it is split."""
+    return docs.filter(F.col("text").rlike(r"[^\s\p{Z}]"))
+
+
 def two_hop_queries(spark: SparkSession, folder: str) -> DataFrame:
     """A good document and the one after it: a middle sentence of each is evidence,
     both together are the question."""
     said = F.filter(T.sentences(T.collapse_space(F.col("text"))), lambda s: s != "")
-    middle = documents(spark, folder).withColumn("s", said).filter(F.size("s") > 0).select(
+    middle = _written(documents(spark, folder)).withColumn("s", said).select(
         "doc_id",
         "document_id",
         "lang",
@@ -143,7 +148,7 @@ def facts_to_locate(spark: SparkSession, folder: str) -> DataFrame:
     """Three facts per document: its middle sentence, its first sentence with the
     last word changed, and the middle sentence of the following document."""
     said = F.filter(T.sentences(T.collapse_space(F.col("text"))), lambda s: s != "")
-    base = documents(spark, folder).withColumn("s", said).filter(F.size("s") > 0).select(
+    base = _written(documents(spark, folder)).withColumn("s", said).select(
         "doc_id",
         "document_id",
         F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("middle"),
@@ -772,7 +777,8 @@ def balanced_sequence(spark, folder):
 
 
 def question_specs(spark, folder):
-    return Q.question_specs(cut_lineage(titled_documents(spark, folder)))
+    specs = Q.question_specs(cut_lineage(titled_documents(spark, folder)))
+    return specs.withColumn("place", F.col("place").cast("long"))
 
 
 def canonical_questions(spark, folder):

@@ -311,6 +311,20 @@ def _alone(name: str) -> str:
     FROM {p}rank QUALIFY rank <= 10)"""
 
 
+# Every document related to another, in order (see `neighbors`).
+RELATED = f"""
+term_sets AS (SELECT document_id, {term_list("title || ' ' || body")} AS ts, {term_list('title')} AS tt FROM titled),
+held AS (SELECT document_id, unnest(ts) AS term, tt FROM term_sets),
+term_df AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+weighed AS (SELECT document_id, term, ln((SELECT count(*) + 1 FROM titled) / (df + 1)) + 1 AS weight,
+    row_number() OVER (PARTITION BY document_id ORDER BY df, term) AS r, list_contains(tt, term) AS in_title
+    FROM held JOIN term_df USING (term)),
+shared AS (SELECT f.document_id, o.document_id AS neighbor, round(sum(f.weight), 9) AS score FROM weighed f JOIN held o
+    ON f.term = o.term AND f.document_id <> o.document_id WHERE f.r <= 120 OR f.in_title GROUP BY ALL),
+related AS (SELECT document_id, neighbor, score, count(*) OVER (PARTITION BY document_id) AS n_related,
+    row_number() OVER (PARTITION BY document_id ORDER BY score DESC, neighbor) AS rank FROM shared)"""
+
+
 ORACLE = {
     "tokenize_ascii": f"""
 SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, t[1] AS first_token,
@@ -494,15 +508,31 @@ SELECT item_id, dim, value FROM (SELECT item_id, unnest(range(0, 64)) AS dim, un
 WITH {hashed("(SELECT * FROM conversations WHERE role = 'user')", 'conv_id, turn', 'text', 'e')}
 SELECT conv_id, turn, list_dot_product(v, v) AS squared_length FROM e""",
     "neighbors": f"""
-WITH {TITLED}, t AS (SELECT document_id, {term_list("title || ' ' || body")} AS ts, {term_list('title')} AS tt FROM titled),
-p AS (SELECT document_id, unnest(ts) AS term, tt FROM t), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-w AS (SELECT document_id, term, ln((SELECT count(*) + 1 FROM titled) / (df + 1)) + 1 AS weight,
-    row_number() OVER (PARTITION BY document_id ORDER BY df, term) AS r, list_contains(tt, term) AS in_title
-    FROM p JOIN df USING (term)),
-s AS (SELECT f.document_id, o.document_id AS neighbor, round(sum(f.weight), 9) AS score FROM w f JOIN p o
-    ON f.term = o.term AND f.document_id <> o.document_id WHERE f.r <= 120 OR f.in_title GROUP BY ALL)
-SELECT document_id, neighbor, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, neighbor) AS rank,
-    round(score, 6) AS score, count(*) OVER (PARTITION BY document_id) AS n_related FROM s QUALIFY rank <= 10""",
+WITH {TITLED}, {RELATED}
+SELECT document_id, neighbor, rank, round(score, 6) AS score, n_related FROM related WHERE rank <= 10""",
+    "question_specs": f"""
+WITH {TITLED}, {RELATED},
+anchors AS (SELECT document_id, row_number() OVER (ORDER BY md5('20260817:' || document_id), document_id) - 1 AS anchor
+    FROM titled),
+types AS (SELECT * FROM (VALUES ('inference_query', 816), ('comparison_query', 856), ('temporal_query', 583)) v(label, t)),
+hops AS (SELECT * FROM (VALUES (2, 1169), (3, 774), (4, 312)) v(label, t)),
+type_at AS (SELECT label AS question_type, row_number() OVER (ORDER BY (t - j) / t DESC, label DESC) - 1 AS position
+    FROM (SELECT label, t, unnest(range(0, t)) AS j FROM types)),
+hop_at AS (SELECT label AS h, row_number() OVER (ORDER BY (t - j) / t DESC, label DESC) - 1 AS position
+    FROM (SELECT label, t, unnest(range(0, t)) AS j FROM hops)),
+n AS (SELECT count(*) AS n FROM titled), totals AS (SELECT document_id, max(n_related) AS m FROM related GROUP BY ALL),
+slots AS (SELECT position, question_type, h, a.document_id, m, (position // (SELECT n FROM n)) % greatest(coalesce(m, 1), 1) AS turn
+    FROM type_at JOIN hop_at USING (position) JOIN anchors a ON a.anchor = position % (SELECT n FROM n)
+    LEFT JOIN totals USING (document_id)),
+offers AS (SELECT position, document_id, 0 AS p FROM slots
+    UNION ALL SELECT position, neighbor, 1 + (rank - 1 - turn + m) % m FROM slots JOIN related USING (document_id)
+    UNION ALL SELECT position, anchors.document_id, 1000000000 + anchors.anchor FROM slots CROSS JOIN anchors WHERE anchors.anchor < 4),
+best AS (SELECT position, document_id, min(p) AS p FROM offers GROUP BY ALL),
+placed AS (SELECT position, document_id, row_number() OVER (PARTITION BY position ORDER BY p) - 1 AS place FROM best)
+SELECT printf('yq%05d', position) AS query_id, question_type, place, p.document_id FROM placed p JOIN slots USING (position)
+WHERE place < h
+UNION ALL SELECT printf('yq%05d', 2255 + i), 'null_query', 0, document_id
+FROM range(0, 301) r(i) JOIN anchors ON anchor = (i * 7) % (SELECT n FROM n)""",
     "best_excerpt": f"""
 WITH {TITLED}, {windows('titled', 'body', 'c', 128, 16)},
 n AS (SELECT document_id, {term_list('title')} AS tt, substr(document_id, 2)::BIGINT AS n FROM titled),
