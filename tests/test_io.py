@@ -56,9 +56,11 @@ def test_sitemap_and_html(spark, tmp_path):
     assert [(r.url, r.last_modified) for r in rows] == [("http://a", "2024"), ("http://b", "")]
     inline = spark.createDataFrame([(xml,)], "x string").select(F.inline(R.sitemap_entries(F.col("x")))).collect()
     assert [(r.url, r.last_modified) for r in inline] == [("http://a", "2024"), ("http://b", "")]
-    (tmp_path / "1.html").write_bytes(b"<p>ok")
+    escaped = spark.createDataFrame([("<urlset><url><loc>http://a?x=1&amp;y=2</loc></url></urlset>",)], "x string")
+    assert escaped.select(F.inline(R.sitemap_entries(F.col("x")))).first().url == "http://a?x=1&y=2"
+    (tmp_path / "1.html").write_bytes(b"<p>ok\xff")
     (tmp_path / "2.html").write_bytes(b"")
-    assert [r.html for r in R.read_html(spark, str(tmp_path)).collect()] == ["<p>ok"]
+    assert [r.html for r in R.read_html(spark, str(tmp_path)).collect()] == ["<p>ok\ufffd"]
 
 
 def test_fetch_pages(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovelight.functions import markup as H
@@ -64,7 +64,8 @@ def build_corpus(
 ) -> Corpus:
     """`pages`: ordinal (inventory place), url, last_modified, html, error.
 
-    Pages without html are audited as download errors.
+    Pages as fetched carry bytes: see `sources.readers.page_text`. Pages without
+    html are audited as download errors.
     """
     arrived = pages.filter(F.col("html").isNotNull())
     cleaned = clean_pages(arrived, inside, site_suffix, tokens).withColumn(

@@ -62,7 +62,10 @@ def sitemap_entries(payload: Column) -> Column:
     blocks = F.regexp_extract_all(payload, F.lit(r"(?s)<(?:\w+:)?url>(.*?)</(?:\w+:)?url>"), F.lit(1))
 
     def inner(block: Column, tag: str) -> Column:
-        return F.trim(F.regexp_extract(block, rf"(?s)<(?:\w+:)?{tag}>(.*?)</(?:\w+:)?{tag}>", 1))
+        text = F.regexp_extract(block, rf"(?s)<(?:\w+:)?{tag}>(.*?)</(?:\w+:)?{tag}>", 1)
+        for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+        return F.trim(text)
 
     rows = F.transform(
         blocks, lambda b: F.struct(inner(b, "loc").alias("url"), inner(b, "lastmod").alias("last_modified"))
@@ -81,10 +84,15 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     return loaded.filter(F.coalesce("url", F.lit("")) != "")
 
 
+def page_text(content: Column) -> Column:
+    """UTF-8 bytes of a page as text; undecodable bytes become U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """Cached pages: path and page text; undecodable bytes become U+FFFD."""
+    """Cached pages: path and page text; empty files do not count as cached."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
-    return files.filter(F.col("length") > 0).select("path", F.decode("content", "UTF-8").alias("html"))
+    return files.filter(F.col("length") > 0).select("path", page_text(F.col("content")).alias("html"))
 
 
 def _as_struct(schema: str) -> str:
