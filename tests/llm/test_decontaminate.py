@@ -45,9 +45,10 @@ def test_against_all_windows(spark):
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(body)))
     docs += [(3, docs[3][1]), (3, "another text zz-yy"), (None, docs[5][1]), (200, None), (201, "")]
     d, b = frames(spark, docs, items)
-    found = sorted((tuple(r) for r in decontaminate.hits(d, b).collect()), key=str)
-    assert [(*r[:4], list(r[4]), r[5]) for r in found] == brute(docs, items)
-    clean = decontaminate.keep_clean(d, b)
+    for block in (decontaminate.BLOCK, 40):
+        found = sorted((tuple(r) for r in decontaminate.hits(d, b, block=block).collect()), key=str)
+        assert [(*r[:4], list(r[4]), r[5]) for r in found] == brute(docs, items)
+    clean = decontaminate.keep_clean(d, b, block=60)
     assert clean.columns == d.columns
     assert sorted((str(r.doc_id), r.text) for r in clean.collect() if r.text) == sorted((str(i), t) for (i, t) in docs if t and not brute([(i, t)], items)[0][5])
 
