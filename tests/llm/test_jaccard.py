@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trovelight.llm import jaccard
@@ -81,20 +82,32 @@ def test_every_link_shares_a_bucket():
             assert sum(int(x).bit_count() for x in sketch[0] ^ sketch[1]) <= n + m - 2 * inner
 
 
-def test_shared_rows_stream(spark):
-    import pyarrow as pa
-
+def test_shared_rows_stream():
     rng = np.random.default_rng(2)
     key, node = rng.integers(0, 40, 300), rng.integers(0, 4, 300)
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    rank = jaccard.ranked(key.view(np.uint64), node.view(np.uint64)).view(np.int64)
+    order = np.lexsort((rank, key))
+    key, node, rank = key[order], node[order], rank[order]
+    by, first = {}, {}
+    for k, x in zip(key.tolist(), node.tolist(), strict=True):
+        by.setdefault(k, set()).add(x)
+        first.setdefault(k, x)
     for step in (1, 3, 300):
-        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(node[i : i + step])], ["key", "node"]) for i in range(0, 300, step))
+        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(rank[i : i + step])], ["key", "rank"]) for i in range(0, 300, step))
         found = [tuple(r.values()) for b in jaccard._shared(batches) for r in b.to_pylist()]
-        by = {}
-        for k, x in zip(key.tolist(), node.tolist(), strict=True):
-            by.setdefault(k, set()).add(x)
-        assert sorted(found) == sorted((k, x, min(v)) for k, v in by.items() if len(v) > 1 for x in v)
+        assert sorted(found) == sorted((k, x, first[k]) for k, v in by.items() if len(v) > 1 for x in v)
+
+
+def test_shingles_are_those_of_the_words():
+    texts = ["", None, "a", " a ", "A b", "b a", "a b c d e", "a  b\nc d e f\x0ba", "é É ß \x1c x y z", "a b c d", "a b c d e a b c d e", "x" * 5000 + " y z", "ab c d e f", "a bc d e f", "\t", "end"]
+    array = pa.array(["skip", *texts, "skip"])[1:-1]
+    tokens, size = jaccard.shingles(array)
+    assert size.tolist() == [len(sets(t)) for t in texts]
+    ends = np.cumsum(size)
+    for t, a, b in zip(texts, ends - size, ends, strict=True):
+        for other, c, d in zip(texts, ends - size, ends, strict=True):
+            assert len(set(tokens[a:b]) & set(tokens[c:d])) == len(sets(t) & sets(other)), (t, other)
+    assert len(jaccard.shingles(pa.array([], pa.string()))[0]) == 0
 
 
 def test_keep_one(spark):

@@ -16,8 +16,9 @@ t that is at most D = (1 - t) / (1 + t) of the sum of the sizes.
 * Verification. Sizes of intersections of the full sets.
 
 Sets, not documents, are joined: copies share one node. In each bucket the members
-are first held against one head, which links groups of thousands of near copies
-without their pairs; only buckets whose members then still lie in different
+are first held against one head, by one of 32 orders that the bucket's key chooses. Near
+copies share many buckets and so meet many heads, which links groups of thousands without
+their pairs; only buckets whose members then still lie in different
 components are joined with themselves, across components, behind the size and
 Hamming bounds. Components are found by contracting edges towards the
 smaller of two random node numbers, a logarithmic number of rounds.
@@ -35,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelight.llm.common import BLANK, ascii_lower, col, free_name, let, pieces
+from trovelight.llm.common import col, free_name
 from trovelight.session import cut_lineage
 
 WORDS = 5
@@ -48,17 +50,6 @@ SKETCH = 8  # longs
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: Column, words: int = WORDS) -> Column:
-    """Distinct hashes of runs of words; one of the whole text if it is shorter."""
-
-    def runs(w: Column) -> Column:
-        full = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, words))))
-        short = F.array(F.xxhash64(F.array_join(w, " ")))
-        return F.when(F.size(w) == 0, F.array().cast("array<long>")).when(F.size(w) < words, short).otherwise(F.array_distinct(full))
-
-    return let(pieces(ascii_lower(text), BLANK), runs)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,10 +57,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _flat(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all rows one after the other, and the size of each row's set."""
-    lists = batch.column(at)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.diff(lists.offsets.to_numpy())
+#: Bytes of UTF-8 with A-Z lowered, and which of them part words.
+LOWERED = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
+BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2^64
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
+PLACE = mix(np.arange(1, 64, dtype=np.uint64) * GOLD + np.uint64(7)) | np.uint64(1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts one after the other, and how many each text has.
+
+    A word's hash is a difference of prefix sums over the bytes of all texts, so no
+    step runs word by word.
+    """
+    texts = texts.fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~BLANKS[raw]
+    before = np.append(False, inside[:-1])
+    edges = ends[:-1][ends[:-1] < len(raw)]
+    before[edges] = False  # a text's first byte starts a word
+    start = np.flatnonzero(inside & ~before)
+    after = np.append(inside[1:], False)
+    after[edges[edges > 0] - 1] = False
+    stop = np.flatnonzero(inside & ~after) + 1
+    total = np.concatenate(([np.uint64(0)], np.cumsum(BYTE[LOWERED[raw]] * _powers(BASE, len(raw)), dtype=np.uint64)))
+    word = mix((total[stop] - total[start]) * _powers(pow(BASE, -1, 2**64), len(raw))[start] + (stop - start).astype(np.uint64) * GOLD)
+    doc = np.searchsorted(ends, start, "right") - 1
+    count = np.bincount(doc, minlength=len(texts))
+    first = np.cumsum(count) - count
+    runs = np.zeros(max(0, len(word) - words + 1), np.uint64)
+    for k in range(words):
+        runs += word[k : k + len(runs)] * PLACE[k]
+    runs = mix(runs)
+    out = []
+    for a, n in zip(first.tolist(), count.tolist(), strict=True):
+        if n >= words:
+            out.append(np.unique(runs[a : a + n - words + 1]))
+        else:  # the whole sequence; its length keeps it apart from longer ones
+            short = (word[a : a + n] * PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + PLACE[words + n]
+            out.append(mix(short) if n else runs[:0])
+    return (np.concatenate(out) if out else runs[:0]), np.array([len(x) for x in out], np.int64)
 
 
 def nodes_of(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +172,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of some million tokens at most, or of one longer row."""
-    ends = np.cumsum(np.diff(batch.column(at).offsets.to_numpy()))
+def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some megabytes of text at most, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
@@ -149,35 +185,40 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterator[p
 
 def described(docs: DataFrame) -> DataFrame:
     """Of `docs` (doc_id, text): doc_id, node, n, s0..s7 (the sketch)."""
-    sets = docs.select("doc_id", shingles(F.col("text")).alias("t"))
-    kind = sets.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 1):
-                node, sketch = nodes_of(*(held := _flat(part, 1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), _signed(node), pa.array(held[1], pa.int32()), *(_signed(sketch[:, i]) for i in range(SKETCH))], ["doc_id", "node", "n", *names])
+                tokens, size = shingles(part.column(1))
+                node, sketch = nodes_of(tokens, size)
+                yield pa.RecordBatch.from_arrays([part.column(0), _signed(node), pa.array(size, pa.int32()), *(_signed(sketch[:, i]) for i in range(SKETCH))], ["doc_id", "node", "n", *names])
 
-    return sets.mapInArrow(run, f"doc_id {kind}, node long, n int, {', '.join(f'{s} long' for s in names)}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, {', '.join(f'{s} long' for s in names)}")
+
+
+def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A node's place in its bucket's order: one of 32 orders, by the key, so that buckets have different heads. Its own inverse."""
+    return node ^ mix(key & np.uint64(31))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """key, node: the buckets of every document's set."""
+    """key, rank: the buckets of every document's set, with the node in its rank's dress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0):
-                tokens, size = _flat(part, 0)
+                tokens, size = shingles(part.column(0))
                 node, _ = nodes_of(tokens, size)
                 row, key = signatures(tokens, size)
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(node[row])], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([_signed(key), _signed(ranked(key, node[row]))], ["key", "rank"])
 
-    return docs.select(shingles(F.col("text")).alias("t")).mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(run, "key long, rank long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node, those whose key has several nodes, with the first of these as head.
+    """Of rows sorted by key and rank, those whose key has several nodes, with the first of these as head.
 
     One row is held back between batches, so a key of any size streams through.
     """
@@ -199,7 +240,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not last:
             head, more, held = heads[-1], bool(several[-1]), (key[-1:], node[-1:])
             # The last row waits: whether its key has another node may show in the next batch.
-        return pa.RecordBatch.from_arrays([pa.array(key[:stop][emit]), pa.array(node[:stop][emit]), pa.array(heads[run][:stop][emit])], ["key", "node", "head"])
+        key, found = key[:stop][emit].view(np.uint64), (x[:stop][emit].view(np.uint64) for x in (node, heads[run]))
+        return pa.RecordBatch.from_arrays([_signed(key), *(_signed(ranked(key, x)) for x in found)], ["key", "node", "head"])
 
     for batch in batches:
         if batch.num_rows:
@@ -210,9 +252,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part(*held, True)
 
 
-def shared_buckets(keyed: DataFrame, rows_per_task: int = 400_000) -> DataFrame:
+def shared_buckets(keyed: DataFrame) -> DataFrame:
     """key, node, head of the buckets that more than one set falls into."""
-    met = keyed.repartition("key").sortWithinPartitions("key", "node")
+    met = keyed.repartition("key").sortWithinPartitions("key", "rank")
     return met.mapInArrow(_shared, "key long, node long, head long")
 
 
@@ -244,10 +286,11 @@ def _with_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0):
-                node, _ = nodes_of(*_flat(part, 0))
-                yield pa.RecordBatch.from_arrays([_signed(node), part.column(0)], ["node", "t"])
+                tokens, size = shingles(part.column(0))
+                node, _ = nodes_of(tokens, size)
+                yield pa.RecordBatch.from_arrays([_signed(node), pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), _signed(tokens))], ["node", "t"])
 
-    return texts.select(shingles(F.col("text")).alias("t")).mapInArrow(run, "node long, t array<long>")
+    return texts.select("text").mapInArrow(run, "node long, t array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,9 +314,9 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose connected components are those of all links."""
     shared = cut_lineage(shared_buckets(_keyed(docs)))
-    stars = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    close = stars.join(_as(nodes, "a"), "a").join(_as(nodes, "b"), "b").filter(_near("a", "b")).select("a", "b")
-    edges = cut_lineage(_verified(cut_lineage(close), docs, nodes))
+    stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    close = cut_lineage(stars.join(_as(nodes, "a"), "a").join(_as(nodes, "b"), "b").filter(_near("a", "b")).select("a", "b"))
+    edges = cut_lineage(_verified(close, docs, nodes))
     roots = components(edges)
     # What a head has not settled: members of one bucket in different components, the head itself aside.
     rest = shared.filter("node <> head").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -285,7 +328,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     x = left.select("key", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("an"), *(F.col(s).alias(f"a{s}") for s in sketch))
     y = left.select("key", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("bn"), *(F.col(s).alias(f"b{s}") for s in sketch))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("a", "b")).select("a", "b").distinct()
-    met = cut_lineage(met)
+    met = cut_lineage(met.join(close, ["a", "b"], "left_anti"))
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, docs, nodes)))
 
 
