@@ -32,7 +32,9 @@ by `keep_one` and dropped by `classes`. Hash collisions of 64 bits are taken as
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ WORDS = 5
 #: The threshold as a fraction: intersection * UNDER >= OVER * union.
 OVER, UNDER = 3, 4
 SKETCH = 8  # longs
+#: The 32 orders of buckets, and how many of them are taken at a time.
+ORDERS = (0, 1, 3, 7, 15, 32)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,18 +274,28 @@ def _as(nodes: DataFrame, p: str) -> DataFrame:
     return nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}n"), *(F.col(f"s{i}").alias(f"{p}s{i}") for i in range(SKETCH)))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold; sets are made anew for the documents that stand for them."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")
-    wanted = cut_lineage(wanted)
+def _sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, t: the sets of the nodes in pairs, made anew from the documents that stand for them, and stored."""
+    both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut_lineage(both.join(nodes.select("node", "doc_id"), "node"))
     # Rows may share an id: keep the one whose set is the node's.
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = cut_lineage(_with_sets(texts).dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi"))
+    return cut_lineage(_with_sets(texts).dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.withColumn("i", shared).filter(UNDER * F.col("i") >= OVER * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
+def _release(df: DataFrame) -> None:
+    """Have Spark drop the shuffle files of plans that nothing refers to; it does so only when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _with_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,13 +325,28 @@ def components(edges: DataFrame) -> DataFrame:
     return cut_lineage(found)
 
 
+def _of(roots: DataFrame, x: str) -> DataFrame:
+    return roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose connected components are those of all links."""
     shared = cut_lineage(shared_buckets(_keyed(docs)))
-    stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-    close = cut_lineage(stars.join(_as(nodes, "a"), "a").join(_as(nodes, "b"), "b").filter(_near("a", "b")).select("a", "b"))
-    edges = cut_lineage(_verified(close, docs, nodes))
-    roots = components(edges)
+    stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), F.col("key").bitwiseAND(31).alias("o"))
+    stars = stars.groupBy("a", "b").agg(F.min("o").alias("o"))
+    close = cut_lineage(stars.join(_as(nodes, "a"), "a").join(_as(nodes, "b"), "b").filter(_near("a", "b")).select("a", "b", "o"))
+    _release(close)
+    sets, edges, roots = _sets(close, docs, nodes), None, None
+    _release(close)
+    # One order links most of a large group; the pairs of each further order are needed only across what is not yet linked.
+    for low, high in pairwise(ORDERS):
+        pairs = close.filter(F.col("o").between(low, high - 1)).select("a", "b")
+        if roots is not None:
+            pairs = pairs.join(_of(roots, "a"), "a", "left").join(_of(roots, "b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        found = _verified(cut_lineage(pairs), sets)
+        edges = cut_lineage(found if edges is None else edges.unionByName(found))
+        roots = components(edges)
+        _release(close)
     # What a head has not settled: members of one bucket in different components, the head itself aside.
     rest = shared.filter("node <> head").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
@@ -329,7 +358,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     y = left.select("key", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("bn"), *(F.col(s).alias(f"b{s}") for s in sketch))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("a", "b")).select("a", "b").distinct()
     met = cut_lineage(met.join(close, ["a", "b"], "left_anti"))
-    return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, docs, nodes)))
+    return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
