@@ -12,7 +12,7 @@ t that is at most D = (1 - t) / (1 + t) of the sum of the sizes.
   of each, in any order both follow: fullest buckets first, as those say most. A set
   whose filled buckets are too few for the argument joins the next band too; a pair
   is safe as soon as one of the two has enough.
-* Filter. A 512-bit sketch per set bounds the difference from below by its Hamming distance.
+* Filter. A sketch of 2,048 bits per set, after a fold of it to 512, bounds the difference from below by its Hamming distance.
 * Verification. Sizes of intersections of the full sets.
 
 Sets, not documents, are joined: copies share one node. In each bucket the members
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -48,7 +49,8 @@ from trovelight.session import cut_lineage
 WORDS = 5
 #: The threshold as a fraction: intersection * UNDER >= OVER * union.
 OVER, UNDER = 3, 4
-SKETCH = 8  # longs
+#: Longs of a set's sketch, and of its fold, the sketch of as many cells that it contains.
+SKETCH, FOLD = 32, 8
 #: The 32 orders of buckets, and how many of them are taken at a time.
 ORDERS = (0, 1, 3, 7, 15, 32)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +121,8 @@ def nodes_of(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = np.cumsum(size)
     node = mix((total[ends] - total[ends - size]) * GOLD + size.astype(np.uint64))
     cells = 64 * SKETCH
-    cell = (mix(tokens ^ GOLD) >> np.uint64(64 - 9)).astype(np.int64)
+    # Cell c is bit c of the sketch; long i of a fold is the XOR of longs i, i + FOLD and so on: again a parity of cells.
+    cell = (mix(tokens ^ GOLD) >> np.uint64(64 - (cells - 1).bit_length())).astype(np.int64)
     parity = (np.bincount(row * cells + cell, minlength=len(size) * cells) & 1).astype(np.uint8).reshape(len(size), cells)
     return np.where(size > 0, node, np.uint64(0)), np.packbits(parity, axis=1).view(np.uint64)
 
@@ -188,7 +191,7 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Of `docs` (doc_id, text): doc_id, node, n, s0..s7 (the sketch)."""
+    """Of `docs` (doc_id, text): doc_id, node, n, s0..s31 (the sketch)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"s{i}" for i in range(SKETCH)]
 
@@ -262,16 +265,22 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
     return met.mapInArrow(_shared, "key long, node long, head long")
 
 
-def _near(a: str, b: str) -> Column:
+def _near(a: str, b: str, longs: int) -> Column:
     """Size and Hamming bounds of two sets with columns prefixed a and b."""
     n = F.col(f"{a}n") + F.col(f"{b}n")
-    far = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH)), F.lit(0))
-    sizes = (UNDER * F.least(f"{a}n", f"{b}n") >= OVER * F.greatest(f"{a}n", f"{b}n")) if OVER else F.lit(True)
-    return sizes & ((UNDER + OVER) * far <= (UNDER - OVER) * n)
+    far = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(longs)), F.lit(0))
+    return (UNDER * F.least(f"{a}n", f"{b}n") >= OVER * F.greatest(f"{a}n", f"{b}n")) & ((UNDER + OVER) * far <= (UNDER - OVER) * n)
 
 
-def _as(nodes: DataFrame, p: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}n"), *(F.col(f"s{i}").alias(f"{p}s{i}") for i in range(SKETCH)))
+def _as(nodes: DataFrame, p: str, longs: int) -> DataFrame:
+    """The nodes with columns prefixed p; of the sketch, its fold to so many longs."""
+    folds = [reduce(Column.bitwiseXOR, (F.col(f"s{k}") for k in range(i, SKETCH, longs))).alias(f"{p}s{i}") for i in range(longs)]
+    return nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}n"), *folds)
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, longs: int) -> DataFrame:
+    """The pairs (a, b, and what else they have) within the bounds."""
+    return pairs.join(_as(nodes, "a", longs), "a").join(_as(nodes, "b", longs), "b").filter(_near("a", "b", longs)).select(pairs.columns)
 
 
 def _sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -334,7 +343,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = cut_lineage(shared_buckets(_keyed(docs)))
     stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), F.col("key").bitwiseAND(31).alias("o"))
     stars = stars.groupBy("a", "b").agg(F.min("o").alias("o"))
-    close = cut_lineage(stars.join(_as(nodes, "a"), "a").join(_as(nodes, "b"), "b").filter(_near("a", "b")).select("a", "b", "o"))
+    close = cut_lineage(_close(cut_lineage(_close(stars, nodes, FOLD)), nodes, SKETCH))
     _release(close)
     sets, edges, roots = _sets(close, docs, nodes), None, None
     _release(close)
@@ -350,14 +359,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # What a head has not settled: members of one bucket in different components, the head itself aside.
     rest = shared.filter("node <> head").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = cut_lineage(rest.join(open_keys, "key", "left_semi").join(nodes.drop("doc_id"), "node"))
+    left = cut_lineage(rest.join(open_keys, "key", "left_semi").join(_as(nodes, "a", FOLD), F.col("node") == F.col("a")).drop("node"))
     if left.isEmpty():
         return edges
-    sketch = [f"s{i}" for i in range(SKETCH)]
-    x = left.select("key", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("an"), *(F.col(s).alias(f"a{s}") for s in sketch))
-    y = left.select("key", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("bn"), *(F.col(s).alias(f"b{s}") for s in sketch))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("a", "b")).select("a", "b").distinct()
-    met = cut_lineage(met.join(close, ["a", "b"], "left_anti"))
+    other = left.select("key", F.col("root").alias("other"), *(F.col(c).alias("b" + c[1:]) for c in left.columns if c.startswith("a")))
+    met = left.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _near("a", "b", FOLD)).select("a", "b").distinct()
+    met = cut_lineage(_close(met.join(close, ["a", "b"], "left_anti"), nodes, SKETCH))
+    _release(met)
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
 
 
