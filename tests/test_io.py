@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 from trovelight import schemas
 from trovelight.functions.embedding import (
     HashingEmbedder,
-    ServiceEmbedder,
     attach_vectors,
     embed_missing,
-    embedder_from,
-    embedding_signature,
 )
 from trovelight.plans.report import html_table
 from trovelight.session import cut_lineage
@@ -86,6 +83,10 @@ def test_checkpoints(spark, tmp_path):
     for rows in ([("x", True)], [("y", False), ("x", True)]):
         K.append_rows(spark.createDataFrame(rows, schema), path)
     assert [r.key for r in K.compact(spark, path, target, schema, "key", F.col("ok")).collect()] == ["x"]
+    dated = spark.createDataFrame([("x", 1, "old"), ("x", 3, "new"), ("x", 2, "mid"), ("y", 1, "only")], "key string, at int, v string")
+    K.append_rows(dated, f"{path}-dated")
+    newest = K.compact(spark, f"{path}-dated", f"{target}-dated", dated.schema, "key", order="at")
+    assert sorted((r.key, r.v) for r in newest.collect()) == [("x", "new"), ("y", "only")]
     fresh = spark.createDataFrame([("c", 1.0)], "condition string, value double")
     stored = K.store_metrics(spark, str(tmp_path / "none"), str(tmp_path / "m1"), fresh)
     again = K.store_metrics(spark, str(tmp_path / "m1"), str(tmp_path / "m2"), fresh.withColumn("value", F.lit(2.0)))
@@ -103,16 +104,6 @@ def test_embedders(spark):
     assert full.count() == 3 and full.filter("text = 'c'").first().vector == [9.0]
     with pytest.raises(Exception, match="incomplete"):
         attach_vectors(texts, cache).collect()
-    calls = []
-
-    def post(url, batch):
-        calls.append(len(batch))
-        return {"result": [[float(len(t))] for t in batch]}
-
-    service = ServiceEmbedder("http://service", batch=2, post=post)
-    assert service.embed_documents(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]] and calls == [2, 1]
-    assert embedding_signature("service", service) == "service:http://service:dim1"
-    assert embedder_from(lambda key, default: default).dim == 64
 
 
 def test_streamed_embedding_resumes(spark, tmp_path):

@@ -77,3 +77,27 @@ def test_benchmark_build(spark, tmp_path):
     assert found.pop("bad_type") == kept.filter("question_type = 'x_query'").count()
     assert set(found.values()) == {0}
     assert sum(r.n_questions for r in Q.type_histogram(kept).collect()) == 10
+
+    def differing(task, content, seed):
+        """As before, but repeats no question."""
+        reply = quoting(task, content, seed)
+        return {"results": [{**r, "query": f"{r['query']} {r['query_id']}"} for r in reply["results"]]}
+
+    again, missing = build_benchmark(bundles, differing, str(tmp_path / "checkpoint"))
+    assert missing.count() == 0 and again.count() == 11
+    assert again.filter("query_id = 'yq00002'").first().query == "same text yq00002"
+
+
+def test_a_failing_reply_costs_only_its_tasks(spark, tmp_path):
+    built = corpus(spark)
+    specs = Q.question_specs(built.documents, {"x_query": 6, "comparison_query": 3}, {2: 6, 3: 3})
+    pieces = built.chunks.withColumnsRenamed({"text": "content", "token_count": "n_tokens"})
+    bundles = bundle_documents(specs, Q.best_excerpts(specs, built.documents, pieces), built.documents, built.chunks)
+
+    def failing(task, content, seed):
+        if any(item["query_id"] == "yq00005" for item in json.loads(content)["tasks"]):
+            raise RuntimeError("no reply")
+        return quoting(task, content, 43)
+
+    kept, missing = build_benchmark(bundles, failing, str(tmp_path / "checkpoint"))
+    assert kept.count() > 0 and "yq00005" in {r.query_id for r in missing.collect()}

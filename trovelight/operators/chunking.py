@@ -182,24 +182,3 @@ class WordTokenizer:
 
     def decode(self, ids: list[str]) -> str:
         return " ".join(ids)
-
-
-class BpeTokenizer:
-    """cl100k_base through tiktoken, loaded once per Python worker."""
-
-    name = "cl100k_base"
-
-    def _load(self):
-        import tiktoken
-
-        return tiktoken.get_encoding(self.name)
-
-    def __getstate__(self):
-        return {}
-
-    def __getattr__(self, attribute):
-        if attribute.startswith("__"):
-            raise AttributeError(attribute)
-        self.__dict__["_encoding"] = encoding = self._load()
-        self.encode, self.decode = encoding.encode, encoding.decode
-        return getattr(self, attribute)

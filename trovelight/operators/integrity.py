@@ -15,8 +15,8 @@ QUESTION_TYPES = ("inference_query", "comparison_query", "temporal_query", "null
 
 
 def _counted(rows: DataFrame, **rules) -> DataFrame:
-    """One pass over `rows`: how many break each rule."""
-    wide = rows.agg(*[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
+    """One pass over `rows`: how many break each rule; a rule that a NULL leaves open is broken."""
+    wide = rows.agg(*[F.count_if(F.coalesce(broken, F.lit(True))).alias(rule) for rule, broken in rules.items()])
     return wide.unpivot([], list(rules), "rule", "n_violations")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trovelight import schemas
 from trovelight.operators import benchmark as Q
+from trovelight.operators.evidence import last_per_key
 from trovelight.operators.generation import SEED, Generator
 from trovelight.sources.checkpoints import append_rows, read_checkpoint
 
@@ -24,6 +25,7 @@ RAW = (
     "query_id string, question_type string, query string, answer string, attempt int, "
     f"evidence {schemas.EVIDENCE}"
 )
+STORED = f"{schemas.BENCHMARK_QUESTIONS}, round long"
 # Tasks per model call, calls per task.
 BATCH = 4
 ATTEMPTS = 4
@@ -60,8 +62,10 @@ def ask(pending: DataFrame, generator: Generator, attempt: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 listed = ",".join(batch["task"].iloc[at : at + BATCH])
-                reply = generator(BENCHMARK_TASK, f'{{"tasks":[{listed}]}}', SEED + attempt)
-                found = reply.get("results", [])
+                try:
+                    found = generator(BENCHMARK_TASK, f'{{"tasks":[{listed}]}}', SEED + attempt).get("results", [])
+                except Exception:  # its tasks stay pending; the other answers are kept
+                    found = []
                 yield pd.DataFrame({"answer": [json.dumps(row) for row in found]}, dtype=object)
 
     fields = "query_id string, question_type string, query string, answer string, evidence " + schemas.EVIDENCE
@@ -72,21 +76,29 @@ def ask(pending: DataFrame, generator: Generator, attempt: int) -> DataFrame:
     )
 
 
+def _kept(stored: DataFrame, bundles: DataFrame) -> DataFrame:
+    """The newest answer of each task, without those whose question an earlier id asks too."""
+    newest = last_per_key(stored, ["query_id"], "round").drop("round")
+    asked = newest.join(bundles.select("query_id"), "query_id", "left_semi")
+    return Q.deduplicate_questions(asked).filter("is_first").drop("is_first")
+
+
 def build_benchmark(bundles: DataFrame, generator: Generator, path: str) -> tuple[DataFrame, DataFrame]:
     """Questions and the ids still missing, resuming from the checkpoint at `path`.
 
-    Only fully grounded answers are stored. Of questions with the same text the
-    first by id stays; the others count as missing and are asked again next time.
+    Only fully grounded answers are stored, each with the round it came from. Of
+    questions with the same text the first by id stays; the others are asked
+    again, with the seed of a new round, and their newest answer counts.
     """
     spark = bundles.sparkSession
-    for attempt in range(ATTEMPTS):
-        stored = read_checkpoint(spark, path, schemas.BENCHMARK_QUESTIONS)
-        pending = bundles.join(stored.select("query_id"), "query_id", "left_anti")
+    for _ in range(ATTEMPTS):
+        stored = read_checkpoint(spark, path, STORED)
+        pending = bundles.join(_kept(stored, bundles).select("query_id"), "query_id", "left_anti")
         if pending.isEmpty():
             break
-        append_rows(Q.canonical_questions(ask(pending, generator, attempt), bundles), path)
-    stored = read_checkpoint(spark, path, schemas.BENCHMARK_QUESTIONS)
-    asked = stored.join(bundles.select("query_id"), "query_id", "left_semi")
-    kept = Q.deduplicate_questions(asked).filter("is_first").drop("is_first")
+        number = stored.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
+        answers = Q.canonical_questions(ask(pending, generator, number), bundles)
+        append_rows(answers.withColumn("round", F.lit(number).cast("long")), path)
+    kept = _kept(read_checkpoint(spark, path, STORED), bundles)
     missing = bundles.select("query_id").join(kept.select("query_id"), "query_id", "left_anti")
     return kept, missing

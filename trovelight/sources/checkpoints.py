@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trovelight.operators.corpora import upsert_condition
+from trovelight.operators.evidence import last_per_key
 
 
 def write_jsonl(rows: DataFrame, path: str, ascii_only: bool = False) -> None:
@@ -45,16 +46,17 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str | StructType) ->
 
 
 def compact(
-    spark: SparkSession, path: str, target: str, schema: str, key: str, success=None
+    spark: SparkSession, path: str, target: str, schema: str | StructType, key: str, success=None, order: str | None = None
 ) -> DataFrame:
     """Rewrite an appended checkpoint with one row per key, successes only.
 
-    Writes to `target`, never over the files being read.
+    With `order` that is the newest row of each key, by that column. Writes to `target`, never over the files being read.
     """
     rows = read_checkpoint(spark, path, schema)
     if success is not None:
         rows = rows.filter(success)
-    rows.dropDuplicates([key]).write.mode("overwrite").parquet(target)
+    kept = last_per_key(rows, [key], order) if order else rows.dropDuplicates([key])
+    kept.write.mode("overwrite").parquet(target)
     return spark.read.schema(schema).parquet(target)
 
 
