@@ -64,6 +64,25 @@ def test_against_all_pairs(spark, seed):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
 
 
+def test_large_sets(spark):
+    """Sets beyond the common sketch, on both sides of a doubling of the wide one, near, far and sharing a long passage."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for n in (1900, 2040, 2060, 4050, 4150, 8300):
+        base = [word() for _ in range(n)]
+        for edits in (0, n // 60, n // 28, n // 8):
+            words = list(base)
+            for at in rng.sample(range(n), edits):
+                words[at] = word()
+            texts.append(" ".join(words))
+        texts.append(" ".join(base + [word() for _ in range(n // 4)]))
+        texts.append(" ".join(base[: n // 2] + [word() for _ in range(n // 2)]))
+    rows = list(enumerate(texts))
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
+
+
 def test_every_link_shares_a_bucket():
     """The pigeonhole argument, on sets just above the threshold of all sizes."""
     rng = np.random.default_rng(5)

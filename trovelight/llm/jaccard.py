@@ -13,6 +13,7 @@ t that is at most D = (1 - t) / (1 + t) of the sum of the sizes.
   whose filled buckets are too few for the argument joins the next band too; a pair
   is safe as soon as one of the two has enough.
 * Filter. A sketch of 2,048 bits per set, after a fold of it to 512, bounds the difference from below by its Hamming distance.
+  Larger sets fill that, so they have a further sketch of at least as many bits as tokens.
 * Verification. Sizes of intersections of the full sets.
 
 Sets, not documents, are joined: copies share one node. In each bucket the members
@@ -53,6 +54,8 @@ OVER, UNDER = 3, 4
 SKETCH, FOLD = 32, 8
 #: The 32 orders of buckets, and how many of them are taken at a time.
 ORDERS = (0, 1, 3, 7, 15, 32)
+#: Sets that a task remembers as sent.
+MEMORY = 1_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +130,15 @@ def nodes_of(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(size > 0, node, np.uint64(0)), np.packbits(parity, axis=1).view(np.uint64)
 
 
+def wide_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A parity sketch of at least as many cells as tokens, a power of two; empty where the common sketch is that wide."""
+    if len(tokens) <= 64 * SKETCH:
+        return np.zeros(0, np.uint64)
+    cells = 1 << (len(tokens) - 1).bit_length()
+    parity = np.bincount((mix(tokens ^ GOLD) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+
+
 def apart(n: np.ndarray) -> np.ndarray:
     """The most tokens by which a set of n tokens and any partner can differ."""
     return (UNDER - OVER) * (n + UNDER * n // OVER) // (UNDER + OVER)
@@ -191,7 +203,7 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Of `docs` (doc_id, text): doc_id, node, n, s0..s31 (the sketch)."""
+    """Of `docs` (doc_id, text): doc_id, node, n, s0..s31 (the sketch), wide (that of a large set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"s{i}" for i in range(SKETCH)]
 
@@ -200,9 +212,15 @@ def described(docs: DataFrame) -> DataFrame:
             for part in _slices(batch, 1):
                 tokens, size = shingles(part.column(1))
                 node, sketch = nodes_of(tokens, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), _signed(node), pa.array(size, pa.int32()), *(_signed(sketch[:, i]) for i in range(SKETCH))], ["doc_id", "node", "n", *names])
+                ends = np.cumsum(size)
+                wide = [wide_sketch(tokens[b - k : b]) for b, k in zip(ends.tolist(), size.tolist(), strict=True)]
+                places = np.concatenate(([0], np.cumsum([len(x) for x in wide]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _signed(node), pa.array(size, pa.int32()), *(_signed(sketch[:, i]) for i in range(SKETCH)), pa.ListArray.from_arrays(places, _signed(np.concatenate(wide)))],
+                    ["doc_id", "node", "n", *names, "wide"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, {', '.join(f'{s} long' for s in names)}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, {', '.join(f'{s} long' for s in names)}, wide array<long>")
 
 
 def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -214,10 +232,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """key, rank: the buckets of every document's set, with the node in its rank's dress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in _slices(batch, 0):
                 tokens, size = shingles(part.column(0))
                 node, _ = nodes_of(tokens, size)
+                # Copies give the same rows; a task sends them once. Forgetting them costs time only.
+                if len(seen) > MEMORY:
+                    seen.clear()
+                new = np.zeros(len(node), bool)
+                new[np.unique(node, return_index=True)[1]] = True
+                new &= [x not in seen for x in node.tolist()]
+                seen.update(node[new].tolist())
+                tokens, size, node = tokens[np.repeat(new, size)], size[new], node[new]
                 row, key = signatures(tokens, size)
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(ranked(key, node[row]))], ["key", "rank"])
 
@@ -283,6 +310,25 @@ def _close(pairs: DataFrame, nodes: DataFrame, longs: int) -> DataFrame:
     return pairs.join(_as(nodes, "a", longs), "a").join(_as(nodes, "b", longs), "b").filter(_near("a", "b", longs)).select(pairs.columns)
 
 
+def _wide_close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs but for those of two large sets whose wide sketches, the longer folded to the shorter, lie too far apart."""
+    large = nodes.filter(F.size("wide") > 0)
+    for p in "ab":
+        pairs = pairs.join(large.select(F.col("node").alias(p), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}w")), p, "left")
+    longs = F.least(F.size("aw"), F.size("bw"))
+
+    def folded(w: str) -> Column:
+        # Sizes within the bounds differ by less than two, so one fold is enough.
+        half = F.zip_with(F.slice(w, 1, longs), F.slice(w, longs + 1, longs), Column.bitwiseXOR)
+        return F.when(F.size(w) > longs, half).otherwise(F.col(w))
+
+    bits = F.zip_with(folded("aw"), folded("bw"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    far = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+    both = F.col("aw").isNotNull() & F.col("bw").isNotNull()
+    near = F.when(both, (UNDER + OVER) * far <= (UNDER - OVER) * (F.col("an") + F.col("bn"))).otherwise(True)
+    return pairs.filter(near).drop("an", "aw", "bn", "bw")
+
+
 def _sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, t: the sets of the nodes in pairs, made anew from the documents that stand for them, and stored."""
     both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -341,9 +387,12 @@ def _of(roots: DataFrame, x: str) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose connected components are those of all links."""
     shared = cut_lineage(shared_buckets(_keyed(docs)))
+    _release(shared)
     stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), F.col("key").bitwiseAND(31).alias("o"))
     stars = stars.groupBy("a", "b").agg(F.min("o").alias("o"))
-    close = cut_lineage(_close(cut_lineage(_close(stars, nodes, FOLD)), nodes, SKETCH))
+    folded = cut_lineage(_close(stars, nodes, FOLD))
+    _release(folded)
+    close = cut_lineage(_wide_close(cut_lineage(_close(folded, nodes, SKETCH)), nodes))
     _release(close)
     sets, edges, roots = _sets(close, docs, nodes), None, None
     _release(close)
@@ -365,6 +414,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     other = left.select("key", F.col("root").alias("other"), *(F.col(c).alias("b" + c[1:]) for c in left.columns if c.startswith("a")))
     met = left.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _near("a", "b", FOLD)).select("a", "b").distinct()
     met = cut_lineage(_close(met.join(close, ["a", "b"], "left_anti"), nodes, SKETCH))
+    met = cut_lineage(_wide_close(met, nodes))
     _release(met)
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
 
@@ -374,7 +424,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
     sets = cut_lineage(described(slim))
     sketch = [f"s{i}" for i in range(SKETCH)]
-    nodes = cut_lineage(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in sketch)))
+    nodes = cut_lineage(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in [*sketch, "wide"])))
     roots = components(links(slim, nodes))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
