@@ -64,19 +64,20 @@ def test_locate_facts(spark):
     assert {r.query_id for r in V.unresolved_facts(facts, located).collect()} == {"q2", "q4"}
 
 
-def test_fuzzy_equals_plain_search(spark):
+@pytest.mark.parametrize("limit", [0.9, 0.5])
+def test_fuzzy_equals_plain_search(spark, limit):
     sentences = ["the cat sat on the mat.", "the cat sat on a mat.", "the cats sat on the mat.", "a dog ran away fast."]
     chunks = spark.createDataFrame(
         [("d", f"c{i}", i, s) for i, s in enumerate(sentences)],
         "document_id string, chunk_id string, chunk_position int, content string",
     )
-    wanted = ["the cat sat on the mats.", "the cat sits on the mat.", "a dog ran away faster", "none of it at all"]
+    wanted = ["the cat sat on the mats.", "the cat sits on the mat.", "a dog ran away faster", "none of it at all", "the cat sat"]
     facts = spark.createDataFrame([(f"q{i}", 0, "d", f) for i, f in enumerate(wanted)], "query_id string, unit int, document_id string, fact string")
-    found = {r.query_id: (r.chunk_id, r.ratio) for r in V.fuzzy_hits(facts, chunks).collect()}
+    found = {r.query_id: (r.chunk_id, r.ratio) for r in V.fuzzy_hits(facts, chunks, limit).collect()}
     expected = {}
     for i, fact in enumerate(wanted):
         ratios = [SequenceMatcher(None, fact, s).ratio() for s in sentences]
-        if max(ratios) >= 0.9:
+        if max(ratios) >= limit:
             expected[f"q{i}"] = (f"c{ratios.index(max(ratios))}", max(ratios))
     assert found == expected and len(expected) >= 2
 
