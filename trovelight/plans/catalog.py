@@ -263,9 +263,10 @@ def html_articles(spark, folder):
 
 
 def page_titles(spark, folder):
-    """Fallback title of every page, from its <title> or its address."""
+    """Fallback title of every page from its markup, and the one that its address alone gives."""
     plain = H.fallback_title(F.lit(""), F.col("url"))
-    return table(spark, folder, "pages").select("page_id", plain.alias("from_url"))
+    marked = H.fallback_title(F.coalesce("html", F.lit("")), F.col("url"))
+    return table(spark, folder, "pages").select("page_id", plain.alias("from_url"), marked.alias("title"))
 
 
 # --- corpus -----------------------------------------------------------------------------------

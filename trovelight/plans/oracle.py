@@ -350,11 +350,14 @@ SELECT page_id, trim(url) AS url, printf('2024-01-%02d', page_id % 28 + 1) AS la
     "json_salvage": """
 SELECT conv_id, turn, turn % 4 <> 3 AS ok, CASE WHEN turn % 4 <> 3 THEN conv_id ELSE -1 END AS parsed_conv,
     CASE WHEN turn % 4 <> 3 THEN role ELSE 'none' END AS parsed_who FROM conversations""",
-    "page_titles": r"""
-SELECT page_id, array_to_string(list_transform(regexp_extract_all(s, '\p{L}+|[^\p{L}]+'),
+    "page_titles": rf"""
+WITH named AS (SELECT page_id, html, array_to_string(list_transform(regexp_extract_all(s, '\p{{L}}+|[^\p{{L}}]+'),
     lambda r: upper(r[1]) || lower(r[2:])), '') AS from_url
-FROM (SELECT page_id, replace(string_split(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '/')[-1],
-    '-', ' ') AS s FROM pages)""",
+FROM (SELECT page_id, coalesce(html, '') AS html,
+    replace(string_split(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '/')[-1], '-', ' ') AS s FROM pages)),
+marked AS (SELECT *, regexp_matches(html, '(?is)<title[^>]*>.*?</title>') AS has, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw FROM named),
+plain AS (SELECT *, replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&') AS t FROM marked)
+SELECT page_id, from_url, CASE WHEN has THEN {squeeze('t')} ELSE from_url END AS title FROM plain""",
     "body_hash_dedup": f"WITH {AUDIT} SELECT doc_id, status FROM deduped",
     "token_range_status": f"""
 WITH {AUDIT} SELECT st AS status, count(*) AS n, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
