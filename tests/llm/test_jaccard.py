@@ -137,3 +137,35 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), r._twice) for r in kept.collect()) == [("1", 4), ("2", 2), ("3", 6), ("4", 7), ("None", 5)]
     assert jaccard.classes(docs.limit(0)).count() == 0
+
+
+def links_by_null_ids():
+    """A null-id near copy, a null-id bridge between texts that are not near each other, and ids that several texts share."""
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    a, b, c, d = words(60), words(100), words(50), words(40)
+    far = [*b[:12], *words(1), *b[13:86], *words(1), *b[87:]]
+    left, right = [*far[:13], *b[13:]], [*b[:86], *far[86:]]
+    left[30], right[60] = "left", "right"
+    bridge = [*b]
+    near = [*c[:-1], "end"]
+    rows = [(None, [*a[:-1], "end"]), (20, a), (31, left), (32, right), (None, bridge), (50, near), (41, c), (50, d), (60, words(30)), (60, words(30)), (70, [*d[:-1], "end"])]
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_null_and_shared_ids(spark):
+    rows = links_by_null_ids()
+    without = [r for r in rows if r[0] is not None]
+    bridged = lambda found: {x for i, _, x in found if i in ("31", "32")}
+    assert bridged(brute(rows)) == {"31"} and bridged(brute(without)) == {"31", "32"}
+    assert {x for i, _, x in brute(rows) if i == "None"} == {"20", "31"}
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
+
+
+def test_keep_one_judges_rows_by_their_text(spark):
+    rows = links_by_null_ids()
+    kept = jaccard.keep_one(spark.createDataFrame([*rows, rows[8]], "doc_id long, text string"))
+    # Of id 50 the near copy of 41 goes and the other text stays, with 70 its near copy; both texts of 60 stay, once each.
+    stay = [rows[i] for i in (0, 1, 2, 4, 6, 7, 8, 9)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, stay))

@@ -26,8 +26,9 @@ smaller of two random node numbers, a logarithmic number of rounds.
 
 Defined cases: a document without words (or with a null text) has an empty set and
 links with nothing. With fewer words than a shingle, the whole sequence is the one
-shingle. Repeated rows are copies of each other. Null ids never become a component's
-name unless it has no other. Empty input gives empty output. Other columns are kept
+shingle. Repeated rows are copies of each other. Rows are told apart by id and text, so
+rows with a null id link as any others do, and rows that share an id may lie in different
+components. Null ids never become a component's name unless it has no other. Empty input gives empty output. Other columns are kept
 by `keep_one` and dropped by `classes`. Hash collisions of 64 bits are taken as impossible.
 """
 
@@ -202,25 +203,30 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.
         start = stop
 
 
+def place(doc_id: str | Column, text: str | Column) -> Column:
+    """What tells rows apart: a hash of id and text, null ids included."""
+    return F.xxhash64(doc_id, text)
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """Of `docs` (doc_id, text): doc_id, node, n, s0..s31 (the sketch), wide (that of a large set)."""
+    """Of `docs` (doc_id, text): doc_id, place, node, n, s0..s31 (the sketch), wide (that of a large set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
-                tokens, size = shingles(part.column(1))
+            for part in _slices(batch, 2):
+                tokens, size = shingles(part.column(2))
                 node, sketch = nodes_of(tokens, size)
                 ends = np.cumsum(size)
                 wide = [wide_sketch(tokens[b - k : b]) for b, k in zip(ends.tolist(), size.tolist(), strict=True)]
                 places = np.concatenate(([0], np.cumsum([len(x) for x in wide]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _signed(node), pa.array(size, pa.int32()), *(_signed(sketch[:, i]) for i in range(SKETCH)), pa.ListArray.from_arrays(places, _signed(np.concatenate(wide)))],
-                    ["doc_id", "node", "n", *names, "wide"],
+                    [part.column(0), part.column(1), _signed(node), pa.array(size, pa.int32()), *(_signed(sketch[:, i]) for i in range(SKETCH)), pa.ListArray.from_arrays(places, _signed(np.concatenate(wide)))],
+                    ["doc_id", "place", "node", "n", *names, "wide"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, {', '.join(f'{s} long' for s in names)}, wide array<long>")
+    return docs.select("doc_id", place("doc_id", "text").alias("place"), "text").mapInArrow(run, f"doc_id {kind}, place long, node long, n int, {', '.join(f'{s} long' for s in names)}, wide array<long>")
 
 
 def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -332,10 +338,10 @@ def _wide_close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, t: the sets of the nodes in pairs, made anew from the documents that stand for them, and stored."""
     both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut_lineage(both.join(nodes.select("node", "doc_id"), "node"))
-    # Rows may share an id: keep the one whose set is the node's.
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return cut_lineage(_with_sets(texts).dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi"))
+    wanted = cut_lineage(both.join(nodes.select("node", "place"), "node"))
+    # A place has one text, so one node; repeated rows share it.
+    texts = docs.select(place("doc_id", "text").alias("place"), "text").join(wanted.select("place"), "place", "left_semi")
+    return cut_lineage(_with_sets(texts).dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -419,33 +425,43 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _classified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per document: doc_id, place, n, root (null without words), component_id."""
     slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
     sets = cut_lineage(described(slim))
     sketch = [f"s{i}" for i in range(SKETCH)]
-    nodes = cut_lineage(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in [*sketch, "wide"])))
+    # A node's text is read from one of its rows, of those with an id if there are any.
+    stands = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("place"))), F.min("place")).alias("place")
+    nodes = cut_lineage(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), stands, F.first("n").alias("n"), *(F.first(s).alias(s) for s in [*sketch, "wide"])))
     roots = components(links(slim, nodes))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    where = cut_lineage(named.join(least, "root").select("node", "component_id"))
+    where = cut_lineage(named.join(least, "root").select("node", "root", "component_id"))
     return sets.join(where, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "place", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _classified(docs, doc_id, text).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that a smaller id of their class stands for, with the columns they came with.
 
-    Identical rows of the surviving id stay as one row; rows without words or id all stay.
+    Each row is judged by its own text. Of several rows of a class with its smallest id
+    one stays; rows without words or id all stay.
     """
-    found = classes(docs, doc_id, text)
-    gone = cut_lineage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    rest = docs.join(gone, col(docs, doc_id) == gone["gone"], "left_anti")
-    twice = found.filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice"))
-    twice = cut_lineage(twice)
-    if twice.isEmpty():
+    found = cut_lineage(_classified(docs, doc_id, text))
+    own = found.filter("doc_id = component_id AND n > 0")
+    several = cut_lineage(own.groupBy("root").agg(F.count("*").alias("n"), F.min("place").alias("stays")).filter("n > 1").select("root", "stays"))
+    others = own.join(several, "root").filter("place <> stays").select("place")
+    gone = cut_lineage(found.filter("doc_id <> component_id").select("place").union(others).distinct())
+    here = place(col(docs, doc_id), col(docs, text))
+    rest = docs.join(gone, here == gone["place"], "left_anti")
+    if several.isEmpty():
         return rest
     mark = free_name(rest, "twice")
-    marked = rest.join(twice.select(F.col("twice").alias(mark)), col(rest, doc_id) == F.col(mark), "left")
+    marked = rest.join(several.select(F.col("stays").alias(mark)), place(col(rest, doc_id), col(rest, text)) == F.col(mark), "left")
     return marked.filter(F.col(mark).isNull()).unionByName(marked.filter(F.col(mark).isNotNull()).dropDuplicates([mark])).drop(mark)
