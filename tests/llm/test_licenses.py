@@ -58,3 +58,80 @@ def test_containment(spark):
 def test_rules_are_hundreds_and_compile():
     assert len(licenses.rules()) > 250
     assert all(re.compile(r[3]) for r in licenses.rules())
+
+
+def written(pattern):
+    """Texts that a pattern matches: for each of its choices one with each alternative, the other choices at their first."""
+    from re import _parser
+
+    def options(op, arg):
+        match str(op):
+            case "LITERAL":
+                return [chr(arg)]
+            case "IN":
+                return [chr(a) if str(o) == "LITERAL" else chr(a[1]) for o, a in arg]
+            case "BRANCH":
+                return [t for branch in arg[1] for t in every(branch)]
+            case "SUBPATTERN":
+                return every(arg[-1])
+            case "MAX_REPEAT":
+                low, _, inner = arg
+                return ([""] if low == 0 else []) + every(inner)
+            case "ASSERT":
+                return [""]
+        raise ValueError(op)
+
+    def every(parsed):
+        choices = [options(*part) for part in parsed]
+        first = [c[-1] for c in choices]
+        return list(dict.fromkeys("".join([*first[:i], x, *first[i + 1 :]]) for i, c in enumerate(choices) for x in c))
+
+    return every(_parser.parse(pattern))
+
+
+def ungated(text):
+    """Labels and score by every rule on every text, without keywords and cues."""
+    spans = []
+    for rule, label, _, pattern, priority, score, *_ in licenses.rules():
+        for m in re.finditer(f"(?<![^ ])(?:{pattern})(?![^ ])", text):
+            spans.append((m.start(), -m.end(), -priority, rule, label, score))
+    spans.sort()
+    kept = [s for i, s in enumerate(spans) if not any(o[1] <= s[1] and o[2] <= s[2] for o in spans[:i])]
+    base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {text} "}
+    return ",".join(sorted({s[4] for s in kept} | base)), max([s[5] for s in kept] + [0.8 if base else 0.0])
+
+
+def test_keywords_and_cues_lose_no_match(spark):
+    """Every alternative of every rule, written out, is found as it is without the gate."""
+    texts = {}
+    names = {}
+    for x in licenses.LICENSES:
+        names.setdefault(x[0], []).extend(written(x[2]))
+    for form, *_ in [*licenses.FORMS, licenses.VERSIONED]:
+        around = written(form.replace("NAME", "zzz"))
+        for name, forms in names.items():
+            for text in [a.replace("zzz", forms[0]) for a in around] + [around[0].replace("zzz", n) for n in forms]:
+                texts[text] = name
+    for label, _, pattern, *_ in licenses.PLAIN:
+        texts |= {t: label for t in written(pattern)}
+    patterns = {}
+    for r in licenses.rules():
+        patterns.setdefault(r[1], []).append(re.compile(f"(?<![^ ])(?:{r[3]})(?![^ ])"))
+    texts = sorted(t for t, label in texts.items() if any(p.search(t) for p in patterns[label]))
+    assert len(texts) > 2000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).select("doc_id", "labels", "score").collect()}
+    assert {t: found[i] for i, t in enumerate(texts)} == {t: ungated(t) for t in texts}
+
+
+def test_names_without_the_word_license(spark):
+    rows = [
+        ("Released under CC0 1.0", "cc0-1.0"),
+        ("distributed under the terms of zlib", "zlib"),
+        ("covered by the Artistic 2.0", "artistic-2.0"),
+        ("SPDX-License-Identifier: 0BSD", "0bsd"),
+        ("0BSD license", "0bsd"),
+        ("the GNU Library General Public License 2.0", "gpl,lgpl-2.0"),
+    ]
+    found = scanned(spark, [(i, t) for i, (t, _) in enumerate(rows)]).select("doc_id", "labels").collect()
+    assert {r.doc_id: r.labels for r in found} == {i: label for i, (_, label) in enumerate(rows)}

@@ -3,9 +3,10 @@
 Rules are regular expressions over the lower-cased words of a text (letters and
 digits, parted by blanks). They come from a table of licenses, each with its
 names, crossed with the phrases in which licenses are named; a rule has a keyword,
-a label, a priority and a score. A text meets only the rules whose keyword it
-holds as a word, and rules with a license's name only if it speaks of a license. A
-detection goes if another of equal or higher priority contains it; of equal intervals the
+a label, a priority, a score and a cue. A text meets only the rules whose keyword it
+holds as a word and whose cue it holds. Both are words that every match of the rule
+holds, so they keep no match from being found; names without a word in common are
+rules of their own. A detection goes if another of equal or higher priority contains it; of equal intervals the
 higher priority stays, then the earlier rule.
 
 All of it is DataFrame functions. The rule table is fixed, and small whatever the
@@ -26,7 +27,7 @@ from trovelight.llm.common import NOT_ALNUM, ascii_lower, col, let, pieces
 #: Fixed by the contract: phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, keyword, and the forms of the name as patterns over blank-parted words.
+#: Label, a word that all forms of the name hold, and these forms as patterns over blank-parted words.
 LICENSES = (
     ("mit", "mit", r"(?:the )?mit(?: x11)?(?: expat)?"),
     ("mit-0", "attribution", r"mit no attribution"),
@@ -36,12 +37,14 @@ LICENSES = (
     ("bsd-2-clause", "bsd", r"(?:the )?(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:the )?(?:original|old|4 clause|four clause) bsd|bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:the )?(?:zero clause bsd|0bsd|bsd zero clause)"),
+    ("0bsd", "bsd", r"(?:the )?(?:zero clause bsd|bsd zero clause)"),
+    ("0bsd", "0bsd", r"(?:the )?0bsd"),
     ("isc", "isc", r"(?:the )?isc"),
     ("gpl-1.0", "public", r"(?:the )?(?:gnu )?general public(?: license)? (?:v|version )?1(?: 0)?"),
     ("gpl-2.0", "public", r"(?:the )?(?:gnu )?general public(?: license)? (?:v|version )?2(?: 0)?"),
     ("gpl-3.0", "public", r"(?:the )?(?:gnu )?general public(?: license)? (?:v|version )?3(?: 0)?"),
-    ("lgpl-2.0", "lesser", r"(?:the )?(?:gnu )?(?:library|lesser) general public(?: license)? (?:v|version )?2(?: 0)?"),
+    ("lgpl-2.0", "lesser", r"(?:the )?(?:gnu )?lesser general public(?: license)? (?:v|version )?2(?: 0)?"),
+    ("lgpl-2.0", "library", r"(?:the )?(?:gnu )?library general public(?: license)? (?:v|version )?2(?: 0)?"),
     ("lgpl-2.1", "lesser", r"(?:the )?(?:gnu )?lesser general public(?: license)? (?:v|version )?2 1"),
     ("lgpl-3.0", "lesser", r"(?:the )?(?:gnu )?lesser general public(?: license)? (?:v|version )?3(?: 0)?"),
     ("agpl-3.0", "affero", r"(?:the )?(?:gnu )?affero general public(?: license)? (?:v|version )?3(?: 0)?"),
@@ -86,16 +89,19 @@ LICENSES = (
     ("curl", "curl", r"(?:the )?curl"),
     ("sleepycat", "sleepycat", r"(?:the )?sleepycat"),
 )
-#: How licenses are named: pattern around the name, priority, score. Earlier rules win ties.
+#: Cues: a form of naming cannot match a text that lacks its own.
+ANY, UNDER, BY, SPEAKS = "", " under ", "(?:subject to|accordance with|governed by|covered by|compliance with) ", "licen[cs]e"
+CUES = (ANY, UNDER, BY, SPEAKS)
+#: How licenses are named: pattern around the name, priority, score, cue. Earlier rules win ties.
 FORMS = (
-    (r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|provided|published)(?: for use)? under(?: the terms of)? NAME(?: licen[cs]e)?(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?", 3, 1.0),
-    (r"(?:subject to|in accordance with|governed by|covered by|compliance with)(?: the terms of)? NAME(?: licen[cs]e)?", 3, 0.95),
-    (r"spdx licen[cs]e identifier NAME", 4, 1.0),
-    (r"NAME licen[cs]e(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?", 2, 0.9),
-    (r"licen[cs]e NAME", 1, 0.7),
+    (r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|provided|published)(?: for use)? under(?: the terms of)? NAME(?: licen[cs]e)?(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?", 3, 1.0, UNDER),
+    (r"(?:subject to|in accordance with|governed by|covered by|compliance with)(?: the terms of)? NAME(?: licen[cs]e)?", 3, 0.95, BY),
+    (r"spdx licen[cs]e identifier NAME", 4, 1.0, SPEAKS),
+    (r"NAME licen[cs]e(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?", 2, 0.9, SPEAKS),
+    (r"licen[cs]e NAME", 1, 0.7, SPEAKS),
 )
 #: A name with its version and the word in between or behind.
-VERSIONED = (r"(?=(?:[^ ]+ ){1,4}licen[cs]e )NAME", 2, 0.85)
+VERSIONED = (r"(?=(?:[^ ]+ ){1,4}licen[cs]e )NAME", 2, 0.85, SPEAKS)
 #: Rules without a license's name, by label, keyword, pattern, priority and score.
 PLAIN = (
     ("gpl", "public", r"(?:gnu )?general public licen[cs]e", 1, 0.8),
@@ -110,15 +116,22 @@ PLAIN = (
     ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu", 3, 1.0),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 2, 0.7),
 )
-#: What a text must hold, in any case, before it is cut into words: rules with names speak of licenses, the others have rare words of their own.
-GATE = "licen[cs]e|reserved|domain|hereby|redistribut|confidential|creative"
 
 
-def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """All rules, in order."""
+def rules() -> list[tuple[int, str, str, str, int, float, str]]:
+    """All rules, in order: number, label, keyword, pattern, priority, score, cue."""
     forms = [(form, x) for form in FORMS for x in LICENSES] + [(VERSIONED, x) for x in LICENSES if "." in x[0]]
-    made = [(label, word, form.replace("NAME", f"(?:{name})"), priority, score) for (form, priority, score), (label, word, name) in forms]
-    return [(i, *r) for i, r in enumerate([*PLAIN, *made])]
+    made = [(label, word, form.replace("NAME", f"(?:{name})"), priority, score, cue) for (form, priority, score, cue), (label, word, name) in forms]
+    return [(i, *r) for i, r in enumerate([*((*r, ANY) for r in PLAIN), *made])]
+
+
+def gate() -> str:
+    """What a text must hold before it is cut into words: the keyword of some rule, in any case, as a word."""
+    edge = NOT_ALNUM.replace(r"\x60", r"\x40\x5B-\x60")
+    by: dict[str, list[str]] = {}
+    for keyword in sorted({r[2] for r in rules()}):
+        by.setdefault(keyword[0], []).append(keyword[1:])
+    return f"(?i)(?:^|{edge})(?:{'|'.join(f'{k}(?:{"|".join(v)})' for k, v in by.items())})(?:$|{edge})"
 
 
 def wrapped(words: Column) -> Column:
@@ -163,8 +176,8 @@ def _count(held: Column) -> Column:
 def rule_map() -> Column:
     """The rules by keyword, as a constant map of arrays."""
     by: dict[str, list[Column]] = {}
-    for rule, label, keyword, pattern, priority, score in rules():
-        fields = {"rule": rule, "label": label, "pattern": pattern, "priority": priority, "score": score}
+    for rule, label, keyword, pattern, priority, score, cue in rules():
+        fields = {"rule": rule, "label": label, "pattern": pattern, "priority": priority, "score": score, "cue": CUES.index(cue) + 1}
         by.setdefault(keyword, []).append(F.struct(*(F.lit(v).alias(k) for k, v in fields.items())))
     return F.create_map(*(x for k, v in by.items() for x in (F.lit(k), F.array(*v))))
 
@@ -173,9 +186,10 @@ def detections(texts: DataFrame) -> DataFrame:
     """row, label, rule, priority, score, start, stop (word numbers): of `texts` (row, words), what no other detection suppresses."""
     single = F.array_join("words", " ")
     held = F.array_intersect(F.col("words"), F.array(*(F.lit(k) for k in sorted({r[2] for r in rules()}))))
-    keyed = texts.select("row", single.alias("text"), F.explode(held).alias("keyword"))
-    gated = keyed.select("row", "text", F.explode(F.element_at(rule_map(), F.col("keyword"))).alias("r")).select("row", "text", "r.*")
-    gated = gated.filter((F.col("rule") < len(PLAIN)) | F.col("text").rlike("licen[cs]e"))
+    cues = F.array(*(F.col("text").rlike(c) for c in CUES))
+    keyed = texts.select("row", single.alias("text"), held.alias("held")).filter(F.size("held") > 0).select("row", "text", cues.alias("cues"), F.explode("held").alias("keyword"))
+    told = F.filter(F.element_at(rule_map(), F.col("keyword")), lambda r: F.element_at(F.col("cues"), r["cue"]))
+    gated = keyed.select("row", "text", F.explode(told).alias("r")).select("row", "text", "r.*").drop("cue")
     bounded = F.concat(F.lit("(?<![^ ])(?:"), F.col("pattern"), F.lit(")(?![^ ])"))
     matched = gated.withColumn("form", bounded).filter(F.rlike(F.col("text"), F.col("form")))
     # Text between matches and the matches themselves, in turn, give every match's place.
@@ -201,11 +215,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     slim = docs.select(col(docs, doc_id).alias("doc_id"), raw.alias("text"))
     row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
     # The gate reads the raw text once; only what passes is cut into words.
-    gate = F.col("text").rlike(f"(?i){GATE}")
-    words = F.when(gate, pieces(ascii_lower(F.col("text")), NOT_ALNUM)).otherwise(F.array().cast("array<string>"))
+    passes = F.col("text").rlike(gate())
+    words = F.when(passes, pieces(ascii_lower(F.col("text")), NOT_ALNUM)).otherwise(F.array().cast("array<string>"))
     n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     based = slim.select("doc_id", row.alias("row"), n_words.alias("n_words"), let(words, lambda w: let(wrapped(w), _base)).alias("b"))
-    gated = slim.filter(gate).select(row.alias("row"), pieces(ascii_lower(F.col("text")), NOT_ALNUM).alias("words"))
+    gated = slim.filter(passes).select(row.alias("row"), pieces(ascii_lower(F.col("text")), NOT_ALNUM).alias("words"))
     per_row = detections(gated.dropDuplicates(["row"])).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
     joined = based.join(per_row, "row", "left")
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
