@@ -59,6 +59,47 @@ def test_other_layouts():
     assert texts(page) == ["Big & été\nOne two three four five.\nSix."]
 
 
+BODY = "<article><h1>Some title</h1><p>One two three four five.</p><p>Six seven eight nine ten eleven.</p></article><footer>Foot here.</footer>"
+TEXT = "Some title\nOne two three four five.\nSix seven eight nine ten eleven."
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>t</title>",
+        "<html><head><title>t</title><meta charset=utf-8><link rel=x><script>var a</script><noscript><style>p{}</style></noscript> \n",
+        "<html><head><head><title>t</title></head>",
+        "<html><head><title>t</title><template><div>Hidden.</div></template>",
+        "<html><head><title>t</title><noscript><img src=x></noscript></head>",
+        "<html><title>t</title><style>p{}</style>",
+        "<head><title>t</title></head>",
+        "<html><head><title>t</title><body>",
+    ],
+)
+def test_heads_left_open(start):
+    assert texts(start + BODY) == [TEXT]
+
+
+def test_text_ends_a_head():
+    assert [b.text() for b in H.blocks("<html><head><title>t</title>Text &amp; more.<p>And this.</p>")] == ["Text & more.", "And this."]
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "where x=2 holds"),
+        ("see <noscript>this picture of it</noscript> here", "see this picture of it here"),
+        ("see <object data=x>the inner drawing</object> here", "see the inner drawing here"),
+        ("hear <audio src=x>the spoken text</audio> here", "hear the spoken text here"),
+        ("watch <video src=x>the short film</video> here", "watch the short film here"),
+        ("see <canvas>the plotted line</canvas> here", "see the plotted line here"),
+    ],
+)
+def test_elements_inside_the_article(inner, text):
+    page = f"<html><head></head><body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>One two three {inner} four five.</p><p>Six seven eight.</p></article><footer>Foot</footer></body></html>"
+    assert texts(page) == [f"Title of it\nOne two three {text} four five.\nSix seven eight."]
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "&", "<!--", "<script>var a", "</p></p>", "<![CDATA[x]]>", "<a <b <c>", "<p>" * 3000, "<div>" * 2000 + "x"])
 def test_odd_pages(page):
     assert isinstance(texts(page)[0], str)

@@ -6,8 +6,10 @@ text (length, share of links, ending) label each block as content or not; the mo
 trained on labelled pages of many layouts, made by rule from a seed, and decoded
 by Viterbi in NumPy batches of pages.
 
-Scripts, styles and other elements without prose of their own, comments and the head
-never become blocks. Character references are decoded once, in text.
+Scripts, styles, controls, embedded drawings, comments and the head never become blocks;
+formulas and what stands in for scripts, media and objects do, as the text around them. A
+head ends, as in browsers, at its end tag or before the first tag or text that cannot
+stand in it. Character references are decoded once, in text.
 
 Defined cases: a null or empty html has an empty text; malformed markup is read as
 browsers do in the common cases (an open paragraph ends where another block begins,
@@ -35,7 +37,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button datalist".split())
+SILENT = frozenset("script style template svg iframe head title textarea select button datalist".split())
+#: What may stand in a head.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Start tags that end an open element of the same kind, up to the container that separates them.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -105,14 +109,28 @@ class Reader(HTMLParser):
                 self._pop(i)
                 return
 
+    def _end_head(self) -> None:
+        """Close an open head, unless an element inside it, other than noscript, holds what comes."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == "head":
+                self._pop(i)
+                self.open = None
+            elif self.stack[i][0] != "noscript":
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent and tag not in HEAD:
+            self._end_head()
+        if tag == "head" and any(t in ("head", "body") for t, _ in self.stack):
+            return
+        if tag == "body":
+            self._unwind({"head"}, frozenset())
         if tag in BLOCKS:
             self.open = None
-            self._unwind({"p"}, BLOCKS - {"p"})
+            # An object keeps the paragraph it stands in open.
+            self._unwind({"p"}, BLOCKS - {"p"} | {"object"})
             if tag in CLOSES:
                 self._unwind(*CLOSES[tag])
-            if tag == "body":
-                self._unwind({"head"}, frozenset())
         elif tag == "br" and self.open:
             self.open.parts.append(" ")
         if tag not in VOID:
@@ -130,6 +148,8 @@ class Reader(HTMLParser):
         self._unwind({tag}, frozenset() if tag in BLOCKS or tag in SILENT else BLOCKS)
 
     def handle_data(self, data: str) -> None:
+        if self.silent and not data.isspace():
+            self._end_head()
         if self.silent or not data:
             return
         if self.open is None:
