@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import bpe, decontaminate, html, jaccard, licenses, pii, quality, shards, tokens, warc
+from trovelight.llm import bpe, conversations, decontaminate, html, jaccard, licenses, packing, pii, quality, resample, shards, tokens, warc
 from trovelight.llm.common import shared_folder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 SHARD_BYTES = 1 << 20
 
 
@@ -89,6 +90,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), rank_file(WORD_VOCABULARY))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")), copies="copies")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,9 +110,38 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op3_decontamination, op4_jaccard_join, op5_warc, op6_pii, op7_licenses, op8_html, op9_sharding, op10_token_counts, pipeline)
+    for f in (
+        op1_quality_rules, op2_byte_bpe, op3_decontamination, op4_jaccard_join, op5_warc, op6_pii, op7_licenses, op8_html, op9_sharding, op10_token_counts,
+        op11_resampling, op12_packing, op13_conversation_repair, pipeline,
+    )
 }
 
+
+def _crc32(source: str) -> str:
+    """Common table expressions up to crc(word, crc): the checksums of the strings `word` of the table named, a byte a round."""
+    return f"""
+crc_table AS (SELECT i::BIGINT AS k, list_reduce(list_prepend(i::BIGINT, range(0, 8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(0, 256) r(i)),
+crc_step AS (
+  SELECT word, hex(encode(word)) AS h, 0 AS i, 4294967295::BIGINT AS c FROM {source}
+  UNION ALL SELECT word, h, i + 1, xor(c >> 8, v) FROM crc_step JOIN crc_table ON k = xor(c & 255, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) WHERE 2 * i < length(h)
+), crc AS (SELECT word, xor(c, 4294967295) AS crc FROM crc_step WHERE 2 * i = length(h))"""
+
+
+def _edits() -> str:
+    """Rows (state, initial that is kept or null, edits, cost, next state, turns inserted, role written or null) of what a row may meet."""
+    c, rows = conversations, []
+    for x in range(4):
+        y, inserted = x, []
+        for k in range(3):
+            turns = "[" + ", ".join(f"'{r}:'" for r in inserted) + "]::VARCHAR[]"
+            rows.append(f"({x}, NULL, '{'I' * k}D', {c.INSERT * k + c.DELETE}, {y}, {turns}, NULL)")
+            rows += [f"({x}, '{a}', '{'I' * k}K', {c.INSERT * k + c.KEEP}, {z}, {turns}, NULL)" for a, z in c.NEXT[y].items()]
+            rows.append(f"({x}, NULL, '{'I' * k}R', {c.INSERT * k + c.REROLE}, {c.WANTED[y]}, {turns}, '{c.ROLE[c.WANTED[y]]}')")
+            y = c.WANTED[y]
+            inserted.append(c.ROLE[y])
+    return ", ".join(rows)
+
+
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE = {
@@ -179,4 +221,51 @@ lines AS (SELECT doc_id, source, lang, array_to_string(list_distinct(str_split(c
 n AS (SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS a, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS b FROM lines)
 SELECT source, lang, 'words-1' AS version, count(*) AS n_docs, sum(a)::BIGINT AS n_tokens FROM n GROUP BY ALL
 UNION ALL SELECT source, lang, 'alnum-2', count(*), sum(b)::BIGINT FROM n GROUP BY ALL""",
+    "op11_resampling": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), {UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), {UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+words AS (SELECT doc_id, unnest(w) AS word FROM d), target AS (SELECT unnest(w) AS word FROM b),
+every AS (SELECT word FROM words UNION SELECT word FROM target),{_crc32("every")},
+bucket AS (SELECT word, crc % {resample.BUCKETS} AS k FROM crc),
+s AS (SELECT k, count(*) AS n FROM words JOIN bucket USING (word) GROUP BY k), t AS (SELECT k, count(*) AS n FROM target JOIN bucket USING (word) GROUP BY k),
+gain AS (SELECT r.k, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM words) + {resample.BUCKETS})
+  / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM target) + {resample.BUCKETS}))))::BIGINT AS gain FROM range(0, {resample.BUCKETS}) r(k) LEFT JOIN s ON s.k = r.k LEFT JOIN t ON t.k = r.k),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM words JOIN bucket USING (word) JOIN gain USING (k) GROUP BY doc_id),
+h AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('{resample.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d LEFT JOIN weights USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT doc_id, rank FROM able WHERE rank <= {resample.PERCENT} * n // 100) USING (doc_id)""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS word FROM conversations),
+every AS (SELECT DISTINCT word FROM named),{_crc32("every")},
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+         CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM named JOIN crc USING (word)
+), placed AS (
+  SELECT *, row_number() OVER c AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER c AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final
+  FROM hurt WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), r AS (SELECT *, final = '' AS blank, final <> '' AND again AS duplicate, final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS truncated FROM placed),
+figures AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+), edit(x, initial, edits, cost, z, inserted, role) AS (VALUES {_edits()}),
+path AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS written FROM figures
+  UNION ALL
+  SELECT conv_id, i, z, cost, audit, written FROM (
+  SELECT p.conv_id, r.i, e.z, p.cost + e.cost + CASE WHEN r.truncated AND right(e.edits, 1) <> 'D' THEN {conversations.TRUNCATED} ELSE 0 END AS cost, p.audit || e.edits AS audit,
+         p.written || e.inserted || CASE WHEN right(e.edits, 1) = 'D' THEN [] ELSE [coalesce(e.role, r.role) || ':' || r.text] END AS written
+  FROM path p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+  JOIN edit e ON e.x = p.state AND (right(e.edits, 1) = 'D' OR (NOT r.blank AND NOT r.duplicate AND (e.initial IS NULL OR e.initial = r.initial)))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, z ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT conv_id, cost, audit, written FROM (SELECT conv_id, p.cost + {conversations.INSERT} * len(tail) AS cost, audit || repeat('I', len(tail)) AS audit, written || tail AS written
+  FROM path p JOIN figures f USING (conv_id) JOIN (VALUES (0, []::VARCHAR[]), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])) t(state, tail) ON t.state = p.state
+  WHERE p.i = f.n) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(written, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures USING (conv_id) LEFT JOIN ended USING (conv_id)""",
 }
