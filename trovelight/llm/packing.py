@@ -30,11 +30,13 @@ Empty input gives empty output. Columns beside the two named are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -48,6 +50,8 @@ OPEN = 512
 WORDS = 1 << 20
 #: A word of its own between the words sent to the library; words that hold it are sent alone.
 MARK = "\x01"
+#: Words that the vocabulary's pattern keeps in one piece, whatever the Unicode version.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Encoder:
@@ -62,6 +66,9 @@ class Encoder:
         self.mark = self._ids([MARK])[0]
         if len(self.mark) != 1:
             raise ValueError("the vocabulary has no token for the mark between words")
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if suffix and token.endswith(suffix)]] = True
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -72,40 +79,45 @@ class Encoder:
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        plain, odd = [w for w in words if MARK not in w], [w for w in words if MARK in w]
-        found = []
-        joined = [f" {MARK} ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
-        for ids in self._ids(joined):
-            found += np.split(ids, np.flatnonzero(ids == self.mark[0]))
-            # All parts of a split but the first begin with the mark.
-        parts, k = [], 0
-        for i in range(0, len(plain), 1000):
-            n = len(plain[i : i + 1000])
-            parts += [found[k], *(x[1:] for x in found[k + 1 : k + n])]
-            k += n
-        parts += self._ids(odd)
-        size = np.array([len(x) for x in parts], np.int64)
+        kinds: tuple[list[str], ...] = [], [], []
+        for w in words:
+            kinds[0 if LETTERS.fullmatch(w) else 2 if MARK in w else 1].append(w)
+        letters, marked, alone = kinds
+        flat, sizes = [self.flat], []
+        # A word of letters alone ends where a token ends a word.
+        for ids in self._ids([" ".join(letters[i : i + 100]) for i in range(0, len(letters), 100)]):
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+            flat.append(ids)
+        for ids in self._ids([f" {MARK} ".join(marked[i : i + 100]) for i in range(0, len(marked), 100)]):
+            at = np.flatnonzero(ids == self.mark[0])
+            sizes.append(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+            flat.append(ids[ids != self.mark[0]])
+        flat += self._ids(alone)
+        size = np.concatenate([*sizes, [len(x) for x in flat[len(flat) - len(alone) :]]]).astype(np.int64)
         begin = len(self.flat) + np.cumsum(size) - size
-        self.place.update(zip(plain + odd, range(len(self.start), len(self.start) + len(parts)), strict=True))
-        self.flat = np.concatenate([self.flat, *parts])
+        self.place.update(zip(letters + marked + alone, range(len(self.start), len(self.start) + len(size)), strict=True))
+        self.flat = np.concatenate(flat)
         self.start, self.count = np.append(self.start, begin), np.append(self.count, size)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
         if len(self.place) > WORDS:
             self._forget()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        held = np.array([len(p) for p in parts], np.int64)
-        coded = pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
+        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
+        # A full stop or comma behind a letter is a token of its own: parted from the word, which then is met more often.
+        parts = pc.split_pattern(pc.replace_substring_regex(texts, r"(\p{L})([.,]) ", r"\1 \2 "), " ")
+        edges = parts.offsets.to_numpy() - parts.offsets[0].as_py() if len(parts) else np.zeros(1, np.int64)
+        coded = parts.flatten().dictionary_encode()
         # The library lowers letters one by one; for plain ones that can be done before.
-        words = [w.lower() if w.isascii() else w for w in coded.dictionary.to_pylist()]
-        if new := list(dict.fromkeys(w for w in words if w not in self.place)):
-            self._learn(new)
-        slot = np.array([self.place[w] for w in words], np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        words = pc.if_else(pc.string_is_ascii(coded.dictionary), pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()
+        slots = list(map(self.place.get, words))
+        if None in slots:
+            self._learn(list(dict.fromkeys(w for w, k in zip(words, slots, strict=True) if k is None)))
+            slots = [self.place[w] if k is None else k for w, k in zip(words, slots, strict=True)]
+        slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
         size = self.count[slot]
         total = np.concatenate(([0], np.cumsum(size)))
         at = np.arange(total[-1]) + np.repeat(self.start[slot] - total[:-1], size)
-        edges = np.concatenate(([0], np.cumsum(held)))
         return self.flat[at], np.diff(total[edges])
 
 
@@ -242,8 +254,8 @@ def pack(docs: DataFrame, file: bytes, doc_id: str = "doc_id", text: str = "text
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in text_slices(batch, 1):
-                ids, size = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+            for part in text_slices(batch, 1, 1 << 23):
+                ids, size = encoder.encode(part.column(1))
                 stop = 0
                 for name, n in zip(part.column(0).to_pylist(), size.tolist(), strict=True):
                     packer.add((name, n + 1), np.append(ids[stop : stop + n], np.uint32(end)))
