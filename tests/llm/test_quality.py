@@ -25,7 +25,8 @@ def docs(spark, rows):
 
 def test_figures(spark):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(None, GOOD, None), (7, GOOD, "s")]
-    found = quality.judge(docs(spark, rows)).collect()
+    found = sorted(quality.judge(docs(spark, rows)).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    rows.sort(key=lambda r: (r[0] is None, r[0]))
     assert [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found] == [(i, *figures(t)) for i, t, _ in rows]
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in found)
 
@@ -51,6 +52,29 @@ def test_rates(spark):
     assert found == {"a": pytest.approx((2 + 0.25 * weight) / (4 + weight)), "b": pytest.approx(0.25 * weight / (8 + weight))}
 
 
+def test_long_texts_and_shared_hosts(spark):
+    """A text of a million words, and a bad host whose documents are copies of one text, over several partitions."""
+    long = " ".join(f"w{i % 700_000}" for i in range(1_000_000))
+    rows = [(1, long, "fine"), (2, long.replace("w", "#"), "fine")] + [(10 + i, "copy", "bad") for i in range(90)] + [(200 + i, GOOD, f"h{i % 9}") for i in range(90)]
+    found = {r.doc_id: r for r in quality.judge(docs(spark, rows).repartition(7)).collect()}
+    for i, t, _ in rows[:2]:
+        r = found[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == figures(t)
+    assert [found[10 + i].host_bad for i in range(90)] == [True] * 90
+    assert not any(found[200 + i].host_bad for i in range(90))
+
+
+def test_a_bad_host_decides_over_a_whole_table(spark, folder):
+    """The given documents, and as many again of a host that mostly fails: its passing ones go, all others are judged as before."""
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {r.doc_id: r.kept for r in quality.judge(given).collect()}
+    rows = [(10_000 + i, GOOD if i % 4 == 0 else "too short", "mostly.bad") for i in range(200)]
+    added = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    after = {r.doc_id: (r.kept, r.base_failed, r.host_bad) for r in quality.judge(given.select("doc_id", "text", "source").unionByName(added)).collect()}
+    assert {i: after[i][0] for i in before} == before and any(before.values())
+    assert all(after[i] == (False, i % 4 != 0, True) for i, _, _ in rows)
+
+
 def test_empty(spark):
     none = docs(spark, [(1, "x", "s")]).limit(0)
     assert quality.judge(none).count() == quality.keep_good(none).count() == 0

@@ -34,7 +34,8 @@ SALTS = 16
 def _repeated(words: Column) -> Column:
     """Words inside three-word windows that the text holds twice or more.
 
-    Windows are sorted with their positions; a window equal to a neighbour is
+    Most texts repeat none, which a set of their windows shows. In others the windows
+    are sorted with their positions; a window equal to a neighbour is
     repeated, and each repeated start adds the words not covered by the one before.
     """
 
@@ -52,13 +53,15 @@ def _repeated(words: Column) -> Column:
         )
 
     def windows(w: Column) -> Column:
-        return F.transform(
-            F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")),
-        )
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    def placed(held: Column) -> Column:
+        return F.sort_array(F.transform(held, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+
+    def counted(held: Column) -> Column:
+        return F.when(F.size(F.array_distinct(held)) == F.size(held), F.lit(0).cast("long")).otherwise(let(let(placed(held), starts), covered))
 
-    order = let(words, lambda w: F.sort_array(windows(w)))
-    return let(let(order, starts), covered)
+    return let(let(words, windows), counted)
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
@@ -93,7 +96,7 @@ def host_verdicts(measured: DataFrame, host: str, m: str) -> DataFrame:
     """One row per host: n_docs, the shrunk rate of each rule, bad.
 
     Partial sums leave the tasks, so a host with a third of all rows is no
-    heavier than another. The prior comes from one row of sums over the hosts.
+    heavier than another. The prior is one row of averages over the hosts.
     """
     fails = failures(F.col(m))
     totals = (
@@ -103,32 +106,33 @@ def host_verdicts(measured: DataFrame, host: str, m: str) -> DataFrame:
     )
     totals = cut_lineage(totals)
     rate = lambda k: F.col(k) / F.col("n_docs")
-    prior = totals.agg(*(f(rate(k)).alias(f"{k}_{f.__name__}") for k in RULES for f in (F.avg, F.var_pop)))
-    joined = totals.join(F.broadcast(prior))  # the prior is one row
+    prior = totals.agg(*(f(rate(k)).alias(f"{k}_{f.__name__}") for k in RULES for f in (F.avg, F.var_pop))).first()
 
     def shrunk(k: str) -> Column:
-        mean, var = F.col(f"{k}_avg"), F.col(f"{k}_var_pop")
+        mean, var = prior[f"{k}_avg"] or 0.0, prior[f"{k}_var_pop"] or 0.0
         # Rates that lie far apart make a weak prior; equal ones leave no variance to tell. Either way it weighs as LEAST_WEIGHT documents at least, so that no single one condemns its host.
-        weight = F.when(var > 1e-12, F.greatest(mean * (1 - mean) / F.when(var > 1e-12, var) - 1, F.lit(LEAST_WEIGHT))).otherwise(LEAST_WEIGHT)
+        weight = max(mean * (1 - mean) / var - 1, LEAST_WEIGHT) if var > 1e-12 else LEAST_WEIGHT
         return (F.col(k) + mean * weight) / (F.col("n_docs") + weight)
 
-    rates = joined.select("host", "n_docs", *(shrunk(k).alias(k) for k in RULES))
+    rates = totals.select("host", "n_docs", *(shrunk(k).alias(k) for k in RULES))
     return rates.withColumn("bad", F.greatest(*(F.col(k) for k in RULES)) > HOST_LIMIT)
 
 
-def _judged(docs: DataFrame, text: str, host: str) -> tuple[DataFrame, str, str]:
-    """Rows with their figures and whether the host is bad.
+def _judged(rows: DataFrame, text: str, host: str, kept: list[str]) -> tuple[DataFrame, str, str]:
+    """The columns `kept` of the rows with their figures, and whether the host is bad.
 
-    The bad hosts are stored, so their true size decides whether Spark
+    Texts are measured once: rows are stored with their figures, and hosts and verdicts read
+    those. The bad hosts are stored too, so their true size decides whether Spark
     broadcasts them; beyond its limit both sides meet on (host, salt), and the
-    salt cuts a hot host into pieces.
+    salt, dealt by row number, cuts a hot host into pieces.
     """
-    measured = measure(docs, text)
+    measured = measure(rows, text)
     m = measured.columns[-1]
-    hosts = cut_lineage(host_verdicts(measured, host, m).filter("bad").select("host"))
+    held = cut_lineage(measured.select(*(col(measured, c) for c in kept), m))
+    hosts = cut_lineage(host_verdicts(held, host, m).filter("bad").select("host"))
     salted = hosts.select(F.col("host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt, bad = free_name(measured, "salt"), free_name(measured, "bad_host")
-    with_salt = measured.withColumn(salt, F.pmod(F.xxhash64(col(measured, text)), F.lit(SALTS)).cast("int"))
+    salt, bad = free_name(held, "salt"), free_name(held, "bad_host")
+    with_salt = held.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
     marked = salted.withColumn(bad, F.lit(True))
     on = (col(with_salt, host) == marked["host"]) & (F.col(salt) == marked["salt"])
     return with_salt.join(marked, on, "left").drop(salt).drop(marked["host"], marked["salt"]), m, bad
@@ -137,7 +141,7 @@ def _judged(docs: DataFrame, text: str, host: str) -> tuple[DataFrame, str, str]
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per input row: the figures, base_failed, host_bad, kept."""
     slim = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"), col(docs, host).alias("host_of"))
-    rows, m, bad = _judged(slim, "text", "host_of")
+    rows, m, bad = _judged(slim, "text", "host_of", ["doc_id", "host_of"])
     fails = failures(F.col(m))
     failed, host_bad = fails["short"] | fails["repetitive"], F.coalesce(F.col(bad), F.lit(False))
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -148,6 +152,6 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of documents that pass, with the columns they came with."""
-    rows, m, bad = _judged(docs, text, host)
+    rows, m, bad = _judged(docs, text, host, docs.columns)
     fails = failures(F.col(m))
     return rows.filter(~(fails["short"] | fails["repetitive"]) & F.col(bad).isNull()).drop(m, bad)
