@@ -64,6 +64,27 @@ def test_against_all_pairs(spark, seed):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_a_passage_that_many_texts_share(spark, few, monkeypatch):
+    """Two thousand texts around one passage, near copies among them: crowded buckets are signed again, and no link is lost."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rng = random.Random(21)
+    word = lambda: f"q{rng.randint(0, 10**6)}"
+    passage, texts = [word() for _ in range(60)], []
+    for k in range(2000):
+        own = [word() for _ in range(rng.choice([8, 20, 40, 60, 100]))]
+        if k % 10 == 0 and texts:
+            words = rng.choice(texts).split(" ")
+            words[rng.randrange(len(words))] = word()
+        else:
+            at = rng.randrange(len(own))
+            words = [*own[:at], *passage, *own[at:]]
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
+
+
 def test_large_sets(spark):
     """Sets beyond the common sketch, on both sides of a doubling of the wide one, near, far and sharing a long passage."""
     rng = random.Random(3)

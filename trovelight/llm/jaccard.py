@@ -19,9 +19,18 @@ t that is at most D = (1 - t) / (1 + t) of the sum of the sizes.
 Sets, not documents, are joined: copies share one node. In each bucket the members
 are first held against one head, by one of 32 orders that the bucket's key chooses. Near
 copies share many buckets and so meet many heads, which links groups of thousands without
-their pairs; only buckets whose members then still lie in different
-components are joined with themselves, across components, behind the size and
-Hamming bounds. Components are found by contracting edges towards the
+their pairs. What then counts are open buckets, whose members lie in different components:
+
+* with at most `FEW` pairs a member across components, these pairs are made, between the components of the bucket.
+* the others are crowded, mostly by a passage that many texts share and that fills whole buckets. A pair
+  whose common buckets are all crowded has both ends among their members, so these alone are signed
+  again, in an order that puts crowded buckets last: each token of a crowded bucket heats a cell of a
+  table of fixed size, and a bucket is as hot as its coolest token. Both sets of a pair
+  follow the same order, so the pigeonhole argument holds, and now their buckets are those that few share.
+  This goes on until no bucket is crowded, or no fewer pairs would be made than before; what is left then
+  is made up of near sets under the threshold, whose pairs are made.
+
+Components are found by contracting edges towards the
 smaller of two random node numbers, a logarithmic number of rounds.
 
 Defined cases: a document without words (or with a null text) has an empty set and
@@ -34,15 +43,15 @@ by `keep_one` and dropped by `classes`. Hash collisions of 64 bits are taken as
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.llm.common import col, free_name
@@ -55,6 +64,10 @@ OVER, UNDER = 3, 4
 SKETCH, FOLD = 32, 8
 #: The 32 orders of buckets, and how many of them are taken at a time.
 ORDERS = (0, 1, 3, 7, 15, 32)
+#: Pairs across components that a member of a bucket may stand for, on average, before the bucket counts as crowded.
+FEW = 16
+#: log2 of the cells of the table of hot tokens; it is sent to all tasks, a byte a cell.
+HEAT = 22
 #: Sets that a task remembers as sent.
 MEMORY = 1_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -150,8 +163,15 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(0.45 * n + 3)).astype(np.int64)
 
 
-def signatures(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the buckets by which each set is found."""
+def heat_cell(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens + np.uint64(3) * GOLD) >> np.uint64(64 - HEAT)).astype(np.int64)
+
+
+def signatures(tokens: np.ndarray, size: np.ndarray, heat: np.ndarray | None = None, tell=None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the buckets by which each set is found; cool buckets first, by the table `heat` of hot tokens.
+
+    `tell`, if given, is called with (row, key, first, tokens) of each lot of filled buckets: bucket i of the lot holds tokens[first[i]:first[i + 1]].
+    """
     own, top = band(size), band(UNDER * size // OVER)
     rows, keys = [], []
     start = np.cumsum(size) - size
@@ -170,7 +190,10 @@ def signatures(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
         parity = np.bitwise_xor.reduceat(own_tokens, first)
         row, bucket = row[first], bucket[first]
         key = mix(mix(parity) + mix(bucket * np.uint64(64) + level[row].astype(np.uint64)))
-        order = np.lexsort((key, -held, row))
+        if tell is not None:
+            tell(which[row], key, first, own_tokens)
+        cool = np.zeros(len(first), np.uint8) if heat is None else np.minimum.reduceat(heat[heat_cell(own_tokens)], first)
+        order = np.lexsort((key, -held, cool, row))
         row, key = row[order], key[order]
         filled = np.bincount(row, minlength=len(which))
         rank = np.arange(len(row)) - np.repeat(np.cumsum(filled) - filled, filled)
@@ -204,8 +227,9 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.
 
 
 def place(doc_id: str | Column, text: str | Column) -> Column:
-    """What tells rows apart: a hash of id and text, null ids included."""
-    return F.xxhash64(doc_id, text)
+    """What tells rows apart: 128 bits of a digest of id and text, null ids included."""
+    doc_id, text = (F.col(x) if isinstance(x, str) else x for x in (doc_id, text))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("id "), doc_id.cast("string")), F.lit("none")), F.lit("\n"), F.coalesce(text, F.lit("")))))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -226,7 +250,7 @@ def described(docs: DataFrame) -> DataFrame:
                     ["doc_id", "place", "node", "n", *names, "wide"],
                 )
 
-    return docs.select("doc_id", place("doc_id", "text").alias("place"), "text").mapInArrow(run, f"doc_id {kind}, place long, node long, n int, {', '.join(f'{s} long' for s in names)}, wide array<long>")
+    return docs.select("doc_id", place("doc_id", "text").alias("place"), "text").mapInArrow(run, f"doc_id {kind}, place binary, node long, n int, {', '.join(f'{s} long' for s in names)}, wide array<long>")
 
 
 def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -234,8 +258,9 @@ def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return node ^ mix(key & np.uint64(31))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, heat: np.ndarray | None = None) -> DataFrame:
     """key, rank: the buckets of every document's set, with the node in its rank's dress."""
+    table = docs.sparkSession.sparkContext.broadcast(heat)  # a byte a cell, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -251,7 +276,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 new &= [x not in seen for x in node.tolist()]
                 seen.update(node[new].tolist())
                 tokens, size, node = tokens[np.repeat(new, size)], size[new], node[new]
-                row, key = signatures(tokens, size)
+                row, key = signatures(tokens, size, table.value)
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(ranked(key, node[row]))], ["key", "rank"])
 
     return docs.select("text").mapInArrow(run, "key long, rank long")
@@ -351,10 +376,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("i", shared).filter(UNDER * F.col("i") >= OVER * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
-def _release(df: DataFrame) -> None:
-    """Have Spark drop the shuffle files of plans that nothing refers to; it does so only when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+@contextmanager
+def spent_shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Have Spark remove an execution's shuffle files at its end: what is needed later is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
@@ -390,18 +424,100 @@ def _of(roots: DataFrame, x: str) -> DataFrame:
     return roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
 
 
+def _heated(held: DataFrame, heat: np.ndarray) -> np.ndarray:
+    """The table with the tokens of crowded buckets, by log2 of their members; `held` has texts and their crowded keys."""
+    table = held.sparkSession.sparkContext.broadcast(heat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hottest = np.zeros(1 << HEAT, np.uint8)
+        for batch in batches:
+            for part in _slices(batch, 0):
+                tokens, size = shingles(part.column(0))
+                keys, logs = (part.column(k).flatten().to_numpy() for k in (1, 2))
+                keys, logs = keys.view(np.uint64), logs.astype(np.uint8)
+                ends = np.cumsum(pc.list_value_length(part.column(1)).to_numpy())
+                owner = np.searchsorted(ends, np.arange(len(keys)), "right")
+                asked = np.sort(mix(keys + GOLD * owner.astype(np.uint64)))
+                log_of = logs[np.argsort(mix(keys + GOLD * owner.astype(np.uint64)), kind="stable")]
+
+                def mark(row: np.ndarray, key: np.ndarray, first: np.ndarray, own: np.ndarray) -> None:
+                    mine = mix(key + GOLD * row.astype(np.uint64))
+                    at = np.minimum(np.searchsorted(asked, mine), len(asked) - 1)
+                    log = np.where(asked[at] == mine, log_of[at], 0)
+                    np.maximum.at(hottest, heat_cell(own), np.repeat(log, np.diff(np.append(first, len(own)))).astype(np.uint8))
+
+                if len(keys):
+                    signatures(tokens, size, table.value, mark)
+        at = np.flatnonzero(hottest)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(hottest[at].astype(np.int16))], ["cell", "log"])
+
+    cells = held.select("text", F.col("crowded.key").alias("keys"), F.col("crowded.log").alias("logs")).mapInArrow(run, "cell int, log short")
+    found = cells.groupBy("cell").agg(F.max("log").alias("log")).toArrow()  # a row a cell at most
+    out = heat.copy()
+    out[found["cell"].to_numpy()] = np.maximum(out[found["cell"].to_numpy()], found["log"].to_numpy().astype(np.uint8))
+    return out
+
+
+def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the members (key, node, root) of a bucket in different components, within the bounds of the fold.
+
+    Components of a bucket are paired first, so members of one component never meet.
+    """
+    held = members.join(_as(nodes, "a", FOLD), F.col("node") == F.col("a")).drop("node")
+    roots = members.select("key", "root").distinct()
+    paired = roots.join(roots.withColumnRenamed("root", "other"), "key").filter("root < other")
+    left = held.join(paired, ["key", "root"])
+    right = held.select("key", F.col("root").alias("other"), *(F.col(c).alias("b" + c[1:]) for c in held.columns if c.startswith("a")))
+    met = left.join(right, ["key", "other"]).filter(_near("a", "b", FOLD))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _open(members: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Members (key, node, root) of open buckets with few pairs; those of crowded ones, with log2 of these; and the pairs the latter stand for."""
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs = F.col("n") * F.col("n") - F.col("own")
+    keys = sizes.filter(pairs > 0).select("key", (pairs > 2 * FEW * F.col("n")).alias("many"), F.log2("n").cast("int").alias("log"), (pairs / 2).cast("long").alias("pairs"))
+    keys = cut_lineage(keys)
+    held = cut_lineage(members.join(keys.drop("pairs"), "key"))
+    total = keys.filter("many").agg(F.sum("pairs")).first()[0] or 0
+    return held.filter(~F.col("many")).select("key", "node", "root"), held.filter("many").select("key", "node", "root", "log"), total
+
+
+def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the heads of the buckets have not settled: within the bounds of the fold."""
+    found, heat, texts, before = [], np.zeros(1 << HEAT, np.uint8), None, None
+    while True:
+        few, crowded, pairs = _open(_rooted(members, roots))
+        found.append(_across(few, nodes))
+        if not pairs:
+            break
+        if before is not None and pairs > 0.9 * before:
+            found.append(_across(crowded.drop("log"), nodes))
+            break
+        before = pairs
+        keys = crowded.groupBy("node").agg(F.collect_list(F.struct("key", "log")).alias("crowded"))
+        asked = cut_lineage(keys.join(nodes.select("node", "place"), "node").select("place", "crowded"))
+        source = docs.select(place("doc_id", "text").alias("place"), "text") if texts is None else texts
+        texts = cut_lineage(source.join(asked, "place"))
+        heat = _heated(texts, heat)
+        texts = texts.select("place", "text")
+        members = cut_lineage(shared_buckets(_keyed(texts, heat)).select("key", "node"))
+    pairs = reduce(DataFrame.unionByName, found)
+    return cut_lineage(pairs.distinct() if len(found) > 1 else pairs)
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose connected components are those of all links."""
     shared = cut_lineage(shared_buckets(_keyed(docs)))
-    _release(shared)
     stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), F.col("key").bitwiseAND(31).alias("o"))
     stars = stars.groupBy("a", "b").agg(F.min("o").alias("o"))
     folded = cut_lineage(_close(stars, nodes, FOLD))
-    _release(folded)
     close = cut_lineage(_wide_close(cut_lineage(_close(folded, nodes, SKETCH)), nodes))
-    _release(close)
     sets, edges, roots = _sets(close, docs, nodes), None, None
-    _release(close)
     # One order links most of a large group; the pairs of each further order are needed only across what is not yet linked.
     for low, high in pairwise(ORDERS):
         pairs = close.filter(F.col("o").between(low, high - 1)).select("a", "b")
@@ -410,18 +526,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         found = _verified(cut_lineage(pairs), sets)
         edges = cut_lineage(found if edges is None else edges.unionByName(found))
         roots = components(edges)
-        _release(close)
-    # What a head has not settled: members of one bucket in different components, the head itself aside.
-    rest = shared.filter("node <> head").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = cut_lineage(rest.join(open_keys, "key", "left_semi").join(_as(nodes, "a", FOLD), F.col("node") == F.col("a")).drop("node"))
-    if left.isEmpty():
-        return edges
-    other = left.select("key", F.col("root").alias("other"), *(F.col(c).alias("b" + c[1:]) for c in left.columns if c.startswith("a")))
-    met = left.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _near("a", "b", FOLD)).select("a", "b").distinct()
+    # Each bucket's head has met all its members.
+    met = _left_open(shared.filter("node <> head").select("key", "node"), docs, nodes, roots)
     met = cut_lineage(_close(met.join(close, ["a", "b"], "left_anti"), nodes, SKETCH))
     met = cut_lineage(_wide_close(met, nodes))
-    _release(met)
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
 
 
@@ -433,7 +541,8 @@ def _classified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # A node's text is read from one of its rows, of those with an id if there are any.
     stands = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("place"))), F.min("place")).alias("place")
     nodes = cut_lineage(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), stands, F.first("n").alias("n"), *(F.first(s).alias(s) for s in [*sketch, "wide"])))
-    roots = components(links(slim, nodes))
+    with spent_shuffles_dropped(docs.sparkSession):
+        roots = components(links(slim, nodes))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     where = cut_lineage(named.join(least, "root").select("node", "root", "component_id"))
