@@ -122,6 +122,22 @@ def test_every_link_shares_a_bucket():
             assert sum(int(x).bit_count() for x in sketch[0] ^ sketch[1]) <= n + m - 2 * inner
 
 
+def test_every_link_shares_a_cool_token():
+    """The prefix argument: the first token in common is short in the smaller set and taken in the larger, whatever the heat."""
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 75, 300, 1000]:
+        heat = rng.integers(0, 3, 1 << jaccard.HEAT).astype(np.uint8)
+        for m in {n, int((4 * n) // 3), int(rng.integers(n, 4 * n // 3 + 1))}:
+            inner = -(-3 * (n + m) // 7)
+            if inner > n:
+                continue
+            pool = rng.integers(0, 2**63, n + m - inner).astype(np.uint64)
+            a, b = pool[:n], pool[n - inner :]
+            row, token, short = jaccard.prefixes(np.concatenate((a, b)), np.array([len(a), len(b)]), heat)
+            assert set(token[(row == 0) & short]) & set(token[row == 1])
+            assert n < m or set(token[(row == 1) & short]) & set(token[row == 0])
+
+
 def test_shared_rows_stream():
     rng = np.random.default_rng(2)
     key, node = rng.integers(0, 40, 300), rng.integers(0, 4, 300)

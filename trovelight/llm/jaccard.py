@@ -24,11 +24,12 @@ their pairs. What then counts are open buckets, whose members lie in different c
 * with at most `FEW` pairs a member across components, these pairs are made, between the components of the bucket.
 * the others are crowded, mostly by a passage that many texts share and that fills whole buckets. A pair
   whose common buckets are all crowded has both ends among their members, so these alone are signed
-  again, in an order that puts crowded buckets last: each token of a crowded bucket heats a cell of a
-  table of fixed size, and a bucket is as hot as its coolest token. Both sets of a pair
-  follow the same order, so the pigeonhole argument holds, and now their buckets are those that few share.
-  This goes on until no bucket is crowded, or no fewer pairs would be made than before; what is left then
-  is made up of near sets under the threshold, whose pairs are made.
+  again, by buckets of one token each, those of crowded buckets last: each token of a crowded bucket heats a cell of a
+  table of fixed size. Both sets of a pair follow the same order, so they share a token among the first seventh of
+  the smaller set and the first quarter of the larger one; a passage that makes up less than six sevenths
+  of a text, as it does unless texts that share it are near copies, comes after that seventh.
+  This goes on until no bucket is crowded, or hardly fewer pairs would be made than before; what is left
+  then has its pairs made.
 
 Components are found by contracting edges towards the
 smaller of two random node numbers, a logarithmic number of rounds.
@@ -164,11 +165,23 @@ def band(n: np.ndarray) -> np.ndarray:
 
 
 def heat_cell(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens + np.uint64(3) * GOLD) >> np.uint64(64 - HEAT)).astype(np.int64)
+    return (mix(tokens ^ BYTE[3]) >> np.uint64(64 - HEAT)).astype(np.int64)
 
 
-def signatures(tokens: np.ndarray, size: np.ndarray, heat: np.ndarray | None = None, tell=None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the buckets by which each set is found; cool buckets first, by the table `heat` of hot tokens.
+def prefixes(tokens: np.ndarray, size: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, short) of each set's coolest tokens: those that it shares with any partner, and which of them with a larger one."""
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((tokens, heat[heat_cell(tokens)], row))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    n = size[row]
+    # A partner shares 3/4 of this set at least, a larger partner 6/7.
+    take = rank <= n - -(-OVER * n // UNDER)
+    short = rank <= n - -(-2 * OVER * n // (OVER + UNDER))
+    return row[take], tokens[order][take], short[take]
+
+
+def signatures(tokens: np.ndarray, size: np.ndarray, tell=None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the buckets by which each set is found.
 
     `tell`, if given, is called with (row, key, first, tokens) of each lot of filled buckets: bucket i of the lot holds tokens[first[i]:first[i + 1]].
     """
@@ -192,8 +205,7 @@ def signatures(tokens: np.ndarray, size: np.ndarray, heat: np.ndarray | None = N
         key = mix(mix(parity) + mix(bucket * np.uint64(64) + level[row].astype(np.uint64)))
         if tell is not None:
             tell(which[row], key, first, own_tokens)
-        cool = np.zeros(len(first), np.uint8) if heat is None else np.minimum.reduceat(heat[heat_cell(own_tokens)], first)
-        order = np.lexsort((key, -held, cool, row))
+        order = np.lexsort((key, -held, row))
         row, key = row[order], key[order]
         filled = np.bincount(row, minlength=len(which))
         rank = np.arange(len(row)) - np.repeat(np.cumsum(filled) - filled, filled)
@@ -258,9 +270,8 @@ def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return node ^ mix(key & np.uint64(31))
 
 
-def _keyed(docs: DataFrame, heat: np.ndarray | None = None) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
     """key, rank: the buckets of every document's set, with the node in its rank's dress."""
-    table = docs.sparkSession.sparkContext.broadcast(heat)  # a byte a cell, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -276,7 +287,7 @@ def _keyed(docs: DataFrame, heat: np.ndarray | None = None) -> DataFrame:
                 new &= [x not in seen for x in node.tolist()]
                 seen.update(node[new].tolist())
                 tokens, size, node = tokens[np.repeat(new, size)], size[new], node[new]
-                row, key = signatures(tokens, size, table.value)
+                row, key = signatures(tokens, size)
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(ranked(key, node[row]))], ["key", "rank"])
 
     return docs.select("text").mapInArrow(run, "key long, rank long")
@@ -424,9 +435,8 @@ def _of(roots: DataFrame, x: str) -> DataFrame:
     return roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
 
 
-def _heated(held: DataFrame, heat: np.ndarray) -> np.ndarray:
-    """The table with the tokens of crowded buckets, by log2 of their members; `held` has texts and their crowded keys."""
-    table = held.sparkSession.sparkContext.broadcast(heat)
+def _bucket_cells(held: DataFrame) -> DataFrame:
+    """cell, log of the tokens of crowded buckets; `held` has texts and their crowded keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hottest = np.zeros(1 << HEAT, np.uint8)
@@ -434,64 +444,93 @@ def _heated(held: DataFrame, heat: np.ndarray) -> np.ndarray:
             for part in _slices(batch, 0):
                 tokens, size = shingles(part.column(0))
                 keys, logs = (part.column(k).flatten().to_numpy() for k in (1, 2))
-                keys, logs = keys.view(np.uint64), logs.astype(np.uint8)
-                ends = np.cumsum(pc.list_value_length(part.column(1)).to_numpy())
-                owner = np.searchsorted(ends, np.arange(len(keys)), "right")
-                asked = np.sort(mix(keys + GOLD * owner.astype(np.uint64)))
-                log_of = logs[np.argsort(mix(keys + GOLD * owner.astype(np.uint64)), kind="stable")]
+                owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64), pc.list_value_length(part.column(1)).to_numpy())
+                asked = mix(keys.view(np.uint64) + GOLD * owner)
+                order = np.argsort(asked, kind="stable")
+                asked, logs = asked[order], logs[order].astype(np.uint8)
 
                 def mark(row: np.ndarray, key: np.ndarray, first: np.ndarray, own: np.ndarray) -> None:
                     mine = mix(key + GOLD * row.astype(np.uint64))
                     at = np.minimum(np.searchsorted(asked, mine), len(asked) - 1)
-                    log = np.where(asked[at] == mine, log_of[at], 0)
-                    np.maximum.at(hottest, heat_cell(own), np.repeat(log, np.diff(np.append(first, len(own)))).astype(np.uint8))
+                    log = np.where(asked[at] == mine, logs[at], 0).astype(np.uint8)
+                    np.maximum.at(hottest, heat_cell(own), np.repeat(log, np.diff(np.append(first, len(own)))))
 
-                if len(keys):
-                    signatures(tokens, size, table.value, mark)
+                signatures(tokens, size, mark)
         at = np.flatnonzero(hottest)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(hottest[at].astype(np.int16))], ["cell", "log"])
 
-    cells = held.select("text", F.col("crowded.key").alias("keys"), F.col("crowded.log").alias("logs")).mapInArrow(run, "cell int, log short")
+    return held.select("text", F.col("crowded.key").alias("keys"), F.col("crowded.log").alias("logs")).mapInArrow(run, "cell int, log short")
+
+
+def _token_cells(members: DataFrame) -> DataFrame:
+    """cell, log of tokens with more than a few members, whether these lie in different components or not."""
+    popular = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = heat_cell(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(1)], ["cell", "log"])
+
+    return popular.select("key", F.log2("n").cast("short").alias("log")).mapInArrow(run, "cell int, log short")
+
+
+def _heated(cells: DataFrame, heat: np.ndarray) -> np.ndarray:
+    """The table with these cells as hot as they say at least."""
     found = cells.groupBy("cell").agg(F.max("log").alias("log")).toArrow()  # a row a cell at most
+    at, log = found["cell"].to_numpy(), found["log"].to_numpy().astype(np.uint8)
     out = heat.copy()
-    out[found["cell"].to_numpy()] = np.maximum(out[found["cell"].to_numpy()], found["log"].to_numpy().astype(np.uint8))
+    out[at] = np.maximum(out[at], log)
     return out
 
 
+def _prefixed(texts: DataFrame, heat: np.ndarray) -> DataFrame:
+    """key, node, short: the coolest tokens of every text's set."""
+    table = texts.sparkSession.sparkContext.broadcast(heat)  # a byte a cell, whatever the corpus
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 0):
+                tokens, size = shingles(part.column(0))
+                node, _ = nodes_of(tokens, size)
+                row, token, short = prefixes(tokens, size, table.value)
+                yield pa.RecordBatch.from_arrays([_signed(token), _signed(node[row]), pa.array(short)], ["key", "node", "short"])
+
+    return texts.select("text").mapInArrow(run, "key long, node long, short boolean")
+
+
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of the members (key, node, root) of a bucket in different components, within the bounds of the fold.
+    """Distinct pairs (a, b) of the members (key, node, short, root) of a bucket in different components, within the bounds of the fold.
 
-    Components of a bucket are paired first, so members of one component never meet.
+    One of a pair is short and not the larger. Components of a bucket are paired first, so members of one component never meet.
     """
     held = members.join(_as(nodes, "a", FOLD), F.col("node") == F.col("a")).drop("node")
-    roots = members.select("key", "root").distinct()
-    paired = roots.join(roots.withColumnRenamed("root", "other"), "key").filter("root < other")
-    left = held.join(paired, ["key", "root"])
+    roots = members.groupBy("key", "root").agg(F.max("short").alias("any_short"))
+    paired = roots.filter("any_short").drop("any_short").join(roots.select("key", F.col("root").alias("other")), "key").filter("root <> other")
+    left = held.filter("short").drop("short").join(paired, ["key", "root"])
     right = held.select("key", F.col("root").alias("other"), *(F.col(c).alias("b" + c[1:]) for c in held.columns if c.startswith("a")))
-    met = left.join(right, ["key", "other"]).filter(_near("a", "b", FOLD))
+    met = left.join(right, ["key", "other"]).filter(_near("a", "b", FOLD) & (F.col("an") <= F.col("bn")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-
-
-def _open(members: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Members (key, node, root) of open buckets with few pairs; those of crowded ones, with log2 of these; and the pairs the latter stand for."""
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    pairs = F.col("n") * F.col("n") - F.col("own")
-    keys = sizes.filter(pairs > 0).select("key", (pairs > 2 * FEW * F.col("n")).alias("many"), F.log2("n").cast("int").alias("log"), (pairs / 2).cast("long").alias("pairs"))
-    keys = cut_lineage(keys)
-    held = cut_lineage(members.join(keys.drop("pairs"), "key"))
+def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Members (key, node, short, root) of open buckets with few pairs; those of crowded ones, with log2 of these; and the pairs the latter stand for."""
+    rooted = members.join(roots, "node", "left").select("key", "node", "short", F.coalesce("root", "node").alias("root"))
+    n, s = F.col("n"), F.col("s")
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.col("short").cast("long")).alias("s"))
+    sizes = sizes.groupBy("key").agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(n * s).alias("own"))
+    pairs = n * s - F.col("own")
+    keys = cut_lineage(sizes.filter(pairs > 0).select("key", (pairs > 2 * FEW * n).alias("many"), F.log2("n").cast("int").alias("log"), pairs.alias("pairs")))
+    held = cut_lineage(rooted.join(keys.drop("pairs"), "key"))
     total = keys.filter("many").agg(F.sum("pairs")).first()[0] or 0
-    return held.filter(~F.col("many")).select("key", "node", "root"), held.filter("many").select("key", "node", "root", "log"), total
+    return held.filter(~F.col("many")).drop("many", "log"), held.filter("many").drop("many"), total
 
 
 def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) that the heads of the buckets have not settled: within the bounds of the fold."""
     found, heat, texts, before = [], np.zeros(1 << HEAT, np.uint8), None, None
+    members = members.withColumn("short", F.lit(True))
     while True:
-        few, crowded, pairs = _open(_rooted(members, roots))
+        few, crowded, pairs = _open(members, roots)
         found.append(_across(few, nodes))
         if not pairs:
             break
@@ -499,13 +538,17 @@ def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: Dat
             found.append(_across(crowded.drop("log"), nodes))
             break
         before = pairs
-        keys = crowded.groupBy("node").agg(F.collect_list(F.struct("key", "log")).alias("crowded"))
-        asked = cut_lineage(keys.join(nodes.select("node", "place"), "node").select("place", "crowded"))
-        source = docs.select(place("doc_id", "text").alias("place"), "text") if texts is None else texts
-        texts = cut_lineage(source.join(asked, "place"))
-        heat = _heated(texts, heat)
-        texts = texts.select("place", "text")
-        members = cut_lineage(shared_buckets(_keyed(texts, heat)).select("key", "node"))
+        if texts is None:
+            keys = crowded.groupBy("node").agg(F.collect_list(F.struct("key", "log")).alias("crowded"))  # of a set's own buckets
+            asked = cut_lineage(keys.join(nodes.select("node", "place"), "node"))
+            source = docs.select(place("doc_id", "text").alias("place"), "text")
+            texts = cut_lineage(source.join(asked, "place"))
+            cells, texts = _bucket_cells(texts), texts.select("node", "text")
+        else:
+            texts = cut_lineage(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
+            cells = _token_cells(members)
+        heat = _heated(cells, heat)
+        members = cut_lineage(_prefixed(texts, heat).distinct())
     pairs = reduce(DataFrame.unionByName, found)
     return cut_lineage(pairs.distinct() if len(found) > 1 else pairs)
 
