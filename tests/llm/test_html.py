@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -110,3 +111,13 @@ def test_frames(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert [tuple(r) for r in H.extract(pages).collect()] == [(1, None, "", 0), (2, "u", "", 0), (3, "u", "a b c d.", 8), (3, "u", "a b c d.", 8)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_deep_and_broken_pages_stay_linear():
+    """A hundred thousand open tags, each with its own text, and as many end tags without a start."""
+    start = time.perf_counter()
+    deep = "".join(f"<div>text {i} here" for i in range(100_000))
+    assert len(H.features(H.blocks(deep))) == 100_000
+    broken = "<div>" * 50_000 + "x" + "</section></p></li>" * 50_000
+    assert [b.text() for b in H.blocks(broken)] == ["x"]
+    assert time.perf_counter() - start < 60

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from trovelight.llm import crf, pii
 
@@ -56,3 +57,20 @@ def test_frames(spark):
     assert masked.columns == docs.columns
     assert [r.text for r in masked.collect()] == [None, "", "mail [EMAIL] now", "mail [EMAIL] now", "ip [IP]"]
     assert pii.find(docs.limit(0)).count() == pii.mask(docs.limit(0)).count() == 0
+
+
+def test_digit_runs_stay_linear():
+    """A megabyte of digits beside a dot, in several arrangements, within a time limit; and what the leftmost match is."""
+    start = time.perf_counter()
+    for text in ("1" * 1_000_000 + ".", "1" * 500_000 + "." + "2" * 500_000, ("1" * 1000 + ".") * 2 + "x" + "3" * 900_000 + ". "):
+        assert [s for s in pii.base_spans(text) if s[2] == "ip"] == []
+    assert time.perf_counter() - start < 20
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("0129.. x") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_long_words_keep_their_end():
+    assert pii.shape("a" * 50 + "1" * 60 + "-") == "aaa999-"

@@ -22,10 +22,12 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style template svg iframe head title textarea select button datalist".split())
 #: What may stand in a head.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+KEEPS_P = BLOCKS - {"p"} | {"object"}
 #: Start tags that end an open element of the same kind, up to the container that separates them.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -51,6 +54,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 AREAS = ("nav", "aside", "footer", "header", "form", "dialog", "menu", "article", "main", "section", "blockquote", "figure", "table")
+FURNITURE = frozenset("nav aside footer form dialog menu".split())
 #: Words in classes, ids and roles that tell what an element holds.
 CUES = {
     "ad": "ad ads adv advert advertisement adverts banner promo promotion sponsor sponsored",
@@ -69,9 +73,37 @@ NAME = re.compile(r"[a-z]+")
 SLOTS = 12
 
 
+class Place(NamedTuple):
+    """What the open elements say of a block inside them. Each element adds to the place of its parent, so a path costs the same at any depth."""
+
+    block: str | None = None  # the innermost block tag
+    area: str | None = None
+    cue: str | None = None
+    bad_cue: str | None = None
+    bad_tag: str | None = None
+    inner: bool = False  # inside an article, a main or what is named a text
+    below_tag: str | None = None  # furniture inside the innermost of these
+    below_cue: str | None = None
+
+    def inside(self, tag: str, cues: frozenset[str]) -> Place:
+        order = sorted(cues)
+        bad = [c for c in order if c != "text"][-1:]
+        inner = tag in ("article", "main") or "text" in cues
+        return Place(
+            tag if tag in BLOCKS else self.block,
+            tag if tag in AREAS else self.area,
+            order[-1] if order else self.cue,
+            bad[0] if bad else self.bad_cue,
+            tag if tag in FURNITURE or tag == "header" else self.bad_tag,
+            inner or self.inner,
+            None if inner else tag if tag in FURNITURE else self.below_tag,
+            None if inner else bad[0] if bad else self.below_cue,
+        )
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, frozenset[str]], ...]
+    place: Place
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -84,24 +116,30 @@ class Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.stack: list[tuple[str, Place]] = []
+        self.held: Counter[str] = Counter()  # open elements by tag
         self.silent = self.links = 0
         self.blocks: list[Block] = []
         self.open: Block | None = None
 
     def _push(self, tag: str, attrs: list) -> None:
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()
-        self.stack.append((tag, frozenset(CUE_OF[w] for w in NAME.findall(names) if w in CUE_OF)))
+        above = self.stack[-1][1] if self.stack else Place()
+        self.stack.append((tag, above.inside(tag, frozenset(CUE_OF[w] for w in NAME.findall(names) if w in CUE_OF))))
+        self.held[tag] += 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
     def _pop(self, n: int) -> None:
         for tag, _ in self.stack[n:]:
+            self.held[tag] -= 1
             self.silent -= tag in SILENT
             self.links -= tag == "a"
         del self.stack[n:]
 
     def _unwind(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self.held[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in stop:
                 return
@@ -121,14 +159,14 @@ class Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.silent and tag not in HEAD:
             self._end_head()
-        if tag == "head" and any(t in ("head", "body") for t, _ in self.stack):
+        if tag == "head" and (self.held["head"] or self.held["body"]):
             return
         if tag == "body":
             self._unwind({"head"}, frozenset())
         if tag in BLOCKS:
             self.open = None
             # An object keeps the paragraph it stands in open.
-            self._unwind({"p"}, BLOCKS - {"p"} | {"object"})
+            self._unwind({"p"}, KEEPS_P)
             if tag in CLOSES:
                 self._unwind(*CLOSES[tag])
         elif tag == "br" and self.open:
@@ -155,7 +193,7 @@ class Reader(HTMLParser):
         if self.open is None:
             if data.isspace():
                 return
-            self.open = Block(tuple(self.stack))
+            self.open = Block(self.stack[-1][1] if self.stack else Place())
             self.blocks.append(self.open)
         self.open.parts.append(data)
         self.open.linked += len(data) if self.links else 0
@@ -175,28 +213,23 @@ def _bucket(n: int, edges: tuple[int, ...]) -> str:
 def features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
-        tags = [t for t, _ in b.path]
-        blocky = [t for t in tags if t in BLOCKS]
-        areas = [t for t in tags if t in AREAS]
-        cues = [c for _, cs in b.path for c in sorted(cs)]
-        inner = next((k for k in range(len(tags) - 1, -1, -1) if tags[k] in ("article", "main") or "text" in b.path[k][1]), -1)
-        below = [t for t in tags[inner + 1 :] if t in ("nav", "aside", "footer", "form", "dialog", "menu")] + [c for _, cs in b.path[inner + 1 :] for c in sorted(cs) if c != "text"]
-        text = b.text()
+        at, text = b.place, b.text()
+        below = at.below_cue or at.below_tag
+        bad = at.bad_tag or at.bad_cue
         n = len(text.split())
-        bad = [c for c in cues if c != "text"] + [t for t in tags if t in ("nav", "aside", "footer", "form", "dialog", "menu", "header")]
         out.append(
             [
-                "tag:" + (blocky[-1] if blocky else "-"),
-                "area:" + (areas[-1] if areas else "-"),
-                "cue:" + (cues[-1] if cues else "-"),
-                "bad:" + (bad[-1] if bad else "-"),
-                f"within:{inner >= 0}:{bool(below)}",
-                "below:" + (below[-1] if below else "-"),
+                "tag:" + (at.block or "-"),
+                "area:" + (at.area or "-"),
+                "cue:" + (at.cue or "-"),
+                "bad:" + (bad or "-"),
+                f"within:{at.inner}:{bool(below)}",
+                "below:" + (below or "-"),
                 "words:" + _bucket(n, (2, 4, 8, 15, 30, 60)),
                 "links:" + _bucket(int(10 * b.linked / max(1, len(text))), (1, 4, 8)),
                 f"end:{text[-1] in '.!?:;'}",
                 f"copy:{'©' in text or '(c)' in text.lower()}",
-                f"bare:{inner >= 0}:{bool(bad)}:{blocky[-1] if blocky else '-'}:{_bucket(n, (4, 15))}",
+                f"bare:{at.inner}:{bool(bad)}:{at.block or '-'}:{_bucket(n, (4, 15))}",
                 "first" if i == 0 else "last" if i == len(page) - 1 else "mid",
             ]
         )
