@@ -158,24 +158,73 @@ def test_generation_defaults_reuse_and_todo(spark):
 
 def test_generators(spark):
     text = "Alpha is one thing. Beta is another thing! Gamma is a third. Alpha is one thing."
-    record = G.enrich_chunk(G.SentenceGenerator(), "c", text)
-    assert record["n_distinct_facts"] == 3 and record["unbounded_budget"] == 2
-    assert len(record["bounded_questions"]) == 5 and len(record["unbounded_questions"]) == 2
     replies = iter(["nonsense", '```json\n{"facts": []}\n```'])
     chat = G.ChatGenerator(lambda messages, temperature, seed: next(replies), pause=lambda seconds: None)
     assert chat(G.FACTS_TASK, "x", 1) == {"facts": []}
-    assert G.valid_ids(["1", 0, "9", "x", 1, "-1"], 3) == [0, 1]
-    clamped = G.distinct_facts([{"fact": "f", "evidence": "e", "importance": 9, "distinctiveness": 0}, {"fact": "g"}])
-    assert clamped == [{"fact": "f", "evidence": "e", "importance": 5, "distinctiveness": 1}]
     rows = spark.createDataFrame([("a", text), ("b", "")], "chunk_id string, content string")
-    made = {r.chunk_id: r for r in G.generate_chunks(rows, G.SentenceGenerator()).collect()}
-    assert made["a"].error is None and len(made["a"].bounded_questions) == 5
-    assert "no facts" in made["b"].error and made["b"].facts is None
-    article = [("art", "T", text, ["c1"], [(f, "e", 1, 1) for f in ("Alpha is one thing.", "Beta is another.", "Gamma comes third.")])]
+    for near in (True, False):
+        made = {r.chunk_id: r for r in G.generate_chunks(rows, G.SentenceGenerator(), near).collect()}
+        assert made["a"].error is None and (made["a"].n_distinct_facts, made["a"].unbounded_budget) == (3, 2)
+        assert len(made["a"].bounded_questions) == 5 and len(made["a"].unbounded_questions) == 2
+        assert "no facts" in made["b"].error and made["b"].facts is None
+    article = [("art", "T", text, ["c1"], [(f, "e", 1, 1) for f in ("Alpha is one thing.", "Beta is another.", "Gamma comes third.")]), ("none", "T", "", ["c2"], [])]
     articles = spark.createDataFrame(article, f"article_id string, title string, content string, chunk_ids array<string>, facts {G.FACT_TYPE}")
-    bounded = G.generate_articles(articles, G.SentenceGenerator()).first()
-    free = G.generate_articles(articles, G.SentenceGenerator(), bounded=False).first()
+    made = G.generate_articles(articles, G.SentenceGenerator())
+    results, placeholders = G.results_and_placeholders(made)
+    bounded, held = results.first(), placeholders.first()
+    assert (held.article_id, held.questions, held.question_budget, held.error) == ("none", [], 0, "no facts for none")
+    free = G.generate_articles(articles, G.SentenceGenerator(), bounded=False).filter("article_id = 'art'").first()
     assert (bounded.question_budget, free.question_budget) == (5, 2) and len(free.questions) == 2
+    assert bounded.questions[0].supporting_chunk_ids == ["c1"]
+
+
+class Scripted:
+    """Answers by task and attempt; `log` is a folder that receives every prompt."""
+
+    def __init__(self, log):
+        self.log = str(log)
+
+    def __call__(self, task, content, seed):
+        import uuid
+
+        attempt = seed - G.SEED
+        with open(f"{self.log}/{uuid.uuid4().hex}", "w") as out:
+            out.write(f"{'facts' if task == G.FACTS_TASK else attempt}|{content}")
+        if "down" in content:
+            raise RuntimeError("no connection")
+        if task == G.FACTS_TASK:
+            facts = [{"fact": f" Fact {w} ", "evidence": "q", "importance": v, "distinctiveness": "x"} for w, v in zip("abcd", (9, "3", 0, None))]
+            return {"facts": [*facts, {"fact": "fact A!", "evidence": "again"}, {"fact": "unquoted", "evidence": " "}]}
+        ask = lambda text, *ids: {"question": text, "source_fact_ids": list(ids)}
+        first = [ask("One?", 0), ask("one", 1), ask("Two?", "1", 1, 7), ask("No ids?"), ask(" ", 0), ask("Bad ids?", 9, "x", -1)]
+        return {"questions": [first, [ask("TWO", 3), ask("Three?", 3, 2)], [ask("Four?", 0), ask("Five?", 0), ask("Six?", 0)]][attempt]}
+
+
+def test_retry_state(spark, tmp_path):
+    """What each attempt asks for and what is accepted, a failing call beside rows that go on."""
+    rows = spark.createDataFrame([("a", "text"), ("b", "down")], "chunk_id string, content string")
+    made = {r.chunk_id: r for r in G.generate_chunks(rows, Scripted(tmp_path), near=False).collect()}
+    assert made["b"].error == "no connection" and made["b"].n_distinct_facts is None
+    record = made["a"]
+    assert record.error is None and (record.n_distinct_facts, record.unbounded_budget, record.bounded_budget) == (4, 2, 5)
+    assert [(f.fact, f.importance, f.distinctiveness) for f in record.facts] == [("Fact a", 5, 1), ("Fact b", 3, 1), ("Fact c", 1, 1), ("Fact d", 1, 1)]
+    assert [(q.question, q.source_fact_ids) for q in record.bounded_questions] == [("One?", [0]), ("Two?", [1]), ("Three?", [2, 3]), ("Four?", [0]), ("Five?", [0])]
+    assert [q.question for q in record.unbounded_questions] == ["One?", "Two?"]
+    asked = sorted(f.read_text() for f in tmp_path.iterdir())
+    assert sum(x.startswith("facts|text") for x in asked) == 1 and sum(x.startswith("facts|down") for x in asked) == G.ATTEMPTS
+    listing = "Text:\ntext\n\nFacts:\n[0] Fact a\n[1] Fact b\n[2] Fact c\n[3] Fact d\n\nWrite {} questions."
+    assert sorted(x for x in asked if x[0] in "012") == [
+        "0|" + listing.format(2), "0|" + listing.format(5),
+        "1|Do not repeat:\nOne?\nTwo?\nFacts not covered yet: [2, 3]\n" + listing.format(3),
+        "2|Do not repeat:\nOne?\nTwo?\nThree?\nFacts not covered yet: []\n" + listing.format(2),
+    ]
+
+
+def test_lists_that_stay_short(spark, tmp_path):
+    facts = [(f"Fact {k}", "e", 1, 1) for k in range(40)]
+    articles = spark.createDataFrame([("art", "T", "text", ["c1"], facts)], f"article_id string, title string, content string, chunk_ids array<string>, facts {G.FACT_TYPE}")
+    record = G.generate_articles(articles, Scripted(tmp_path), near=False).first()
+    assert record.error == "7 of 20 questions" and record.questions is None and record.chunk_ids == ["c1"]
 
 
 def test_integrity_rules(spark):

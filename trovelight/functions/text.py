@@ -50,6 +50,11 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(blank_if_null(text), f"{SPACE}+", " "))
 
 
+def trim_space(text: Column) -> Column:
+    """White space off both ends; NULL becomes empty."""
+    return F.regexp_replace(blank_if_null(text), rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def tokenize_ascii(text: Column) -> Column:
     """Case-fold first, then ASCII letter/digit runs."""
     return F.regexp_extract_all(casefold(blank_if_null(text)), F.lit("[a-z0-9]+"), F.lit(0))

@@ -1,8 +1,12 @@
-"""Model-generated facts and questions, one source row at a time per partition.
+"""Model-generated facts and questions as staged plans.
 
-Generators answer JSON; checking, de-duplication, budgets and retries are here.
-Results are written before use (`sources.checkpoints`), so a plan never pays for
-the same generation twice.
+A retry state is a table: one row per list of questions still to be completed, with its
+text, facts, budget and the questions accepted so far. Each attempt is one plan over the
+rows that are not complete: the prompt is a Column expression, the model call one Pandas UDF,
+and checks, ids, duplicates and budgets are Column functions again. The new state is stored
+before the next attempt reads it, so no call is ever paid for twice and a lost executor costs its own rows.
+
+A failing call leaves its row as it was, with the failure beside it; other rows go on.
 """
 
 from __future__ import annotations
@@ -10,24 +14,28 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from trovelight.functions import text as T
+from trovelight.functions.embedding import with_retries
 from trovelight.functions.similarity import (
     FACT_DUPLICATE,
     QUESTION_DUPLICATE,
     QUESTION_DUPLICATE_RETRY,
     fresh_positions,
 )
-from trovelight.functions.embedding import with_retries
+from trovelight.operators.enrichment import bounded_budget, score_1_to_5, unbounded_budget, valid_fact_ids
+from trovelight.session import cut_lineage
 
-# Sampling seed, attempts to complete a question list, budgets.
+# Sampling seed, attempts to complete a list.
 SEED = 42
 ATTEMPTS = 3
-LOWEST, HIGHEST, RATE = 5, 20, 0.5
 
 FACTS_TASK = (
     "List every distinct atomic fact the text states. Leave out headings, opinion and "
@@ -43,16 +51,6 @@ FACT_TYPE = "array<struct<fact:string,evidence:string,importance:int,distinctive
 QUESTION_TYPE = (
     "array<struct<question:string,source_fact_ids:array<int>,supporting_chunk_ids:array<string>>>"
 )
-GENERATION_SCHEMA = (
-    "chunk_id string, n_distinct_facts int, unbounded_budget int, bounded_budget int, "
-    f"facts {FACT_TYPE}, bounded_questions {QUESTION_TYPE}, unbounded_questions {QUESTION_TYPE}, "
-    "error string"
-)
-ARTICLE_SCHEMA = (
-    "article_id string, title string, chunk_ids array<string>, n_distinct_article_facts int, "
-    f"question_budget int, questions {QUESTION_TYPE}, error string"
-)
-
 
 class Generator(Protocol):
     """One JSON answer per call; `seed` varies between attempts."""
@@ -70,13 +68,13 @@ class SentenceGenerator:
         listed = re.findall(r"(?m)^\[(\d+)\] (.*)$", content)
         wanted = int(re.findall(r"(\d+) questions", content)[-1])
         attempt = seed - SEED
-        offered = [
+        offered = (
             {"question": self._ask(fact, turn), "source_fact_ids": [number]}
             for turn in range(wanted + ATTEMPTS)
             for number, fact in listed
-        ]
-        unused = [q for q in offered if q["question"] not in content]
-        return {"questions": unused[attempt * wanted : (attempt + 1) * wanted]}
+        )
+        unused = (q for q in offered if q["question"] not in content)
+        return {"questions": list(islice(unused, attempt * wanted, (attempt + 1) * wanted))}
 
     @staticmethod
     def _ask(fact: str, turn: int) -> str:
@@ -123,139 +121,180 @@ def parse_reply(reply: str) -> dict:
     raise ValueError("reply holds no JSON object")
 
 
-def _key(text: str) -> str:
-    return re.sub(r"\W+", " ", text.casefold()).strip()
+# --- the model call, and what decides on its answers -------------------------------------------
+
+
+def answered(rows: DataFrame, generator: Generator, task: str, seed: int, prompt: Column) -> DataFrame:
+    """The rows with the model's `answer` to their prompt, as JSON text, or the `failure` of the call; stored."""
+
+    @F.pandas_udf("answer string, failure string")
+    def call(prompts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in prompts:
+            try:
+                out.append((json.dumps(generator(task, text, seed)), None))
+            except Exception as problem:  # kept with its row
+                out.append((None, str(problem) or type(problem).__name__))
+        return pd.DataFrame(out, columns=["answer", "failure"], dtype=object)
+
+    asked = rows.withColumn("_reply", call.asNondeterministic()(prompt))
+    return cut_lineage(asked.select(*rows.columns, "_reply.answer", "_reply.failure"))
 
 
-def _score(value) -> int:
-    return min(5, max(1, int(value)))
+def fresh(items: Column, text: str, limit: float, near: bool, accepted: Column | None = None) -> Column:
+    """Items whose text repeats neither an earlier one nor an accepted one; `near` counts similar texts as repeats."""
+    keys = F.transform(items, lambda x: T.normalize(x[text]))
+    before = F.transform(accepted, lambda x: T.normalize(x[text])) if accepted is not None else F.array().cast("array<string>")
+    if near:
 
+        @F.pandas_udf("array<int>")
+        def kept(new: pd.Series, old: pd.Series) -> pd.Series:
+            return pd.Series([fresh_positions(list(n), limit, list(o)) for n, o in zip(new, old, strict=True)])
 
-def distinct_facts(items: list[dict]) -> list[dict]:
-    """Facts with a quote, near-duplicates of earlier ones dropped, scores clamped."""
-    stated = [
-        {
-            "fact": str(item.get("fact", "")).strip(),
-            "evidence": str(item.get("evidence", "")).strip(),
-            "importance": _score(item.get("importance", 1)),
-            "distinctiveness": _score(item.get("distinctiveness", 1)),
-        }
-        for item in items
-    ]
-    stated = [fact for fact in stated if fact["evidence"]]
-    return [stated[i] for i in fresh_positions([_key(f["fact"]) for f in stated], FACT_DUPLICATE)]
+        return F.transform(kept(keys, before), lambda i: F.get(items, i))
+    paired = F.arrays_zip(items.alias("item"), keys.alias("key"))
+    first = F.filter(paired, lambda x, i: (x["key"] != "") & (F.array_position(keys, x["key"]) == i + 1) & ~F.array_contains(before, x["key"]))
+    return F.transform(first, lambda x: x["item"])
 
 
-def valid_ids(raw, n_facts: int) -> list[int]:
-    numeric = {int(x) for x in raw or [] if re.fullmatch(r"-*\d+", str(x)) and str(x).count("-") < 2}
-    return sorted(x for x in numeric if 0 <= x < n_facts)
+def stated_facts(answer: Column, near: bool) -> Column:
+    """Facts of an answer that quote their text, trimmed and with scores from 1 to 5, without repeats."""
+    raw = F.from_json(answer, "facts array<struct<fact:string,evidence:string,importance:string,distinctiveness:string>>")["facts"]
+    trimmed = F.transform(
+        F.coalesce(raw, F.array().cast("array<struct<fact:string,evidence:string,importance:string,distinctiveness:string>>")),
+        lambda x: F.struct(
+            T.trim_space(x["fact"]).alias("fact"), T.trim_space(x["evidence"]).alias("evidence"),
+            score_1_to_5(x["importance"]).alias("importance"), score_1_to_5(x["distinctiveness"]).alias("distinctiveness"),
+        ),
+    )
+    return fresh(F.filter(trimmed, lambda x: x["evidence"] != ""), "fact", FACT_DUPLICATE, near)
 
 
-def ask_questions(
-    generator: Generator, content: str, facts: list[dict], count: int, owner: list[str]
-) -> list[dict]:
-    """Exactly `count` accepted questions, asking again for what is missing."""
-    if count == 0:
-        return []
-    listing = "\n".join(f"[{i}] {fact['fact']}" for i, fact in enumerate(facts))
-    accepted: list[dict] = []
+def with_facts(texts: DataFrame, generator: Generator, near: bool = True) -> DataFrame:
+    """`texts` (owner, content, ...) with their facts; those that gave none are asked again, then carry a failure."""
+    columns, done, rest = texts.columns, [], texts
+    for _ in range(ATTEMPTS):
+        found = cut_lineage(answered(rest, generator, FACTS_TASK, SEED, F.col("content")).withColumn("facts", stated_facts(F.col("answer"), near)).drop("answer"))
+        done.append(found.filter(F.size("facts") > 0).withColumn("failure", F.lit(None).cast("string")))
+        rest = found.filter(F.size("facts") == 0)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        last, rest = rest, rest.select(*columns)
+    reason = F.coalesce("failure", F.concat(F.lit("no facts for "), "owner"))
+    return reduce(DataFrame.unionByName, [*done, last.withColumn("failure", reason)])
+
+
+def question_prompt() -> Column:
+    """What is asked for a row of the retry state: after the first attempt also what not to repeat, and the facts without a question."""
+    numbered = F.transform("facts", lambda f, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), f["fact"]))
+    covered = F.flatten(F.transform("accepted", lambda q: q["source_fact_ids"]))
+    open_ids = F.filter(F.transform("facts", lambda _, i: i), lambda i: ~F.array_contains(covered, i))
+    missing = (F.col("budget") - F.size("accepted")).cast("string")
+    again = F.concat(
+        F.lit("Do not repeat:\n"), F.array_join(F.transform("accepted", lambda q: q["question"]), "\n"),
+        F.lit("\nFacts not covered yet: ["), F.array_join(F.transform(open_ids, lambda i: i.cast("string")), ", "), F.lit("]\n"),
+    )
+    return F.concat(
+        F.when(F.size("accepted") > 0, again).otherwise(""), F.lit("Text:\n"), "content",
+        F.lit("\n\nFacts:\n"), F.array_join(numbered, "\n"), F.lit("\n\nWrite "), missing, F.lit(" questions."),
+    )
+
+
+def offered_questions(answer: Column, n_facts: Column, supporting: Column) -> Column:
+    """Questions of an answer that name facts that exist."""
+    raw = F.from_json(answer, "questions array<struct<question:string,source_fact_ids:array<string>>>")["questions"]
+    trimmed = F.transform(
+        F.coalesce(raw, F.array().cast("array<struct<question:string,source_fact_ids:array<string>>>")),
+        lambda x: F.struct(
+            T.trim_space(x["question"]).alias("question"),
+            F.coalesce(valid_fact_ids(x["source_fact_ids"], n_facts), F.array().cast("array<int>")).alias("source_fact_ids"),
+            supporting.alias("supporting_chunk_ids"),
+        ),
+    )
+    return F.filter(trimmed, lambda x: (x["question"] != "") & (F.size(x["source_fact_ids"]) > 0))
+
+
+def completed(wanted: DataFrame, generator: Generator, near: bool = True) -> DataFrame:
+    """`wanted` (content, facts, supporting, budget, ...) with `accepted`, exactly `budget` questions, and why a list is shorter.
+
+    Each attempt is one plan over the lists that are not complete.
+    """
+    state, done = wanted.withColumn("accepted", F.array().cast(QUESTION_TYPE)).withColumn("failure", F.lit(None).cast("string")), []
     for attempt in range(ATTEMPTS):
-        prompt = f"Text:\n{content}\n\nFacts:\n{listing}\n\nWrite {count - len(accepted)} questions."
-        if accepted:
-            covered = {i for q in accepted for i in q["source_fact_ids"]}
-            prompt = (
-                "Do not repeat:\n"
-                + "\n".join(q["question"] for q in accepted)
-                + f"\nFacts not covered yet: {[i for i in range(len(facts)) if i not in covered]}\n"
-                + prompt
-            )
+        complete = F.size("accepted") >= F.col("budget")
+        done.append(state.filter(complete).withColumn("failure", F.lit(None).cast("string")))
+        rest = state.filter(~complete)
+        if attempt and rest.isEmpty():
+            break
+        asked = answered(rest.drop("failure"), generator, QUESTIONS_TASK, SEED + attempt, question_prompt())
         limit = QUESTION_DUPLICATE_RETRY if attempt else QUESTION_DUPLICATE
-        fresh = [
-            {
-                "question": str(item.get("question", "")).strip(),
-                "source_fact_ids": valid_ids(item.get("source_fact_ids"), len(facts)),
-                "supporting_chunk_ids": owner,
-            }
-            for item in generator(QUESTIONS_TASK, prompt, SEED + attempt).get("questions", [])
-        ]
-        fresh = [q for q in fresh if q["question"] and q["source_fact_ids"]]
-        kept = fresh_positions(
-            [_key(q["question"]) for q in fresh], limit, [_key(q["question"]) for q in accepted]
-        )
-        accepted += [fresh[i] for i in kept]
-        if len(accepted) >= count:
-            return accepted[:count]
-    raise RuntimeError(f"{len(accepted)} of {count} questions for {owner[:1]}")
+        offered = asked.withColumn("_offered", offered_questions(F.col("answer"), F.size("facts"), F.col("supporting")))
+        more = fresh(F.col("_offered"), "question", limit, near, F.col("accepted"))
+        state = cut_lineage(offered.withColumn("accepted", F.slice(F.concat("accepted", more), 1, F.col("budget"))).drop("_offered", "answer"))
+    else:
+        short = F.concat(F.size("accepted").cast("string"), F.lit(" of "), F.col("budget").cast("string"), F.lit(" questions"))
+        done.append(state.withColumn("failure", F.when(F.size("accepted") < F.col("budget"), F.coalesce("failure", short))))
+    return reduce(DataFrame.unionByName, done)
 
 
-def ask_facts(generator: Generator, content: str, owner: str) -> list[dict]:
-    for _ in range(ATTEMPTS):
-        facts = distinct_facts(generator(FACTS_TASK, content, SEED).get("facts", []))
-        if facts:
-            return facts
-    raise RuntimeError(f"no facts for {owner}")
-
-
-def enrich_chunk(generator: Generator, chunk_id: str, content: str) -> dict:
-    facts = ask_facts(generator, content, chunk_id)
-    raw = round(len(facts) * RATE)
-    bounded = min(HIGHEST, max(LOWEST, raw))
-    free = ask_questions(generator, content, facts, raw, [chunk_id])
-    return {
-        "chunk_id": chunk_id,
-        "n_distinct_facts": len(facts),
-        "unbounded_budget": raw,
-        "bounded_budget": bounded,
-        "facts": facts,
-        "bounded_questions": free
-        if bounded == raw
-        else ask_questions(generator, content, facts, bounded, [chunk_id]),
-        "unbounded_questions": free,
-    }
-
-
-def enrich_article(generator: Generator, row: dict, bounded: bool) -> dict:
-    facts = [dict(f) for f in row["facts"]] or ask_facts(generator, row["content"], row["article_id"])
-    budget = round(len(facts) * RATE)
-    if bounded:
-        budget = min(HIGHEST, max(LOWEST, budget))
-    chunk_ids = list(row["chunk_ids"])
-    return {
-        "article_id": row["article_id"],
-        "title": row["title"],
-        "chunk_ids": chunk_ids,
-        "n_distinct_article_facts": len(facts),
-        "question_budget": budget,
-        "questions": ask_questions(generator, row["content"], facts, budget, chunk_ids),
-    }
-
-
-def _run(rows: DataFrame, schema: str, one) -> DataFrame:
-    names = [part.split()[0] for part in re.split(r", (?=\w+ \w)", schema)]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = []
-            for row in batch.to_dict("records"):
-                try:
-                    done.append(one(row))
-                except Exception as problem:
-                    done.append({names[0]: row[names[0]], "error": str(problem)})
-            yield pd.DataFrame(done, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return rows.mapInPandas(each, schema)
-
-
-def generate_chunks(todo: DataFrame, generator: Generator) -> DataFrame:
-    """Generation record per chunk; a failed row carries only its id and the error."""
-    rows = todo.select("chunk_id", "content")
-    return _run(rows, GENERATION_SCHEMA, lambda r: enrich_chunk(generator, r["chunk_id"], r["content"]))
-
-
-def generate_articles(todo: DataFrame, generator: Generator, bounded: bool = True) -> DataFrame:
-    """The same per document, from the facts of its chunks."""
-    rows = todo.select("article_id", "title", "content", "chunk_ids", "facts")
-    return _run(rows, ARTICLE_SCHEMA, lambda r: enrich_article(generator, r, bounded))
+# --- records -----------------------------------------------------------------------------------
+
+
+def _only_complete(records: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """Where a record has an error, nothing but `kept` and the error."""
+    return records.select(*(c if c in (*kept, "error") else F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in records.columns))
+
+
+def generate_chunks(todo: DataFrame, generator: Generator, near: bool = True) -> DataFrame:
+    """Generation record per chunk; a failed row carries only its id and the error.
+
+    Where both budgets agree, the pools share one list of questions.
+    """
+    found = cut_lineage(with_facts(todo.select(F.col("chunk_id").alias("owner"), "content"), generator, near))
+    n = F.size("facts")
+    budgets = found.withColumns({"unbounded_budget": unbounded_budget(n), "bounded_budget": bounded_budget(n), "supporting": F.array("owner")})
+    pools = F.array(
+        F.struct(F.lit("unbounded").alias("pool"), F.col("unbounded_budget").alias("budget")),
+        F.struct(F.lit("bounded").alias("pool"), F.col("bounded_budget").alias("budget")),
+    )
+    needed = F.filter(pools, lambda p: (p["pool"] == "unbounded") | (p["budget"] != F.col("unbounded_budget")))
+    wanted = budgets.filter("failure IS NULL").select("owner", "content", "facts", "supporting", F.inline(needed))
+    made = completed(wanted, generator, near)
+    lists = made.groupBy("owner").agg(
+        *(F.first(F.when(F.col("pool") == p, F.col("accepted")), ignorenulls=True).alias(p) for p in ("unbounded", "bounded")), F.first("failure", ignorenulls=True).alias("_short")
+    )
+    records = budgets.join(lists, "owner", "left").select(
+        F.col("owner").alias("chunk_id"), n.alias("n_distinct_facts"), "unbounded_budget", "bounded_budget", "facts",
+        F.coalesce("bounded", "unbounded").alias("bounded_questions"), F.col("unbounded").alias("unbounded_questions"), F.coalesce("failure", "_short").alias("error"),
+    )
+    return _only_complete(records, ("chunk_id",))
+
+
+def generate_articles(todo: DataFrame, generator: Generator, bounded: bool = True, near: bool = True) -> DataFrame:
+    """The same per document, from the facts of its chunks; documents without any are asked for facts first.
+
+    A failed document keeps its id, title and chunks beside the error, so that callers can tell placeholders from results.
+    """
+    rows = todo.select(F.col("article_id").alias("owner"), "title", "content", F.col("chunk_ids").alias("supporting"), "facts")
+    known = rows.filter(F.size("facts") > 0).withColumn("failure", F.lit(None).cast("string"))
+    found = cut_lineage(known.unionByName(with_facts(rows.filter("facts IS NULL OR size(facts) = 0").drop("facts"), generator, near)))
+    n = F.size("facts")
+    budgets = found.withColumn("budget", bounded_budget(n) if bounded else unbounded_budget(n))
+    failed = budgets.filter("failure IS NOT NULL").withColumn("accepted", F.lit(None).cast(QUESTION_TYPE))
+    made = completed(budgets.filter("failure IS NULL").drop("failure"), generator, near).unionByName(failed)
+    records = made.select(
+        F.col("owner").alias("article_id"), "title", F.col("supporting").alias("chunk_ids"), n.alias("n_distinct_article_facts"),
+        F.col("budget").alias("question_budget"), F.col("accepted").alias("questions"), F.col("failure").alias("error"),
+    )
+    return _only_complete(records, ("article_id", "title", "chunk_ids"))
+
+
+def results_and_placeholders(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Finished records, and for the failed ones a record without questions that says why."""
+    failed = made.filter("error IS NOT NULL")
+    counts = {c: F.lit(0) for c, kind in made.dtypes if kind == "int"}
+    lists = {c: F.array().cast(kind) for c, kind in made.dtypes if c.endswith("questions") or c == "facts"}
+    return made.filter("error IS NULL").drop("error"), failed.withColumns(counts | lists)
 
 
 def until_complete(sources: DataFrame, key: str, load, save, generate, rounds: int = 10) -> None:

@@ -722,22 +722,55 @@ def embed_resume(spark, folder):
     )
 
 
+def _digest(questions: str):
+    return F.sha2(F.array_join(F.transform(questions, lambda q: q["question"]), "\n"), 256)
+
+
 def generate_offline(spark, folder):
-    """Generation records for the benchmark texts through the full retry protocol."""
-    todo = table(spark, folder, "benchmark").select(
-        F.format_string("q%05d", "item_id").alias("chunk_id"), F.col("text").alias("content")
-    )
-    made = G.generate_chunks(todo, G.SentenceGenerator())
+    """Generation records of all chunks through the staged retry protocol, repeats told by their keys."""
+    made = G.generate_chunks(chunks(spark, folder), G.SentenceGenerator(), near=False)
     return made.select(
         "chunk_id",
         "n_distinct_facts",
         "bounded_budget",
+        "unbounded_budget",
         F.size("bounded_questions").alias("n_bounded"),
         F.size("unbounded_questions").alias("n_unbounded"),
+        _digest("bounded_questions").alias("bounded_digest"),
+        _digest("unbounded_questions").alias("unbounded_digest"),
         "error",
     )
 
 
+def _generated_documents(spark, folder, bounded):
+    """Generation records of all documents, from the union of their chunks' facts."""
+    pieces = chunks(spark, folder)
+    facts = E.document_facts(cut_lineage(E.sentence_facts(pieces)))
+    stated = F.struct("ordinal", "fact", F.col("fact").alias("evidence"), F.lit(1).alias("importance"), F.lit(1).alias("distinctiveness"))
+    per_document = facts.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(stated)), lambda x: x.dropFields("ordinal")).alias("facts"))
+    owned = pieces.groupBy("document_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    texts = documents(spark, folder).select("document_id", F.col("lang").alias("title"), F.col("text").alias("content"))
+    todo = texts.join(owned, "document_id").join(per_document, "document_id", "left").withColumnRenamed("document_id", "article_id")
+    made = G.generate_articles(todo, G.SentenceGenerator(), bounded, near=False)
+    return made.select(
+        F.col("article_id").alias("document_id"),
+        F.size("chunk_ids").alias("n_chunks"),
+        F.col("n_distinct_article_facts").alias("n_facts"),
+        "question_budget",
+        F.size("questions").alias("n_questions"),
+        _digest("questions").alias("digest"),
+        F.col("error").isNotNull().alias("failed"),
+    )
+
+
+def generate_documents(spark, folder):
+    return _generated_documents(spark, folder, True)
+
+
+def generate_documents_unbounded(spark, folder):
+    return _generated_documents(spark, folder, False)
+
+
 # --- benchmark construction -------------------------------------------------------------------
 
 
@@ -867,7 +900,7 @@ QUERIES = {
         baseline_deltas, merged_means, wrong_corpus_rate, interference, question_budget,
         document_fact_union, chunk_question_pools, enrichment_quality, question_dedup,
         near_duplicate_facts, near_duplicate_questions, resume_todo, default_generations, cache_reuse,
-        embed_offline, embed_resume, generate_offline, neighbors, best_excerpt, balanced_sequence,
+        embed_offline, embed_resume, generate_offline, generate_documents, generate_documents_unbounded, neighbors, best_excerpt, balanced_sequence,
         question_specs, canonical_questions, namespaced_chunks, sequence_check,
     )
 }

@@ -154,6 +154,21 @@ budgets AS (SELECT c.chunk_id, coalesce(any_value(f.n), 0) AS n_facts,
     FROM chunks c LEFT JOIN facts f USING (chunk_id) GROUP BY c.chunk_id)"""
 
 
+def asked(source: str, owner: str, name: str, budget: str) -> str:
+    """The questions of the offline generator: facts in turn, each turn beginning at another word of them."""
+    return f"""
+{name}_j AS (SELECT {owner}, n, unnest(range(0, {budget})) AS j FROM {source} WHERE i = 0),
+{name} AS (SELECT {owner}, count(*)::INT AS n_asked, sha256(string_agg(question, chr(10) ORDER BY j)) AS digest FROM (
+    SELECT {owner}, j, (t + 1) || ': what of ' || array_to_string(w[p + 1:len(w)] || w[1:p], ' ') || '?' AS question FROM (
+        SELECT *, (t * len(w) // 5) % len(w) AS p FROM (
+            SELECT {name}_j.{owner}, j, j // {name}_j.n AS t, string_split(fact, ' ') AS w
+            FROM {name}_j JOIN {source} ON {source}.{owner} = {name}_j.{owner} AND {source}.i = j % {name}_j.n))) GROUP BY {owner})"""
+
+
+UNBOUNDED = "round_even(n * 0.5, 0)::BIGINT"
+BOUNDED = f"greatest(5, least(20, {UNBOUNDED}))"
+
+
 def turns(source: str, owner: str, pool: str, bounded: bool) -> str:
     budget = "round_even(n * 0.5, 0)::BIGINT"
     if bounded:
@@ -489,6 +504,25 @@ WITH {CHUNKS}, {POOLS}, l AS (SELECT 'bounded' AS pool, bounded AS n FROM budget
 SELECT pool, sum(n)::BIGINT AS generated_questions, min(n) AS questions_min, round(avg(n), 6) AS questions_mean,
     max(n) AS questions_max, count(*) FILTER (n > 0) AS owners_with_questions,
     count(*) FILTER (n = 0) AS owners_without_questions FROM l GROUP BY pool""",
+    "generate_offline": f"""
+WITH {CHUNKS}, {POOLS}, {asked("facts", "chunk_id", "b", BOUNDED)}, {asked("facts", "chunk_id", "u", UNBOUNDED)}
+SELECT g.chunk_id, CASE WHEN n_facts > 0 THEN n_facts END AS n_distinct_facts, CASE WHEN n_facts > 0 THEN bounded END AS bounded_budget,
+    CASE WHEN n_facts > 0 THEN unbounded END AS unbounded_budget, b.n_asked AS n_bounded,
+    CASE WHEN n_facts > 0 THEN coalesce(u.n_asked, 0) END AS n_unbounded, b.digest AS bounded_digest,
+    CASE WHEN n_facts > 0 THEN coalesce(u.digest, sha256('')) END AS unbounded_digest,
+    CASE WHEN n_facts = 0 THEN 'no facts for ' || g.chunk_id END AS error
+FROM budgets g LEFT JOIN b ON b.chunk_id = g.chunk_id LEFT JOIN u ON u.chunk_id = g.chunk_id""",
+    **{
+        name: f"""
+WITH {CHUNKS}, {POOLS}, {asked("dfacts", "document_id", "q", budget)},
+owned AS (SELECT document_id, count(*)::INT AS n_chunks FROM chunks GROUP BY document_id),
+sized AS (SELECT document_id, n, {budget} AS budget FROM dfacts WHERE i = 0)
+SELECT o.document_id, n_chunks, s.n AS n_facts, s.budget AS question_budget,
+    CASE WHEN s.n IS NOT NULL THEN coalesce(n_asked, 0) END AS n_questions,
+    CASE WHEN s.n IS NOT NULL THEN coalesce(digest, sha256('')) END AS digest, s.n IS NULL AS failed
+FROM owned o LEFT JOIN sized s USING (document_id) LEFT JOIN q USING (document_id)"""
+        for name, budget in (("generate_documents", BOUNDED), ("generate_documents_unbounded", UNBOUNDED))
+    },
     "question_dedup": f"""
 SELECT printf('%06d-%03d', conv_id, turn) AS query_id,
     row_number() OVER (PARTITION BY lower({squeeze('text')}) ORDER BY printf('%06d-%03d', conv_id, turn)) = 1 AS is_first
