@@ -7,11 +7,21 @@ only archives of the manifest count, so a repeated or lost task leaves no double
 records. Of pages with equal payloads the largest id carries the payload, the
 others are revisit records that refer to it.
 
-Reading. Every archive is read in pieces; per member or record the version line,
-the headers, the length, the trailing blank lines and the block digest are
-checked. After a failed check the reader searches for the next gzip member (or, in
-plain archives, the next version line) that passes, goes on from there, and logs
-the bytes between as a quarantined gap.
+Reading. Every archive is read in pieces; per record the version line, the
+headers, the length, the trailing blank lines and the digests are checked. After
+a failed check the reader searches for the next version line that passes, in plain
+archives and inside gzip members alike, goes on from there, and logs the bytes
+between as a quarantined gap. Of a member of several records that breaks off or
+fails its check, the records with a block digest that holds are kept, and the search
+goes on for the next gzip member. Headers have no check but the member's: `checked` is
+true where that holds, false where it does not, and null in plain archives. A length is
+believed only where a record ends at that distance, which is looked up ahead, so a
+wrong one fills no memory. Headers and records may be of any length.
+
+Offsets. `offset` is the place of the record, or of its gzip member, in the
+archive, and `inner_offset` the place in what the member unpacks to. A gap inside
+a whole member counts unpacked bytes from its inner offset; every other gap counts
+bytes of the archive, and an inner offset there says how far its first member was sound.
 
 Defined cases: a null html is an empty payload; a null url gives a record without
 a target, read back as null; a null page id is kept as such. Rows that share the
@@ -26,7 +36,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pyarrow as pa
@@ -41,14 +51,16 @@ DATE = "2024-01-01T00:00:00Z"
 ROTATE = 64 << 20
 PIECE = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+MARK = b"WARC/1."
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+CONTROL = re.compile(rb"[\x00-\x08\x0a-\x0c\x0e-\x1f]")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORD = (
-    "path string, offset long, record_id string, record_type string, target string, page_id string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    "path string, offset long, inner_offset long, checked boolean, record_id string, record_type string, target string, page_id string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 )
-GAP = "path string, offset long, n_bytes long, reason string"
+GAP = "path string, offset long, inner_offset long, n_bytes long, reason string"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -132,131 +144,196 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, rotate: int = ROT
     return cut_lineage(decisions(pages, least_bytes).mapInArrow(run, MANIFEST))
 
 
-@dataclass
-class Salvage:
-    """Reads one archive from a stream of pieces; collects records and gaps."""
-
-    path: str
-    stream: object
-    buffer: bytearray = field(default_factory=bytearray)
-    offset: int = 0  # of the buffer's first byte
-    ended: bool = False
-    bad_from: int | None = None
-    why: str = ""
+class Archive:
+    """Bytes of a plain archive from a position on; `look` reads ahead without keeping what lies between."""
+
+    def __init__(self, file, size: int, at: int = 0):
+        self.file, self.size, self.at = file, size, at
+
+    def _read(self, at: int, n: int) -> bytes:
+        if at >= self.size:
+            return b""
+        self.file.seek(at)
+        return self.file.read(min(n, self.size - at))
+
+    def pull(self) -> bytes:
+        piece = self._read(self.at, PIECE)
+        self.at += len(piece)
+        return piece
+
+    def look(self, skip: int, n: int) -> bytes:
+        return self._read(self.at + skip, n)
+
+    def whole(self) -> bool:
+        return True
+
+
+class Member(Archive):
+    """Unpacked bytes of the gzip member at a position; `fault` tells why they end early, `end` where a whole member ends."""
+
+    def __init__(self, file, size: int, at: int):
+        super().__init__(file, size, at)
+        self.unpack, self.rest = zlib.decompressobj(31), b""
+        self.fault: str | None = None
+        self.end: int | None = None
+        self._whole: bool | None = None
+
+    def pull(self) -> bytes:
+        while self.fault is None and self.end is None:
+            packed = self.rest or super().pull()
+            before = self.unpack.copy()
+            try:
+                piece = self.unpack.decompress(packed, PIECE)
+            except zlib.error as e:
+                self.fault = f"bad member: {str(e)[:60]}"
+                return self._up_to_fault(before, packed)
+            self.rest = self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.end = self.at - len(self.unpack.unused_data)
+            elif not packed and not piece:
+                self.fault = "truncated member"
+            if piece:
+                return piece
+        return b""
+
+    @staticmethod
+    def _up_to_fault(state, packed: bytes) -> bytes:
+        """What still unpacks; less than a piece, as the call that failed had not reached its limit."""
+        out, step = b"", len(packed) // 2
+        while step:
+            twin = state.copy()
+            try:
+                out += twin.decompress(packed[:step])
+            except zlib.error:
+                step //= 2
+                continue
+            state, packed = twin, packed[step:]
+        return out
+
+    def look(self, skip: int, n: int) -> bytes:
+        """Unpacks a second time from here, dropping what it passes."""
+        if self.fault is not None or self.end is not None:
+            return b""
+        twin, found = self._twin(), b""
+        while len(found) < n and (piece := twin.pull()):
+            found += piece[skip : skip + n - len(found)] if skip < len(piece) else b""
+            skip = max(0, skip - len(piece))
+        return found
+
+    def whole(self) -> bool:
+        """Whether the member unpacks to its end and passes its own check."""
+        if self._whole is None and self.fault is None and self.end is None:
+            twin = self._twin()
+            while twin.pull():
+                pass
+            self._whole = twin.end is not None
+        return self.end is not None if self._whole is None else self._whole
+
+    def _twin(self) -> Member:
+        twin = Member(self.file, self.size, self.at)
+        twin.unpack, twin.rest = self.unpack.copy(), self.rest
+        return twin
+
+
+class Scan:
+    """Records in a run of bytes: after a failed check it goes on from the next version line that passes.
+
+    Held in memory are a piece, a header line, and a block whose end was looked at and found sound.
+    """
+
+    def __init__(self, source: Archive):
+        self.source, self.buffer, self.base = source, bytearray(), 0
+        self.open: tuple[int, str] | None = None  # where unsound bytes began, and why
 
     def _more(self) -> bool:
-        piece = b"" if self.ended else self.stream.read(PIECE)
-        self.ended = not piece
+        piece = self.source.pull()
         self.buffer += piece
-        return not self.ended
-
-    def _drop(self, n: int) -> None:
-        del self.buffer[:n]
-        self.offset += n
+        return bool(piece)
 
     def _need(self, n: int) -> bool:
         while len(self.buffer) < n and self._more():
             pass
         return len(self.buffer) >= n
 
-    def items(self) -> Iterator[tuple[str, tuple]]:
-        """("record", row) and ("gap", row) in order."""
-        self._need(3)
-        packed = bytes(self.buffer[:3]) == MAGIC or b".gz" in self.path[-4:].encode()
+    def _drop(self, n: int) -> None:
+        del self.buffer[:n]
+        self.base += n
+
+    def items(self) -> Iterator[tuple]:
+        """("record", start, row) and ("gap", start, length, reason); a gap up to the end stays in `open`."""
         while self._need(1):
-            start = self.offset
-            found, reason = self._member() if packed else self._plain()
+            row, used, reason = self._record()
             if reason is None:
-                yield from self._gap(start)
-                for row in found:
-                    yield "record", (self.path, start, *row)
-                continue
-            if self.bad_from is None:
-                self.bad_from, self.why = start, reason
-            self._seek(packed)
-        yield from self._gap(self.offset)
-
-    def _gap(self, end: int) -> Iterator[tuple[str, tuple]]:
-        if self.bad_from is not None and end > self.bad_from:
-            yield "gap", (self.path, self.bad_from, end - self.bad_from, self.why)
-        self.bad_from = None
-
-    def _seek(self, packed: bool) -> None:
-        """Move to the next place where a member or record may begin, at least one byte on."""
+                if self.open is not None:
+                    yield "gap", self.open[0], self.base - self.open[0], self.open[1]
+                    self.open = None
+                yield "record", self.base, row
+                self._drop(used)
+            else:
+                self.open = self.open or (self.base, reason)
+                self._seek()
+
+    def _seek(self) -> None:
         self._drop(1)
-        mark = MAGIC if packed else b"WARC/1."
-        while True:
-            at = self.buffer.find(mark)
-            if at >= 0:
-                self._drop(at)
-                return
-            self._drop(max(0, len(self.buffer) - len(mark) + 1))
+        while (at := self.buffer.find(MARK)) < 0:
+            self._drop(max(0, len(self.buffer) - len(MARK) + 1))
             if not self._more():
                 self._drop(len(self.buffer))
                 return
+        self._drop(at)
 
-    def _member(self) -> tuple[list[tuple], str | None]:
-        """One gzip member from the buffer's start. Consumed only if all of it is sound."""
-        if not self._need(3) or bytes(self.buffer[:3]) != MAGIC:
-            return [], "no gzip member"
-        unpack, out, used = zlib.decompressobj(31), [], 0
-        try:
-            while not unpack.eof:
-                if used >= len(self.buffer) and not self._more():
-                    return [], "truncated member"
-                piece = bytes(self.buffer[used : used + PIECE])
-                out.append(unpack.decompress(piece))
-                used += len(piece)
-        except zlib.error as e:
-            return [], f"bad member: {str(e)[:60]}"
-        used -= len(unpack.unused_data)
-        data, at, rows = b"".join(out), 0, []
-        while at < len(data):
-            parsed, reason = parse(data, at)
-            if reason:
-                return [], reason
-            row, at = parsed
-            rows.append(row)
-        self._drop(used)
-        return rows, None
-
-    def _plain(self) -> tuple[list[tuple], str | None]:
-        while (end := self.buffer.find(b"\r\n\r\n")) < 0 and len(self.buffer) < 1 << 16 and self._more():
-            pass
-        if end < 0:
-            return [], "no end of headers"
-        length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,15})\r\n", bytes(self.buffer[: end + 2]))
-        if length is None:
-            return [], "no length"
-        self._need(end + 8 + int(length[1]))
-        parsed, reason = parse(bytes(self.buffer[: end + 8 + int(length[1])]), 0)
+    def _headers(self) -> tuple[dict[str, str], int, str | None]:
+        """Header fields, where the block begins, and what is wrong with a line."""
+        head: dict[str, str] = {}
+        key, at = None, self.buffer.find(b"\n") + 1
+        while True:
+            seen = at
+            while (end := self.buffer.find(b"\r\n", max(at, seen - 1))) < 0:
+                if CONTROL.search(self.buffer, seen):
+                    return head, at, "bad header"
+                seen = len(self.buffer)
+                if not self._more():
+                    return head, at, "no end of headers"
+            line = bytes(self.buffer[at:end])
+            at = end + 2
+            if not line:
+                return head, at, None
+            name, colon, value = line.partition(b":")
+            if line[:1] in b" \t" and key is not None:
+                head[key] = f"{head[key]} {line.strip().decode(errors='replace')}".strip()
+            elif not colon or CONTROL.search(line):
+                return head, at, "bad header"
+            else:
+                key = name.strip().lower().decode("latin-1")
+                head[key] = value.strip().decode(errors="replace")
+
+    def _record(self) -> tuple[tuple | None, int, str | None]:
+        """The record at the buffer's start and its length, or why there is none."""
+        self._need(10)
+        if not VERSION.match(self.buffer):
+            return None, 0, "no version line"
+        head, start, reason = self._headers()
         if reason:
-            return [], reason
-        self._drop(parsed[1])
-        return [parsed[0]], None
-
-
-def parse(data: bytes, at: int) -> tuple[tuple[tuple, int] | None, str | None]:
-    """The record at a position and where it ends, or why there is none."""
-    if not VERSION.match(data, at):
-        return None, "no version line"
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None, "no end of headers"
-    head = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
-        if not colon:
-            return None, "bad header"
-        head[key.strip().lower().decode("latin-1")] = value.strip().decode(errors="replace")
-    size = head.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
-        return None, "no length"
-    start = end + 4
-    stop = start + int(size[:15])
-    block = data[start:stop]
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        return None, "truncated block"
+            return None, 0, reason
+        size = head.get("content-length", "")
+        if not size.isascii() or not size.isdigit():
+            return None, 0, "no length"
+        if len(size := size.lstrip("0")) > 18:  # beyond any file
+            return None, 0, "truncated block"
+        stop = start + int(size or 0)
+        tail = bytes(self.buffer[stop : stop + 4])
+        if len(tail) < 4:
+            tail += self.source.look(max(0, stop - len(self.buffer)), 4 - len(tail))
+        if tail != b"\r\n\r\n" or not self._need(stop + 4):
+            return None, 0, "truncated block"
+        if "warc-block-digest" not in head and not self.source.whole():
+            return None, 0, "no digest in a broken member"
+        row, reason = described(head, bytes(self.buffer[start:stop]))
+        return row, stop + 4, reason
+
+
+def described(head: dict[str, str], block: bytes) -> tuple[tuple | None, str | None]:
+    """The row of a record, or which of its digests differs."""
     digest = head.get("warc-block-digest")
     if digest and digest.lower().startswith("sha1:") and digest[5:] != base32_sha1(block):
         return None, "block digest differs"
@@ -265,9 +342,76 @@ def parse(data: bytes, at: int) -> tuple[tuple[tuple, int] | None, str | None]:
     payload_digest = head.get("warc-payload-digest", "").partition(":")[2] or None
     if kind == "response" and payload_digest and payload_digest != base32_sha1(payload):
         return None, "payload digest differs"
-    known = int(length) if length.isascii() and length.isdigit() else None if kind == "revisit" else len(payload)
-    row = head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("page-id"), head.get("page-refers-to"), known, payload_digest, payload
-    return (row, stop + 4), None
+    # A revisit's own block is empty; all others are counted.
+    said = int(length) if length.isascii() and length.isdigit() and len(length) < 19 else None
+    known = said if kind == "revisit" else len(payload)
+    return (head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("page-id"), head.get("page-refers-to"), known, payload_digest, payload), None
+
+
+@dataclass
+class Salvage:
+    """Reads one archive from a seekable file; records and gaps in order."""
+
+    path: str
+    file: object
+    size: int
+
+    def items(self) -> Iterator[tuple[str, tuple]]:
+        """("record", (path, offset, inner_offset, checked, ...)) and ("gap", (path, offset, inner_offset, n_bytes, reason))."""
+        packed = Archive(self.file, self.size).look(0, 3) == MAGIC or self.path.endswith(".gz")
+        return self._members() if packed else self._plain()
+
+    def _plain(self) -> Iterator[tuple[str, tuple]]:
+        scan = Scan(Archive(self.file, self.size))
+        for kind, start, *rest in scan.items():
+            yield kind, (self.path, start, None, *((None, *rest[0]) if kind == "record" else rest))
+        if scan.open is not None:
+            yield "gap", (self.path, scan.open[0], None, scan.base - scan.open[0], scan.open[1])
+
+    def _members(self) -> Iterator[tuple[str, tuple]]:
+        at, bad = 0, None  # bad: where the archive's unsound bytes began, inside which member, and why
+        while at < self.size:
+            if Archive(self.file, self.size, at).look(0, 3) != MAGIC:
+                bad, at = bad or (at, None, "no gzip member"), self._next(at + 1)
+                continue
+            source = Member(self.file, self.size, at)
+            scan, sound, held, was = Scan(source), 0, [], bad
+            for kind, start, *rest in scan.items():
+                if sound:
+                    yield from held
+                    held = []
+                if bad is not None:
+                    held.append(("gap", (self.path, *bad[:2], at - bad[0], bad[2])))
+                    bad = None
+                sound += kind == "record"
+                held.append((kind, (self.path, at, start, *((source.whole(), *rest[0]) if kind == "record" else rest))))
+            if source.end is None and sound == 1 and scan.open is None:
+                sound, held, bad = 0, [], was  # the failed check was this record's own
+            yield from held
+            if source.end is None:
+                inner = scan.open[0] if scan.open is not None else scan.base
+                bad, at = bad or (at, inner if sound else None, source.fault), self._next(at + 1)
+                continue
+            if scan.open is not None and sound:
+                yield "gap", (self.path, at, scan.open[0], scan.base - scan.open[0], scan.open[1])
+            elif scan.open is not None:
+                bad = bad or (at, None, scan.open[1])
+            elif bad is not None:
+                yield "gap", (self.path, *bad[:2], at - bad[0], bad[2])
+                bad = None
+            at = source.end
+        if bad is not None:
+            yield "gap", (self.path, *bad[:2], self.size - bad[0], bad[2])
+
+    def _next(self, at: int) -> int:
+        """Where the next member may begin."""
+        rest = Archive(self.file, self.size, at)
+        buffer = b""
+        while piece := rest.pull():
+            buffer = buffer[-len(MAGIC) + 1 :] + piece
+            if (found := buffer.find(MAGIC)) >= 0:
+                return rest.at - len(buffer) + found
+        return self.size
 
 
 def _read(manifest: DataFrame, folder: str, what: str, schema: str, payloads: bool) -> DataFrame:
@@ -275,13 +419,13 @@ def _read(manifest: DataFrame, folder: str, what: str, schema: str, payloads: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
+        types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
         rows, held = [], 0
         made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path, compression=None) as stream:
-                    for kind, row in Salvage(path, stream).items():
+                with store.open_input_file(path) as file:
+                    for kind, row in Salvage(path, file, file.size()).items():
                         if kind != what:
                             continue
                         if kind == "record":
