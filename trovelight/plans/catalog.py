@@ -340,7 +340,8 @@ def sliding_windows(spark, folder):
 
 def sentence_windows(spark, folder):
     packed = sentence_chunks(documents(spark, folder), body="text", size=256, overlap=32)
-    return packed.select("chunk_id", "document_id", "chunk_position", "n_tokens", F.sha2("content", 256).alias("digest"))
+    numbers = [F.col(c).cast("long").alias(c) for c in ("chunk_position", "n_tokens")]
+    return packed.select("chunk_id", "document_id", *numbers, F.sha2("content", 256).alias("digest"))
 
 
 def integrity_report(spark, folder):

@@ -389,6 +389,33 @@ WITH {AUDIT} SELECT count(*) AS document_count, min(token_count) AS minimum_docu
 FROM deduped WHERE status = 'eligible'""",
     "sliding_windows": f"""
 WITH {CHUNKS} SELECT chunk_id, document_id, token_start, token_end, n_tokens, sha256(content) AS digest FROM chunks""",
+    "sentence_windows": rf"""
+WITH RECURSIVE {DOCS},
+parts AS (SELECT document_id, unnest(range(len(ps))) AS par, unnest(ps) AS body
+    FROM (SELECT document_id, string_split_regex(coalesce(text, ''), '\n\s*\n') AS ps FROM docs)),
+spoken AS (SELECT document_id, par, unnest(range(len(ss))) AS k, unnest(ss) AS sentence
+    FROM (SELECT document_id, par, {said(squeeze('body'))} AS ss FROM parts)),
+cut AS (SELECT document_id, par, k, w, unnest(range(0, len(w), 256)) AS o
+    FROM (SELECT document_id, par, k, string_split(sentence, ' ') AS w FROM spoken)),
+units AS (SELECT document_id, par, array_to_string(w[o + 1:o + 256], ' ') AS t, least(256, len(w) - o) AS cost,
+    row_number() OVER (PARTITION BY document_id ORDER BY par, k, o) - 1 AS i FROM cut),
+edges AS (SELECT document_id, i, (sum(cost) OVER (PARTITION BY document_id ORDER BY i) - cost)::BIGINT AS a FROM units
+    UNION ALL SELECT document_id, count(*), sum(cost)::BIGINT FROM units GROUP BY document_id),
+reach AS (SELECT document_id, i,
+    max(i) OVER (PARTITION BY document_id ORDER BY a RANGE BETWEEN CURRENT ROW AND 256 FOLLOWING) AS e,
+    max(i) OVER (PARTITION BY document_id ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND 32 PRECEDING) AS back,
+    max(i) OVER (PARTITION BY document_id) AS n FROM edges),
+steps AS (SELECT s.document_id, s.i, s.e, s.n, CASE WHEN z.back > s.i THEN z.back ELSE s.e END AS follow
+    FROM reach s JOIN reach z ON z.document_id = s.document_id AND z.i = s.e WHERE s.i < s.n),
+walk AS (SELECT document_id, 0::BIGINT AS position, i, e, n, follow FROM steps WHERE i = 0
+    UNION ALL SELECT s.document_id, position + 1, s.i, s.e, s.n, s.follow
+    FROM walk w JOIN steps s ON s.document_id = w.document_id AND s.i = w.follow WHERE w.e < w.n),
+filled AS (SELECT w.document_id, position, w.e = w.n AS is_last, sum(cost)::BIGINT AS n_tokens,
+    list({{'p': par, 't': t}} ORDER BY u.i) AS own, string_agg(t, ' ' ORDER BY u.i) AS content
+    FROM walk w JOIN units u ON u.document_id = w.document_id AND u.i >= w.i AND u.i < w.e GROUP BY ALL),
+told AS (SELECT *, lag(own) OVER (PARTITION BY document_id ORDER BY position) AS before FROM filled)
+SELECT printf('%s::l%d', document_id, position) AS chunk_id, document_id, position AS chunk_position, n_tokens,
+    sha256(content) AS digest FROM told WHERE NOT is_last OR before IS NULL OR own <> before""",
     "integrity_report": f"""
 WITH {TITLED}, d AS (SELECT *, sha256(body) AS sha, len({words('body')}) AS token_count FROM titled),
 {windows('d', 'body', 'c', 256, 32)},
