@@ -534,7 +534,7 @@ def _rounded(rows: DataFrame, names=M.METRICS) -> DataFrame:
 
 def evidence_metrics(spark, folder):
     queries, units, pieces = aligned(spark, folder)
-    _, metrics = study.run_conditions(queries, units, pieces, (BASELINE,))
+    _, metrics = study.run_conditions(queries, units, pieces, FIVE)
     return _rounded(metrics)
 
 
@@ -546,9 +546,8 @@ def condition_means(spark, folder):
 
 def baseline_deltas(spark, folder):
     queries, units, pieces = aligned(spark, folder)
-    pair = (BASELINE, CHUNK_BOUNDED)
-    _, metrics = study.run_conditions(queries, units, pieces, pair)
-    return study.baseline_deltas(metrics, pair).select(
+    _, metrics = study.run_conditions(queries, units, pieces, FIVE)
+    return study.baseline_deltas(metrics, FIVE).select(
         "condition",
         "position",
         F.replace("metric", F.lit("@"), F.lit("_at_")).alias("metric"),
@@ -563,12 +562,12 @@ def merged_means(spark, folder):
 
 
 def wrong_corpus_rate(spark, folder):
-    _, wrong = study.merged_study(by_language(spark, folder), MERGED[:2])
+    _, wrong = study.merged_study(by_language(spark, folder))
     return wrong.select("condition", "dataset", F.round("wrong_corpus_top1", 6).alias("wrong_corpus_top1"))
 
 
 def interference(spark, folder):
-    found = study.interference_study(by_language(spark, folder), MERGED[:1])
+    found = study.interference_study(by_language(spark, folder))
     return found.select(
         "dataset",
         "condition",
@@ -703,11 +702,11 @@ def cache_reuse(spark, folder):
 
 
 def embed_offline(spark, folder):
-    """Hashed vectors of the benchmark texts, one row per non-zero dimension."""
-    rows = table(spark, folder, "benchmark").select(
-        "item_id", F.posexplode(embed("text", HashingEmbedder())).alias("dim", "value")
+    """Hashed vectors of all chunks, one row per non-zero dimension."""
+    rows = chunks(spark, folder).select(
+        "chunk_id", F.posexplode(embed("content", HashingEmbedder())).alias("dim", "value")
     )
-    return rows.filter("value <> 0").select("item_id", F.col("dim").cast("long").alias("dim"), "value")
+    return rows.filter("value <> 0").select("chunk_id", F.col("dim").cast("long").alias("dim"), "value")
 
 
 def embed_resume(spark, folder):
@@ -817,28 +816,31 @@ def question_specs(spark, folder):
 
 
 def canonical_questions(spark, folder):
-    """Answers built from two-document bundles, some of them broken in one way each."""
+    """Answers built from bundles of two chunks, some of them broken in one way each and some asked twice.
+
+    Every chunk is bundled with one of the following document's, whose chunks are
+    taken in turn; the chunks' middle sentences are the evidence.
+    """
     docs = cut_lineage(titled_documents(spark, folder).filter(F.length("body") > 0))
     pieces = sliding_chunks(docs, T.word_tokens(F.col("body")), keep=("title", "url", "source", "category", "date"))
-    first = pieces.filter("chunk_position = 0").withColumn(
-        "n", F.substr("document_id", F.lit(2)).cast("long")
-    )
     entry = F.struct(
         "document_id", "chunk_id", "title", "url", "source", "category", "date", F.col("content").alias("text")
     )
-    one = first.select("n", entry.alias("a"))
-    two = first.select((F.col("n") - 1).alias("n"), entry.alias("b"))
-    pairs = cut_lineage(one.join(two, "n"))
-    query_id = T.query_ordinal_id(F.col("n"), "yq")
-    kind = F.when(F.col("n") % 10 == 9, "null_query").otherwise("comparison_query")
+    listed = cut_lineage(pieces.select(F.substr("document_id", F.lit(2)).cast("long").alias("n"), F.col("chunk_position").alias("p"), entry.alias("e")))
+    n_chunks = listed.groupBy((F.col("n") - 1).alias("n")).agg(F.count(F.lit(1)).alias("m"))
+    one = listed.join(n_chunks, "n").select("n", "p", (F.col("p") % F.col("m")).alias("turn"), F.col("e").alias("a"))
+    two = listed.select((F.col("n") - 1).alias("n"), F.col("p").alias("turn"), F.col("e").alias("b"))
+    pairs = cut_lineage(one.join(two, ["n", "turn"]).withColumn("k", F.col("n") + F.col("p")))
+    query_id = F.concat_ws("-", T.query_ordinal_id(F.col("n"), "yq"), "p")
+    kind = F.when(F.col("k") % 10 == 9, "null_query").otherwise("comparison_query")
     specs = pairs.select(query_id.alias("query_id"), kind.alias("question_type"), F.array("a", "b").alias("documents"))
 
-    def quote(side: str, words: int = 5):
-        start = F.array_join(F.slice(F.split(F.col(side)["text"], " "), 1, words), " ")
+    def quote(side: str):
+        spoken = F.filter(T.sentences(F.col(side)["text"]), lambda x: x != "")
         return F.struct(
             F.col(side)["document_id"].alias("document_id"),
             F.col(side)["chunk_id"].alias("chunk_id"),
-            start.alias("fact"),
+            F.element_at(spoken, (F.floor(F.size(spoken) / 2) + 1).cast("int")).alias("fact"),
         )
 
     wrong = F.struct(
@@ -846,7 +848,8 @@ def canonical_questions(spark, folder):
         F.col("b.chunk_id").alias("chunk_id"),
         F.lit("never stated anywhere").alias("fact"),
     )
-    fault = F.col("n") % 7
+    fault = F.col("k") % 7
+    sound = F.array(quote("a"), quote("b")).cast(schemas.EVIDENCE)
     evidence = (
         F.when(fault == 1, F.array(quote("a")))
         .when(fault == 2, F.array(quote("a"), quote("a")))
@@ -854,7 +857,7 @@ def canonical_questions(spark, folder):
         .otherwise(F.array(quote("a"), quote("b")))
         .cast(schemas.EVIDENCE)
     )
-    raw = pairs.select(
+    first = pairs.select(
         query_id.alias("query_id"),
         F.when(fault == 4, "temporal_query").otherwise(kind).alias("question_type"),
         F.when(fault == 5, "  ").otherwise(F.concat(F.col("a.title"), F.lit("  ?"))).alias("query"),
@@ -862,7 +865,15 @@ def canonical_questions(spark, folder):
         F.lit(1).alias("attempt"),
         evidence.alias("evidence"),
     )
-    kept = Q.canonical_questions(raw, specs)
+    second = pairs.filter("k % 3 = 0").select(
+        query_id.alias("query_id"),
+        kind.alias("question_type"),
+        F.concat(F.col("a.title"), F.lit(" again ?")).alias("query"),
+        F.col("b.title").alias("answer"),
+        F.lit(2).alias("attempt"),
+        sound.alias("evidence"),
+    )
+    kept = Q.canonical_questions(first.unionByName(second), specs)
     return kept.select(
         "query_id",
         F.sha2("query", 256).alias("query_digest"),

@@ -311,18 +311,18 @@ UNION_STUDY = (
 
 
 def _alone(name: str) -> str:
-    """top_{name}: baseline ranking of one dataset against its own chunks."""
+    """{name}_top: every condition's ranking of one dataset against its own chunks."""
     p = f"{name}_"
     return f"""
 {p}chunks AS (SELECT * FROM chunks WHERE dataset = '{name}'),
 {p}queries AS (SELECT * FROM queries WHERE dataset = '{name}'),
 {bm25(p + 'chunks', p + 'queries', p)},
-{p}rank AS (SELECT s.query_id, s.chunk_id,
-    row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.c, 9) DESC, s.chunk_id) AS d,
-    row_number() OVER (PARTITION BY s.query_id ORDER BY b.score DESC, s.chunk_id) AS b
-    FROM sig s JOIN {p}bm b USING (query_id, chunk_id)),
-{p}top AS (SELECT query_id, '{name}' AS condition, chunk_id,
-    row_number() OVER (PARTITION BY query_id ORDER BY 1.0 / (60 + d)::DOUBLE + 1.0 / (60 + b)::DOUBLE DESC, chunk_id) AS rank
+{p}rank AS (SELECT f.query_id, f.condition, f.chunk_id,
+    row_number() OVER (PARTITION BY f.query_id, f.condition ORDER BY f.s DESC, f.chunk_id) AS d,
+    row_number() OVER (PARTITION BY f.query_id, f.condition ORDER BY b.score DESC, f.chunk_id) AS b
+    FROM fused f JOIN {p}bm b USING (query_id, chunk_id)),
+{p}top AS (SELECT query_id, condition, chunk_id,
+    row_number() OVER (PARTITION BY query_id, condition ORDER BY 1.0 / (60 + d)::DOUBLE + 1.0 / (60 + b)::DOUBLE DESC, chunk_id) AS rank
     FROM {p}rank QUALIFY rank <= 10)"""
 
 
@@ -483,18 +483,18 @@ SELECT query_id, q.question_type, least(d0, d1) || ',' || greatest(d0, d1) AS do
     array_to_string(list_sort(list_distinct(flatten(us))), ',') AS gold
 FROM queries q JOIN g USING (query_id) JOIN raw USING (query_id)""",
     "evidence_metrics": f"""
-WITH {CHUNKS}, {TWO_HOP}, {EVAL}, {bm25('chunks', 'queries')}, {BASE_SIGNALS}, {ranked({BASE: 'c'})}, {METRICS}
-SELECT condition, query_id, {VALUES} FROM qm""",
+WITH {CHUNKS}, {TWO_HOP}, {EVAL}, {POOLS}, {QUESTIONS}, {bm25('chunks', 'queries')}, {signals('queries')},
+{ranked(RULES)}, {METRICS} SELECT condition, query_id, {VALUES} FROM qm""",
     "condition_means": f"""
 WITH {CHUNKS}, {TWO_HOP}, {EVAL}, {POOLS}, {QUESTIONS}, {bm25('chunks', 'queries')}, {signals('queries')},
 {ranked(RULES)}, {METRICS} SELECT condition, {MEANS} FROM qm GROUP BY condition""",
     "baseline_deltas": f"""
 WITH {CHUNKS}, {TWO_HOP}, {EVAL}, {POOLS}, {QUESTIONS}, {bm25('chunks', 'queries')}, {signals('queries')},
-{ranked({n: RULES[n] for n in (BASE, BND)})}, {METRICS},
+{ranked(RULES)}, {METRICS},
 m AS (SELECT condition, {AVERAGES} FROM qm GROUP BY condition),
 l AS (UNPIVOT m ON {', '.join(_NAMES.values())} INTO NAME metric VALUE value),
 b AS (SELECT metric, value AS baseline FROM l WHERE condition = '{BASE}')
-SELECT condition, CASE WHEN condition = '{BASE}' THEN 1 ELSE 2 END::BIGINT AS position, metric, round(value, 6) AS value,
+SELECT condition, list_position({list(RULES)}, condition)::BIGINT AS position, metric, round(value, 6) AS value,
     round(baseline, 6) AS baseline, round(value - baseline, 6) AS delta,
     CASE WHEN baseline <> 0 THEN round((value - baseline) / baseline * 100, 3) END AS relative_percent
 FROM l JOIN b USING (metric)""",
@@ -503,20 +503,21 @@ SELECT condition, coalesce(dataset, 'all') AS dataset, {MEANS} FROM j
 GROUP BY GROUPING SETS ((condition), (condition, dataset))""",
     "wrong_corpus_rate": f"""
 WITH {MERGED}, {POOLS}, {QUESTIONS}, {bm25('chunks', 'queries')}, {signals('queries')},
-{ranked({n: UNION_RULES[n] for n in (BASE, BND)})}
+{ranked(UNION_RULES)}
 SELECT condition, dataset, round(avg(CASE WHEN starts_with(chunk_id, dataset || '::') THEN 0 ELSE 1 END), 6) AS wrong_corpus_top1
 FROM top JOIN queries USING (query_id) WHERE rank = 1 GROUP BY ALL""",
     "interference": f"""
-WITH {MERGED}, {bm25('chunks', 'queries')}, {BASE_SIGNALS}, {ranked({BASE: 'c'}).replace('top AS (', 'joint AS (')},
-{_alone('main')}, {_alone('other')},
-top AS (SELECT query_id, 'merged' AS condition, chunk_id, rank FROM joint
-    UNION ALL SELECT query_id, 'alone', chunk_id, rank FROM main_top
-    UNION ALL SELECT query_id, 'alone', chunk_id, rank FROM other_top), {METRICS},
+WITH {MERGED}, {POOLS}, {QUESTIONS}, {bm25('chunks', 'queries')}, {signals('queries')},
+{ranked(UNION_RULES).replace('top AS (', 'joint AS (')}, {_alone('main')}, {_alone('other')},
+top AS (SELECT query_id, 'merged' || condition AS condition, chunk_id, rank FROM joint
+    UNION ALL SELECT query_id, 'alone' || condition, chunk_id, rank FROM main_top
+    UNION ALL SELECT query_id, 'alone' || condition, chunk_id, rank FROM other_top), {METRICS},
 m AS (SELECT condition, q.dataset, {AVERAGES} FROM qm JOIN queries q USING (query_id) GROUP BY ALL),
 l AS (UNPIVOT m ON {', '.join(_NAMES.values())} INTO NAME metric VALUE value),
-w AS (SELECT a.dataset, a.metric, a.value AS alone, b.value AS merged, b.value - a.value AS d FROM l a JOIN l b
-    ON a.dataset = b.dataset AND a.metric = b.metric AND a.condition = 'alone' AND b.condition = 'merged')
-SELECT dataset, '{BASE}' AS condition, 1::BIGINT AS position, metric, round(alone, 6) AS alone,
+w AS (SELECT a.dataset, a.metric, substr(a.condition, 6) AS condition, a.value AS alone, b.value AS merged,
+    b.value - a.value AS d FROM l a JOIN l b ON a.dataset = b.dataset AND a.metric = b.metric
+    AND starts_with(a.condition, 'alone') AND b.condition = 'merged' || substr(a.condition, 6))
+SELECT dataset, condition, list_position({list(UNION_RULES)}, condition)::BIGINT AS position, metric, round(alone, 6) AS alone,
     round(merged, 6) AS merged, round(d, 6) AS delta,
     CASE WHEN d > 0.0005 THEN 'up' WHEN d < -0.0005 THEN 'down' ELSE 'flat' END AS direction FROM w""",
     "question_budget": f"WITH {CHUNKS}, {POOLS} SELECT chunk_id, n_facts, bounded, unbounded FROM budgets",
@@ -566,8 +567,8 @@ FROM (SELECT b.*, c.document_id IN (SELECT document_id FROM known) AS k FROM bud
 WITH {CHUNKS}, {POOLS} SELECT chunk_id AS owner, count(*) AS n_questions, chunk_id AS supports FROM facts
 WHERE document_id IN (SELECT printf('d%07d', doc_id) FROM labels WHERE quality = 1) GROUP BY chunk_id""",
     "embed_offline": f"""
-WITH {hashed('benchmark', 'item_id', 'text', 'e')}
-SELECT item_id, dim, value FROM (SELECT item_id, unnest(range(0, 64)) AS dim, unnest(v) AS value FROM e) WHERE value <> 0""",
+WITH {CHUNKS}, {hashed('chunks', 'chunk_id', 'content', 'e')}
+SELECT chunk_id, dim, value FROM (SELECT chunk_id, unnest(range(0, 64)) AS dim, unnest(v) AS value FROM e) WHERE value <> 0""",
     "embed_resume": f"""
 WITH {hashed("(SELECT * FROM conversations WHERE role = 'user')", 'conv_id, turn', 'text', 'e')}
 SELECT conv_id, turn, list_dot_product(v, v) AS squared_length FROM e""",
@@ -614,12 +615,15 @@ SELECT row_number() OVER (ORDER BY (target - j) / target DESC, label DESC) - 1 A
     "canonical_questions": f"""
 WITH {TITLED.replace('titled AS (', 'titled_all AS (')}, titled AS (SELECT * FROM titled_all WHERE length(body) > 0),
 {windows('titled', 'body', 'c', keep='title')},
-f AS (SELECT *, substr(document_id, 2)::BIGINT AS n FROM c WHERE chunk_position = 0),
-p AS (SELECT a.n, a.title AS title_a, a.chunk_id AS ac, z.title AS title_b, z.chunk_id AS bc FROM f a JOIN f z ON z.n = a.n + 1)
-SELECT printf('yq%05d', n) AS query_id, sha256({squeeze("title_a || '  ?'")}) AS query_digest,
-    CASE WHEN n % 10 = 9 THEN 'null_query' ELSE 'comparison_query' END AS question_type,
-    CASE WHEN n % 10 = 9 THEN '' ELSE ac || ',' || bc END AS gold FROM p
-WHERE {squeeze('title_b')} <> '' AND n % 7 NOT IN (4, 5) AND (n % 10 = 9 OR n % 7 NOT IN (1, 2, 3))""",
+f AS (SELECT *, substr(document_id, 2)::BIGINT AS n, count(*) OVER (PARTITION BY document_id) AS m FROM c),
+p AS (SELECT a.n, a.chunk_position AS p, a.n + a.chunk_position AS k, a.title AS title_a, a.chunk_id AS ac, z.title AS title_b,
+    z.chunk_id AS bc FROM f a JOIN f z ON z.n = a.n + 1 AND z.chunk_position = a.chunk_position % z.m),
+v AS (SELECT *, k % 7 NOT IN (4, 5) AND (k % 10 = 9 OR k % 7 NOT IN (1, 2, 3)) AS once FROM p)
+SELECT printf('yq%05d', n) || '-' || p AS query_id,
+    sha256(CASE WHEN once THEN {squeeze("title_a || '  ?'")} ELSE {squeeze("title_a || ' again ?'")} END) AS query_digest,
+    CASE WHEN k % 10 = 9 THEN 'null_query' ELSE 'comparison_query' END AS question_type,
+    CASE WHEN k % 10 = 9 THEN '' ELSE ac || ',' || bc END AS gold FROM v
+WHERE {squeeze('title_b')} <> '' AND (once OR k % 3 = 0)""",
     "namespaced_chunks": f"""
 WITH {CHUNKS} SELECT d || '::' || chunk_id AS chunk_id, d || '::' || document_id AS document_id, d AS dataset
 FROM (SELECT *, CASE WHEN lang = 'en' THEN 'main' ELSE 'other' END AS d FROM chunks)""",
