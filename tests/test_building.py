@@ -269,3 +269,7 @@ def test_merging_helpers(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 2)], "condition string, v int")
     fresh = spark.createDataFrame([("b", 9)], "condition string, v int")
     assert {(r.condition, r.v) for r in C.upsert_condition(stored, fresh).collect()} == {("a", 1), ("b", 9)}
+    stored = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], "condition string, v int, at int")
+    fresh = spark.createDataFrame([("n", 8, 2), ("b", 9, 1)], "condition string, v int, at int")
+    placed = C.upsert_condition(stored, fresh, order="at").orderBy("at").collect()
+    assert [(r.condition, r.v, r.at) for r in placed] == [("a", 1, 1), ("c", 3, 2), ("b", 9, 3), ("n", 8, 4)]

@@ -88,3 +88,12 @@ def question_violations(questions: DataFrame, documents: DataFrame, chunks: Data
         unknown("gold_chunk_ids", chunks, "chunk_id", "unknown_chunk"),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def question_histogram(questions: DataFrame) -> DataFrame:
+    """(axis, value, n_questions): questions per type and per number of gold documents."""
+    n_documents = F.size(F.array_distinct("gold_document_ids")).cast("string")
+    long = questions.select(F.col("question_type").alias("type"), n_documents.alias("documents"))
+    return long.unpivot([], ["type", "documents"], "axis", "value").groupBy("axis", "value").agg(
+        F.count(F.lit(1)).alias("n_questions")
+    )

@@ -25,10 +25,13 @@ from trovelight.operators.chunking import sentence_chunks, sliding_chunks
 from trovelight.operators.fusion import (
     BASELINE,
     BOTH_BOUNDED,
+    BOTH_UNBOUNDED,
     CHUNK_BOUNDED,
     CHUNK_UNBOUNDED,
     LENIENT_UNBOUNDED,
     MERGED,
+    STRICT_BOTH,
+    STRICT_BOUNDED,
     Condition,
     dense_fusion,
 )
@@ -358,6 +361,33 @@ def integrity_report(spark, folder):
     return I.corpus_violations(cut_lineage(docs), cut_lineage(pieces), 100, 800)
 
 
+def benchmark_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions with gold ids, some of them broken in one way or several."""
+    n = F.substr("query_id", F.lit(2)).cast("long")
+    first, second = F.col("evidence_list")[0], F.col("evidence_list")[1]
+    one, two = first["url"], second["url"]
+    last = F.when(n % 4 == 3, "::c99999").otherwise("::c00")
+    return two_hop_queries(spark, folder).select(
+        "query_id",
+        "query",
+        F.when(n % 5 == 1, "other_query").when(n % 7 == 2, "null_query").otherwise(F.col("question_type")).alias("question_type"),
+        F.when(n % 11 != 3, second["fact"]).alias("answer"),
+        F.when(n % 13 == 4, F.array(one, one)).when(n % 3 == 1, F.array(one, F.concat(two, F.lit("x")))).otherwise(F.array(one, two)).alias("gold_document_ids"),
+        F.col("evidence_list.fact").alias("gold_evidence"),
+        F.array(F.concat(one, F.lit("::c00")), F.concat(two, last)).alias("gold_chunk_ids"),
+        "evidence_list",
+    )
+
+
+def question_integrity(spark, folder):
+    questions = cut_lineage(benchmark_questions(spark, folder))
+    return I.question_violations(questions, documents(spark, folder), chunks(spark, folder))
+
+
+def question_histogram(spark, folder):
+    return I.question_histogram(benchmark_questions(spark, folder))
+
+
 # --- ranking ----------------------------------------------------------------------------------
 
 
@@ -458,6 +488,17 @@ def fusion_rules(spark, folder):
     return rows.select("query_id", F.inline(F.array(*scores)))
 
 
+def strict_fusion(spark, folder):
+    """Scores of the rules that take a missing signal for an error, where all signals are present."""
+    best = _best_per_owner(spark, folder).groupBy("query_id").pivot("owner", ["0", "1", "2"]).agg(F.max("best"))
+    full = best.toDF("query_id", "c", "q", "a").filter(F.col("c").isNotNull() & F.col("q").isNotNull() & F.col("a").isNotNull())
+    scores = [
+        F.struct(F.lit(c.name).alias("condition"), F.round(dense_fusion(c, F.col("c"), F.col("q"), F.col("a")), 6).alias("score"))
+        for c in (STRICT_BOUNDED, STRICT_BOTH, BOTH_UNBOUNDED)
+    ]
+    return full.select("query_id", F.inline(F.array(*scores)))
+
+
 def _shown(rankings: DataFrame) -> DataFrame:
     return rankings.select(
         "query_id",
@@ -892,6 +933,21 @@ def namespaced_chunks(spark, folder):
     return merged.select("chunk_id", "document_id", "dataset")
 
 
+def namespaced_queries(spark, folder):
+    """The nested query tables of two corpora under one namespace."""
+    facts = V.evidence_facts(two_hop_queries(spark, folder))
+    parts = {name: V.query_records(queries, facts, units) for name, (queries, units, _) in by_language(spark, folder).items()}
+    merged = C.union_corpora(parts, C.namespace_queries)
+    return merged.select(
+        "query_id",
+        "dataset",
+        "question_type",
+        F.array_join("required_article_ids", ",").alias("documents"),
+        F.array_join(F.transform("evidence_units", lambda u: F.array_join(u, "|")), ",").alias("units"),
+        F.array_join("gold_chunk_ids", ",").alias("gold"),
+    )
+
+
 def sequence_check(spark, folder):
     """Positions at which the raw and the cleaned document sequence differ."""
     docs = documents(spark, folder)
@@ -906,6 +962,7 @@ QUERIES = {
         tokenize_ascii, tokenize_unicode, normalize_text, sentence_split, rare_terms, url_category,
         sitemap_urls, json_salvage, html_articles, page_titles, body_hash_dedup, token_range_status,
         priority_selection, corpus_statistics, sliding_windows, sentence_windows, integrity_report,
+        question_integrity, question_histogram, strict_fusion, namespaced_queries,
         posting_lists, bm25_idf, bm25_top10, unit_vectors, dense_top10, owner_max, fusion_rules,
         rrf_top10, conditions_top10, locate_fact_exact, alignment_methods, locate_fact_fuzzy,
         unresolved_facts, evaluation_queries, corpus_queries, evidence_metrics, condition_means,

@@ -88,6 +88,14 @@ raw AS (SELECT printf('q%05d', a.doc_id) AS query_id, a.fact || ' ' || b.fact AS
 needs AS (SELECT query_id, 0 AS unit, d0 AS document_id, f0 AS fact FROM raw
     UNION ALL SELECT query_id, 1, d1, f1 FROM raw)"""
 
+# Benchmark questions, some broken (see the catalog).
+BROKEN = """
+t AS (SELECT *, substr(query_id, 2)::BIGINT AS n FROM raw),
+b AS (SELECT query_id, CASE WHEN n % 5 = 1 THEN 'other_query' WHEN n % 7 = 2 THEN 'null_query' ELSE question_type || '_query' END
+    AS question_type, CASE WHEN n % 11 <> 3 THEN f1 END AS answer,
+    CASE WHEN n % 13 = 4 THEN [d0, d0] WHEN n % 3 = 1 THEN [d0, d1 || 'x'] ELSE [d0, d1] END AS ds,
+    [d0 || '::c00', d1 || CASE WHEN n % 4 = 3 THEN '::c99999' ELSE '::c00' END] AS cs FROM t)"""
+
 
 def hits(needs: str, chunks: str, name: str) -> str:
     return f"""
@@ -465,6 +473,14 @@ SELECT query_id, condition, round(score, 6) AS score FROM ("""
         for n, r in {**RULES, "union: " + DBND: UNION_RULES[DBND]}.items()
     )
     + ")",
+    "strict_fusion": f"""
+WITH e AS (SELECT printf('v%07d', vec_id) AS id, embedding::DOUBLE[] AS v, label AS owner FROM embeddings),
+m AS (SELECT q.id AS query_id, c.owner, round(max({cos('q.v', 'c.v')}), 9) AS best FROM e q CROSS JOIN e c GROUP BY ALL),
+s AS (SELECT query_id, max(best) FILTER (owner = 0) AS c, max(best) FILTER (owner = 1) AS b, max(best) FILTER (owner = 2) AS d
+    FROM m GROUP BY query_id HAVING c IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL)
+SELECT query_id, 'Strict chunk questions 5-20' AS condition, round((c + b) / 2, 6) AS score FROM s
+UNION ALL SELECT query_id, 'Strict {DBND[0].lower() + DBND[1:]}', round((c + b + d) / 3, 6) FROM s
+UNION ALL SELECT query_id, '{DUNB}', round((c + b + d) / 3, 6) FROM s""",
     "rrf_top10": f"""
 WITH {CHUNKS}, {BENCH}, {bm25('chunks', 'queries')}, {BASE_SIGNALS}, {ranked({BASE: 'c'})}
 SELECT query_id, condition, rank, chunk_id, round(score, 9) AS score FROM top""",
@@ -627,6 +643,29 @@ WHERE {squeeze('title_b')} <> '' AND (once OR k % 3 = 0)""",
     "namespaced_chunks": f"""
 WITH {CHUNKS} SELECT d || '::' || chunk_id AS chunk_id, d || '::' || document_id AS document_id, d AS dataset
 FROM (SELECT *, CASE WHEN lang = 'en' THEN 'main' ELSE 'other' END AS d FROM chunks)""",
+    "namespaced_queries": f"""
+WITH {MERGED},
+u AS (SELECT query_id, unit, list_sort(list(DISTINCT chunk_id)) AS c FROM units GROUP BY ALL),
+g AS (SELECT query_id, list(c ORDER BY unit) AS us FROM u GROUP BY query_id),
+a AS (SELECT *, dataset || '::' || query_id AS id, dataset || '::' || d0 AS e0, dataset || '::' || d1 AS e1 FROM allowed)
+SELECT q.query_id, q.dataset, question_type, least(e0, e1) || ',' || greatest(e0, e1) AS documents,
+    array_to_string(list_transform(us, lambda x: array_to_string(x, '|')), ',') AS units,
+    array_to_string(list_sort(list_distinct(flatten(us))), ',') AS gold
+FROM queries q JOIN g USING (query_id) JOIN a ON a.id = q.query_id""",
+    "question_integrity": f"""
+WITH {CHUNKS}, {TWO_HOP}, {BROKEN},
+asked AS (SELECT * FROM b WHERE question_type <> 'null_query'),
+gd AS (SELECT query_id, unnest(ds) AS document_id FROM asked), gc AS (SELECT query_id, unnest(cs) AS chunk_id FROM asked)
+SELECT 'missing_fields' AS rule, count(*) AS n_violations FROM b WHERE answer IS NULL
+UNION ALL SELECT 'bad_type', count(*) FROM b WHERE question_type = 'other_query'
+UNION ALL SELECT 'null_with_evidence', count(*) FROM b WHERE question_type = 'null_query'
+UNION ALL SELECT 'not_two_to_four_documents', count(*) FROM asked WHERE len(list_distinct(ds)) NOT BETWEEN 2 AND 4
+UNION ALL SELECT 'unknown_document', count(DISTINCT query_id) FROM gd ANTI JOIN docs USING (document_id)
+UNION ALL SELECT 'unknown_chunk', count(DISTINCT query_id) FROM gc ANTI JOIN chunks USING (chunk_id)""",
+    "question_histogram": f"""
+WITH {DOCS}, {TWO_HOP}, {BROKEN}
+SELECT 'type' AS axis, question_type AS value, count(*) AS n_questions FROM b GROUP BY ALL
+UNION ALL SELECT 'documents', len(list_distinct(ds))::VARCHAR, count(*) FROM b GROUP BY ALL""",
     "sequence_check": f"SELECT doc_id AS position FROM documents WHERE text <> {squeeze('text')}",
 }
 
