@@ -74,7 +74,7 @@ def written(pattern):
                 return [t for branch in arg[1] for t in every(branch)]
             case "SUBPATTERN":
                 return every(arg[-1])
-            case "MAX_REPEAT":
+            case "MAX_REPEAT" | "MIN_REPEAT":
                 low, _, inner = arg
                 return ([""] if low == 0 else []) + every(inner)
             case "ASSERT":
@@ -112,6 +112,9 @@ def test_keywords_and_cues_lose_no_match(spark):
         for name, forms in names.items():
             for text in [a.replace("zzz", forms[0]) for a in around] + [around[0].replace("zzz", n) for n in forms]:
                 texts[text] = name
+    for label, _, pattern in licenses.SHORT:
+        for form, *_ in licenses.TAGS:
+            texts |= {form.split("NAME")[0].replace("[cs]", "s") + t: label for t in written(pattern)}
     for label, _, pattern, *_ in licenses.PLAIN:
         texts |= {t: label for t in written(pattern)}
     patterns = {}
@@ -135,3 +138,55 @@ def test_names_without_the_word_license(spark):
     ]
     found = scanned(spark, [(i, t) for i, (t, _) in enumerate(rows)]).select("doc_id", "labels").collect()
     assert {r.doc_id: r.labels for r in found} == {i: label for i, (_, label) in enumerate(rows)}
+
+
+#: Sentences and the labels that a reader gives them.
+LABELLED = (
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
+    ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+    ("SPDX-License-Identifier: CC-BY-4.0", "cc-by-4.0"),
+    ("SPDX-License-Identifier: CC-BY-NC-ND-4.0", "cc-by-nc-nd-4.0"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3.0"),
+    ("SPDX-License-Identifier: EPL-2.0 AND MIT", "epl-2.0,mit"),
+    ("SPDX-License-Identifier: BSL-1.0", "boost-1.0"),
+    ("SPDX-License-Identifier: OFL-1.1", "ofl-1.1"),
+    ("licensed under the GPLv3", "gpl-3.0"),
+    ("This program is licensed under the GPLv2+.", "gpl-2.0"),
+    ("released under GPL v2", "gpl-2.0"),
+    ("Released under the GNU GPL version 3 or later", "gpl-3.0"),
+    ("available under the LGPL 2.1", "lgpl-2.1"),
+    ("LGPLv2.1+ applies to the library", "lgpl-2.1"),
+    ("our server is AGPLv3", "agpl-3.0"),
+    ("licensed under CC BY-SA 4.0", "cc-by-sa-4.0"),
+    ("Photos: CC BY 3.0", "cc-by-3.0"),
+    ("texts are under CC BY-NC-SA 4.0 unless noted", "cc-by-nc-sa-4.0"),
+    ("dual licensed under MIT or Apache 2.0", "apache-2.0,mit"),
+    ("Dual-licensed under the MIT license and the GPLv2", "gpl-2.0,mit"),
+    ("documentation under the GFDL 1.3", "gfdl"),
+    ("maps under ODbL 1.0", "odbl-1.0"),
+    ("code: CDDL 1.0, docs: EUPL 1.2", "cddl-1.0,eupl-1.2"),
+    ("MPL 1.1 and MPL 2.0 differ", "mpl-1.1,mpl-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ("cc by the editor, 4 of 10", ""),
+    ("the gpl crowd met for lunch", ""),
+    ("she drove 2 miles or 3 and a python slept", ""),
+    ("He was licensed under state law to practise medicine and ruby mining", ""),
+    ("Apache 2.0 served the page", ""),
+    ("mit or without, the bsd daemon smiles", ""),
+)
+
+
+def test_hand_labelled_sentences(spark):
+    found = {r.doc_id: r.labels for r in scanned(spark, [(i, t) for i, (t, _) in enumerate(LABELLED)]).collect()}
+    assert {LABELLED[i][0]: x for i, x in found.items()} == dict(LABELLED)
+
+
+def test_long_and_repeated_texts(spark):
+    long = "word " * 200_000 + "licensed under the GPLv3 " + "word or " * 200_000
+    rows = [(1, long), (1, long), (2, "gpl v2 " * 20_000)]
+    found = scanned(spark, rows).select("doc_id", "n_words", "labels").collect()
+    assert sorted(map(tuple, found)) == [(1, 600_004, "gpl-3.0"), (1, 600_004, "gpl-3.0"), (2, 40_000, "gpl-2.0")]

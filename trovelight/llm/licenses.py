@@ -2,7 +2,8 @@
 
 Rules are regular expressions over the lower-cased words of a text (letters and
 digits, parted by blanks). They come from a table of licenses, each with its
-names, crossed with the phrases in which licenses are named; a rule has a keyword,
+names, crossed with the phrases in which licenses are named, from a table of short
+names that tell a license by themselves, and from openings of license texts; a rule has a keyword,
 a label, a priority, a score and a cue. A text meets only the rules whose keyword it
 holds as a word and whose cue it holds. Both are words that every match of the rule
 holds, so they keep no match from being found; names without a word in common are
@@ -89,9 +90,53 @@ LICENSES = (
     ("curl", "curl", r"(?:the )?curl"),
     ("sleepycat", "sleepycat", r"(?:the )?sleepycat"),
 )
+#: Short names of SPDX and of common use that tell a license wherever they stand: label, keyword, pattern.
+SHORT = (
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl (?:v|version )?1(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl (?:v|version )?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl (?:v|version )?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gplv3", r"(?:gnu )?gplv3(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gpl2", r"(?:gnu )?gpl2"),
+    ("gpl-3.0", "gpl3", r"(?:gnu )?gpl3"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl (?:v|version )?2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl (?:v|version )?2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl (?:v|version )?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.0", "lgplv2", r"(?:gnu )?lgplv2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", r"(?:gnu )?lgplv2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgplv3", r"(?:gnu )?lgplv3(?: 0)?(?: only| or later)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl (?:v|version )?3(?: 0)?(?: only| or later)?"),
+    ("agpl-3.0", "agplv3", r"(?:gnu )?agplv3(?: 0)?(?: only| or later)?"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?: 1 [123])?(?: only| or later)?"),
+    ("mpl-1.1", "mpl", r"mpl (?:v|version )?1 1"),
+    ("mpl-2.0", "mpl", r"mpl (?:v|version )?2(?: 0)?"),
+    ("mpl-2.0", "mplv2", r"mplv2(?: 0)?"),
+    ("epl-1.0", "epl", r"epl (?:v|version )?1(?: 0)?"),
+    ("epl-2.0", "epl", r"epl (?:v|version )?2(?: 0)?"),
+    ("cddl-1.0", "cddl", r"cddl (?:v|version )?1(?: 0)?"),
+    ("eupl-1.2", "eupl", r"eupl (?:v|version )?1 2"),
+    ("cc0-1.0", "cc0", r"cc0 1 0(?: universal)?"),
+    ("cc-by-3.0", "cc", r"cc by 3 0"),
+    ("cc-by-4.0", "cc", r"cc by 4 0"),
+    ("cc-by-sa-3.0", "cc", r"cc by sa 3 0"),
+    ("cc-by-sa-4.0", "cc", r"cc by sa 4 0"),
+    ("cc-by-nc-4.0", "cc", r"cc by nc 4 0"),
+    ("cc-by-nd-4.0", "cc", r"cc by nd 4 0"),
+    ("cc-by-nc-sa-4.0", "cc", r"cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "cc", r"cc by nc nd 4 0"),
+    ("boost-1.0", "bsl", r"bsl 1 0"),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl (?:v|version )?1 1"),
+    ("odbl-1.0", "odbl", r"odbl (?:v|version )?1(?: 0)?"),
+    ("afl-3.0", "afl", r"afl 3 0"),
+    ("osl-3.0", "osl", r"osl 3 0"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("bsd-2-clause", "bsd", r"bsd 2 clause"),
+    ("bsd-3-clause", "bsd", r"bsd 3 clause"),
+)
 #: Cues: a form of naming cannot match a text that lacks its own.
 ANY, UNDER, BY, SPEAKS = "", " under ", "(?:subject to|accordance with|governed by|covered by|compliance with) ", "licen[cs]e"
-CUES = (ANY, UNDER, BY, SPEAKS)
+LISTS = "(?:licen[cs]ed under|licen[cs]e identifier) "
+CUES = (ANY, UNDER, BY, SPEAKS, LISTS)
 #: How licenses are named: pattern around the name, priority, score, cue. Earlier rules win ties.
 FORMS = (
     (r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|provided|published)(?: for use)? under(?: the terms of)? NAME(?: licen[cs]e)?(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?", 3, 1.0, UNDER),
@@ -102,6 +147,12 @@ FORMS = (
 )
 #: A name with its version and the word in between or behind.
 VERSIONED = (r"(?=(?:[^ ]+ ){1,4}licen[cs]e )NAME", 2, 0.85, SPEAKS)
+#: Short names: alone, and as a file's tag.
+TAGS = ((r"NAME(?: licen[cs]e)?", 2, 0.85, ANY), (r"spdx licen[cs]e identifier NAME", 4, 1.0, LISTS))
+#: Words that stand between the licenses of a choice, or in their names.
+BETWEEN = r"(?:the|either|both|terms|of|or|and|only|later|licen[cs]e|version|v?[0-9]+|gnu|general|public|lesser|affero|software|clause|new|revised|simplified|mit|x11|expat|isc|zlib|unlicense|boost|mozilla|eclipse|apache|bsd|cc0?|by|sa|(?:l|a)?gpl(?:v?[0-9])?|mpl|epl)"
+#: A further license of a choice; of low priority, so it suppresses none of those before it.
+CHOICE = (rf"(?:licen[cs]ed under|licen[cs]e identifier) (?:{BETWEEN} ){{1,12}}?(?:or|and) NAME(?: licen[cs]e)?", 1, 0.9, LISTS)
 #: Rules without a license's name, by label, keyword, pattern, priority and score.
 PLAIN = (
     ("gpl", "public", r"(?:gnu )?general public licen[cs]e", 1, 0.8),
@@ -121,6 +172,7 @@ PLAIN = (
 def rules() -> list[tuple[int, str, str, str, int, float, str]]:
     """All rules, in order: number, label, keyword, pattern, priority, score, cue."""
     forms = [(form, x) for form in FORMS for x in LICENSES] + [(VERSIONED, x) for x in LICENSES if "." in x[0]]
+    forms += [(form, x) for form in TAGS for x in SHORT] + [(CHOICE, x) for x in LICENSES]
     made = [(label, word, form.replace("NAME", f"(?:{name})"), priority, score, cue) for (form, priority, score, cue), (label, word, name) in forms]
     return [(i, *r) for i, r in enumerate([*((*r, ANY) for r in PLAIN), *made])]
 
@@ -197,10 +249,12 @@ def detections(texts: DataFrame) -> DataFrame:
         "row", "label", "rule", "priority", "score", F.posexplode(F.arrays_zip(F.split("text", F.col("form"), -1).alias("gap"), F.regexp_extract_all("text", F.col("form"), F.lit(0)).alias("hit"))).alias("k", "part")
     )
     blanks = lambda x: F.length(F.coalesce(x, F.lit(""))) - F.length(F.translate(F.coalesce(x, F.lit("")), " ", ""))
-    sums = parts.withColumns({"gap": blanks(F.col("part.gap")), "hit": blanks(F.col("part.hit"))})
+    sums = parts.withColumns({"gap": blanks(F.col("part.gap")), "hit": blanks(F.col("part.hit")), "has": F.col("part.hit").isNotNull()}).drop("part")
+    # Copies of a row are told here, by numbers alone, and not by their texts before.
+    sums = sums.dropDuplicates(["row", "rule", "k"])
     order = Window.partitionBy("row", "rule").orderBy("k")
     before = F.coalesce(F.sum(F.col("gap") + F.col("hit")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("gap")
-    placed = sums.withColumns({"start": before, "stop": before + F.col("hit") + 1}).filter("part.hit IS NOT NULL").drop("part", "gap", "hit", "k")
+    placed = sums.withColumns({"start": before, "stop": before + F.col("hit") + 1}).filter("has").drop("has", "gap", "hit", "k")
     # In order of start, longest first, a detection lies inside an earlier one if any of these reaches as far; it yields to those of its priority or above.
     earlier = Window.partitionBy("row").orderBy("start", F.col("stop").desc(), F.col("priority").desc(), "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(None).cast("long")
@@ -220,7 +274,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     based = slim.select("doc_id", row.alias("row"), n_words.alias("n_words"), let(words, lambda w: let(wrapped(w), _base)).alias("b"))
     gated = slim.filter(passes).select(row.alias("row"), pieces(ascii_lower(F.col("text")), NOT_ALNUM).alias("words"))
-    per_row = detections(gated.dropDuplicates(["row"])).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    per_row = detections(gated).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
     joined = based.join(per_row, "row", "left")
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     none = F.array().cast("array<string>")
