@@ -64,10 +64,11 @@ def test_against_all_pairs(spark, seed):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
 
 
-@pytest.mark.parametrize("few", [0, 16])
-def test_a_passage_that_many_texts_share(spark, few, monkeypatch):
+@pytest.mark.parametrize(("few", "left"), [(0, 0), (16, 0), (4, 1)])
+def test_a_passage_that_many_texts_share(spark, few, left, monkeypatch):
     """Two thousand texts around one passage, near copies among them: crowded buckets are signed again, and no link is lost."""
     monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "LEFT", left)
     rng = random.Random(21)
     word = lambda: f"q{rng.randint(0, 10**6)}"
     passage, texts = [word() for _ in range(60)], []

@@ -28,8 +28,8 @@ their pairs. What then counts are open buckets, whose members lie in different c
   table of fixed size. Both sets of a pair follow the same order, so they share a token among the first seventh of
   the smaller set and the first quarter of the larger one; a passage that makes up less than six sevenths
   of a text, as it does unless texts that share it are near copies, comes after that seventh.
-  This goes on until no bucket is crowded, or hardly fewer pairs would be made than before; what is left
-  then has its pairs made.
+  This goes on until crowded buckets stand for no more pairs than there are members, a number that grows
+  as the input, or for hardly fewer than before; what is left then has its pairs made.
 
 Components are found by contracting edges towards the
 smaller of two random node numbers, a logarithmic number of rounds.
@@ -66,7 +66,9 @@ SKETCH, FOLD = 32, 8
 #: The 32 orders of buckets, and how many of them are taken at a time.
 ORDERS = (0, 1, 3, 7, 15, 32)
 #: Pairs across components that a member of a bucket may stand for, on average, before the bucket counts as crowded.
-FEW = 16
+FEW = 4
+#: Pairs of all crowded buckets, for each row of members, up to which they are made and nothing is signed again.
+LEFT = 1
 #: log2 of the cells of the table of hot tokens; it is sent to all tasks, a byte a cell.
 HEAT = 22
 #: Sets that a task remembers as sent.
@@ -462,16 +464,15 @@ def _bucket_cells(held: DataFrame) -> DataFrame:
     return held.select("text", F.col("crowded.key").alias("keys"), F.col("crowded.log").alias("logs")).mapInArrow(run, "cell int, log short")
 
 
-def _token_cells(members: DataFrame) -> DataFrame:
+def _token_cells(counts: DataFrame) -> DataFrame:
     """cell, log of tokens with more than a few members, whether these lie in different components or not."""
-    popular = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = heat_cell(batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(1)], ["cell", "log"])
 
-    return popular.select("key", F.log2("n").cast("short").alias("log")).mapInArrow(run, "cell int, log short")
+    return counts.filter(F.col("n") > FEW).select("key", F.log2("n").cast("short").alias("log")).mapInArrow(run, "cell int, log short")
 
 
 def _heated(cells: DataFrame, heat: np.ndarray) -> np.ndarray:
@@ -484,18 +485,20 @@ def _heated(cells: DataFrame, heat: np.ndarray) -> np.ndarray:
 
 
 def _prefixed(texts: DataFrame, heat: np.ndarray) -> DataFrame:
-    """key, node, short: the coolest tokens of every text's set."""
+    """key, node, root, short, stored: the coolest tokens of the set of every row of `texts` (text, node, root)."""
     table = texts.sparkSession.sparkContext.broadcast(heat)  # a byte a cell, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0):
                 tokens, size = shingles(part.column(0))
-                node, _ = nodes_of(tokens, size)
                 row, token, short = prefixes(tokens, size, table.value)
-                yield pa.RecordBatch.from_arrays([_signed(token), _signed(node[row]), pa.array(short)], ["key", "node", "short"])
+                owner = pa.array(row)
+                yield pa.RecordBatch.from_arrays([_signed(token), part.column(1).take(owner), part.column(2).take(owner), pa.array(short)], ["key", "node", "root", "short"])
 
-    return texts.select("text").mapInArrow(run, "key long, node long, short boolean")
+    members = cut_lineage(texts.select("text", "node", "root").mapInArrow(run, "key long, node long, root long, short boolean"))
+    table.destroy()
+    return members
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -512,43 +515,51 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Members (key, node, short, root) of open buckets with few pairs; those of crowded ones, with log2 of these; and the pairs the latter stand for."""
-    rooted = members.join(roots, "node", "left").select("key", "node", "short", F.coalesce("root", "node").alias("root"))
+def _open(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Of members (key, node, root, short): those of open buckets with few pairs; those of crowded ones, with log2 of these;
+    key and n of the buckets with several members; and the pairs that crowded buckets stand for.
+
+    Most buckets have one member or one component and leave by one aggregate, before anything is joined.
+    """
     n, s = F.col("n"), F.col("s")
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.col("short").cast("long")).alias("s"))
+    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("n > 1")
+    counts = cut_lineage(counts.select("key", "n", (F.col("least") < F.col("most")).alias("split")))
+    held = cut_lineage(members.join(counts.filter("split").select("key"), "key", "left_semi"))
+    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.col("short").cast("long")).alias("s"))
     sizes = sizes.groupBy("key").agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(n * s).alias("own"))
     pairs = n * s - F.col("own")
     keys = cut_lineage(sizes.filter(pairs > 0).select("key", (pairs > 2 * FEW * n).alias("many"), F.log2("n").cast("int").alias("log"), pairs.alias("pairs")))
-    held = cut_lineage(rooted.join(keys.drop("pairs"), "key"))
     total = keys.filter("many").agg(F.sum("pairs")).first()[0] or 0
-    return held.filter(~F.col("many")).drop("many", "log"), held.filter("many").drop("many"), total
+    few = held.join(keys.filter(~F.col("many")).select("key"), "key")
+    return few, held.join(keys.filter("many").select("key", "log"), "key"), counts, total
 
 
 def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) that the heads of the buckets have not settled: within the bounds of the fold."""
     found, heat, texts, before = [], np.zeros(1 << HEAT, np.uint8), None, None
-    members = members.withColumn("short", F.lit(True))
+    members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.lit(True).alias("short"))
+    members = cut_lineage(members)
     while True:
-        few, crowded, pairs = _open(members, roots)
-        found.append(_across(few, nodes))
+        few, crowded, counts, pairs = _open(members)
+        # Each lot is a plan of its own: a driver need not hold the broadcasts of all rounds at once.
+        found.append(cut_lineage(_across(few, nodes)))
         if not pairs:
             break
-        if before is not None and pairs > 0.9 * before:
-            found.append(_across(crowded.drop("log"), nodes))
+        if pairs <= LEFT * members.count() or (before is not None and pairs > 0.9 * before):
+            found.append(cut_lineage(_across(crowded.drop("log"), nodes)))
             break
         before = pairs
         if texts is None:
-            keys = crowded.groupBy("node").agg(F.collect_list(F.struct("key", "log")).alias("crowded"))  # of a set's own buckets
+            keys = crowded.groupBy("node", "root").agg(F.collect_list(F.struct("key", "log")).alias("crowded"))  # of a set's own buckets
             asked = cut_lineage(keys.join(nodes.select("node", "place"), "node"))
             source = docs.select(place("doc_id", "text").alias("place"), "text")
-            texts = cut_lineage(source.join(asked, "place"))
-            cells, texts = _bucket_cells(texts), texts.select("node", "text")
+            texts = cut_lineage(source.join(asked, "place").dropDuplicates(["place"]))
+            cells, texts = _bucket_cells(texts), texts.select("text", "node", "root")
         else:
             texts = cut_lineage(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
-            cells = _token_cells(members)
+            cells = _token_cells(counts)
         heat = _heated(cells, heat)
-        members = cut_lineage(_prefixed(texts, heat).distinct())
+        members = _prefixed(texts, heat)
     pairs = reduce(DataFrame.unionByName, found)
     return cut_lineage(pairs.distinct() if len(found) > 1 else pairs)
 
