@@ -14,11 +14,13 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections.abc import Callable
 from functools import reduce
 from itertools import islice
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from trovelight.session import cut_lineage
 SEED = 42
 ATTEMPTS = 3
 
+CALLS = 256  # prompts and answers held as Python strings at a time
+
 FACTS_TASK = (
     "List every distinct atomic fact the text states. Leave out headings, opinion and "
     'inference. Answer with JSON {"facts":[{"fact":"","evidence":"verbatim quote",'
@@ -125,36 +129,58 @@ def parse_reply(reply: str) -> dict:
 
 
 def answered(rows: DataFrame, generator: Generator, task: str, seed: int, prompt: Column) -> DataFrame:
-    """The rows with the model's `answer` to their prompt, as JSON text, or the `failure` of the call; stored."""
-
-    @F.pandas_udf("answer string, failure string")
-    def call(prompts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in prompts:
-            try:
-                out.append((json.dumps(generator(task, text, seed)), None))
-            except Exception as problem:  # kept with its row
-                out.append((None, str(problem) or type(problem).__name__))
-        return pd.DataFrame(out, columns=["answer", "failure"], dtype=object)
+    """The rows with the model's `answer` to their prompt, as JSON text, or the `failure` of the call.
+
+    The caller stores what it makes of them at once, so that no call is made twice. Texts and answers
+    are Python strings for `CALLS` rows at a time.
+    """
+    kind = pa.struct([("answer", pa.string()), ("failure", pa.string())])
+
+    @F.arrow_udf("answer string, failure string")
+    def call(prompts: pa.Array) -> pa.Array:
+        parts = [pa.array([], kind)]
+        for low in range(0, len(prompts), CALLS):
+            out = []
+            for text in prompts.slice(low, CALLS).to_pylist():
+                try:
+                    out.append({"answer": json.dumps(generator(task, text, seed)), "failure": None})
+                except Exception as problem:  # kept with its row
+                    out.append({"answer": None, "failure": str(problem) or type(problem).__name__})
+            parts.append(pa.array(out, kind))
+        return pa.concat_arrays(parts)
 
     asked = rows.withColumn("_reply", call.asNondeterministic()(prompt))
-    return cut_lineage(asked.select(*rows.columns, "_reply.answer", "_reply.failure"))
+    return asked.select(*rows.columns, "_reply.answer", "_reply.failure")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once a row, also where lambdas over arrays refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fresh(items: Column, text: str, limit: float, near: bool, accepted: Column | None = None) -> Column:
     """Items whose text repeats neither an earlier one nor an accepted one; `near` counts similar texts as repeats."""
-    keys = F.transform(items, lambda x: T.normalize(x[text]))
     before = F.transform(accepted, lambda x: T.normalize(x[text])) if accepted is not None else F.array().cast("array<string>")
     if near:
+        keys = F.transform(items, lambda x: T.normalize(x[text]))
 
         @F.pandas_udf("array<int>")
         def kept(new: pd.Series, old: pd.Series) -> pd.Series:
             return pd.Series([fresh_positions(list(n), limit, list(o)) for n, o in zip(new, old, strict=True)])
 
         return F.transform(kept(keys, before), lambda i: F.get(items, i))
-    paired = F.arrays_zip(items.alias("item"), keys.alias("key"))
-    first = F.filter(paired, lambda x, i: (x["key"] != "") & (F.array_position(keys, x["key"]) == i + 1) & ~F.array_contains(before, x["key"]))
-    return F.transform(first, lambda x: x["item"])
+    # Accepted keys come as -1, before the places of their repeats; the first place of a key is fresh.
+    old = F.transform(before, lambda k: F.struct(k.alias("key"), F.lit(-1).alias("at")))
+
+    def unrepeated(held: Column) -> Column:
+        new = F.transform(held, lambda x, i: F.struct(T.normalize(x[text]).alias("key"), i.alias("at")))
+        places = bound(
+            F.array_sort(F.concat(old, new)),
+            lambda marks: F.filter(marks, lambda m, i: (m["key"] != "") & (m["at"] >= 0) & ((i == 0) | (F.get(marks, i - 1)["key"] != m["key"]))),
+        )
+        return F.transform(F.array_sort(F.transform(places, lambda m: m["at"])), lambda i: F.get(held, i))
+
+    return bound(items, unrepeated)
 
 
 def stated_facts(answer: Column, near: bool) -> Column:
@@ -171,7 +197,7 @@ def stated_facts(answer: Column, near: bool) -> Column:
 
 
 def with_facts(texts: DataFrame, generator: Generator, near: bool = True) -> DataFrame:
-    """`texts` (owner, content, ...) with their facts; those that gave none are asked again, then carry a failure."""
+    """`texts` (owner, content, ...) with their facts; those that gave none are asked again, then carry a failure. All parts are stored."""
     columns, done, rest = texts.columns, [], texts
     for _ in range(ATTEMPTS):
         found = cut_lineage(answered(rest, generator, FACTS_TASK, SEED, F.col("content")).withColumn("facts", stated_facts(F.col("answer"), near)).drop("answer"))
@@ -184,11 +210,15 @@ def with_facts(texts: DataFrame, generator: Generator, near: bool = True) -> Dat
     return reduce(DataFrame.unionByName, [*done, last.withColumn("failure", reason)])
 
 
+def fact_texts() -> Column:
+    return F.transform("facts", lambda f: F.struct(f["fact"].alias("fact")))
+
+
 def question_prompt() -> Column:
     """What is asked for a row of the retry state: after the first attempt also what not to repeat, and the facts without a question."""
     numbered = F.transform("facts", lambda f, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), f["fact"]))
     covered = F.flatten(F.transform("accepted", lambda q: q["source_fact_ids"]))
-    open_ids = F.filter(F.transform("facts", lambda _, i: i), lambda i: ~F.array_contains(covered, i))
+    open_ids = F.array_except(F.transform("facts", lambda _, i: i), covered)
     missing = (F.col("budget") - F.size("accepted")).cast("string")
     again = F.concat(
         F.lit("Do not repeat:\n"), F.array_join(F.transform("accepted", lambda q: q["question"]), "\n"),
@@ -217,8 +247,9 @@ def offered_questions(answer: Column, n_facts: Column, supporting: Column) -> Co
 def completed(wanted: DataFrame, generator: Generator, near: bool = True) -> DataFrame:
     """`wanted` (content, facts, supporting, budget, ...) with `accepted`, exactly `budget` questions, and why a list is shorter.
 
-    Each attempt is one plan over the lists that are not complete.
+    Each attempt is one plan over the lists that are not complete. Of facts the state holds the texts alone.
     """
+    wanted = wanted.withColumn("facts", fact_texts())
     state, done = wanted.withColumn("accepted", F.array().cast(QUESTION_TYPE)).withColumn("failure", F.lit(None).cast("string")), []
     for attempt in range(ATTEMPTS):
         complete = F.size("accepted") >= F.col("budget")
@@ -250,7 +281,7 @@ def generate_chunks(todo: DataFrame, generator: Generator, near: bool = True) ->
 
     Where both budgets agree, the pools share one list of questions.
     """
-    found = cut_lineage(with_facts(todo.select(F.col("chunk_id").alias("owner"), "content"), generator, near))
+    found = with_facts(todo.select(F.col("chunk_id").alias("owner"), "content"), generator, near)
     n = F.size("facts")
     budgets = found.withColumns({"unbounded_budget": unbounded_budget(n), "bounded_budget": bounded_budget(n), "supporting": F.array("owner")})
     pools = F.array(
@@ -275,12 +306,12 @@ def generate_articles(todo: DataFrame, generator: Generator, bounded: bool = Tru
 
     A failed document keeps its id, title and chunks beside the error, so that callers can tell placeholders from results.
     """
-    rows = todo.select(F.col("article_id").alias("owner"), "title", "content", F.col("chunk_ids").alias("supporting"), "facts")
+    rows = cut_lineage(todo.select(F.col("article_id").alias("owner"), "title", "content", F.col("chunk_ids").alias("supporting"), "facts"))
     known = rows.filter(F.size("facts") > 0).withColumn("failure", F.lit(None).cast("string"))
-    found = cut_lineage(known.unionByName(with_facts(rows.filter("facts IS NULL OR size(facts) = 0").drop("facts"), generator, near)))
+    found = known.unionByName(with_facts(rows.filter("facts IS NULL OR size(facts) = 0").drop("facts"), generator, near))
     n = F.size("facts")
     budgets = found.withColumn("budget", bounded_budget(n) if bounded else unbounded_budget(n))
-    failed = budgets.filter("failure IS NOT NULL").withColumn("accepted", F.lit(None).cast(QUESTION_TYPE))
+    failed = budgets.filter("failure IS NOT NULL").withColumns({"accepted": F.lit(None).cast(QUESTION_TYPE), "facts": fact_texts()})
     made = completed(budgets.filter("failure IS NULL").drop("failure"), generator, near).unionByName(failed)
     records = made.select(
         F.col("owner").alias("article_id"), "title", F.col("supporting").alias("chunk_ids"), n.alias("n_distinct_article_facts"),
