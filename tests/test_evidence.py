@@ -142,3 +142,12 @@ def test_wrong_corpus_rate(spark):
     queries = spark.createDataFrame([("m::q1", "m"), ("m::q2", "m"), ("o::q1", "o")], "query_id string, dataset string")
     found = {r.dataset: r.wrong_corpus_top1 for r in M.wrong_corpus_rate(rankings, queries).collect()}
     assert found == {"m": 0.5, "o": 0.0}
+
+
+def test_no_matcher_is_made_for_texts_that_lengths_or_equality_settle(monkeypatch):
+    made = []
+    plain = S.SequenceMatcher
+    monkeypatch.setattr(S, "SequenceMatcher", lambda *args: made.append(args) or plain(*args))
+    keys = ["ab" * 2**n for n in range(6)]
+    assert S.fresh_positions([*keys, *keys], 0.9, ["ab"]) == [1, 2, 3, 4, 5]
+    assert made == []

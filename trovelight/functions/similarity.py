@@ -8,6 +8,7 @@ a time. Length and character-count bounds settle most pairs without a match run.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,13 @@ def similarity_at_least(limit: float):
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        values = []
+        values, counted = [], lru_cache(maxsize=1024)(_letters)
         for a, b in zip(left, right):
+            both = len(a) + len(b)
+            # The letters that both have bound every ratio; most pairs need no matcher.
+            if both and 2.0 * np.minimum(counted(a), counted(b)).sum() / both < limit:
+                values.append(None)
+                continue
             matcher = SequenceMatcher(None, a, b)
             bound = min(matcher.real_quick_ratio(), matcher.quick_ratio())
             value = matcher.ratio() if bound >= limit else 0.0
@@ -46,22 +52,30 @@ def fresh_positions(keys: list[str], limit: float, accepted: list[str] | None =
     """Positions kept by a greedy pass that drops keys close to one kept earlier.
 
     ratio(key, old) is at most twice the letters both have over their joint length.
-    That bound is taken against all kept keys at once; only those it cannot rule
-    out are matched, each by the one matcher prepared for it.
+    That bound is taken against all kept keys at once, after the one that lengths alone
+    give; only those it cannot rule out are matched, each by one matcher made when first needed.
     """
     size = len(keys) + len(accepted or [])
-    lengths, letters = np.zeros(size), np.zeros((size, 128), dtype=np.int64)
-    matchers: list[SequenceMatcher] = []
+    lengths, letters = np.zeros(size), np.zeros((size, 128), dtype=np.int32)
+    old_keys: list[str] = []
+    seen: set[str] = set()
+    matchers: dict[int, SequenceMatcher] = {}
     kept: list[int] = []
 
     def keep(key: str, count: np.ndarray) -> None:
-        lengths[len(matchers)], letters[len(matchers)] = len(key), count
-        matchers.append(SequenceMatcher(None, "", key))
+        lengths[len(old_keys)], letters[len(old_keys)] = len(key), count
+        old_keys.append(key)
+        seen.add(key)
 
     def repeats(key: str, count: np.ndarray) -> bool:
-        n = len(matchers)
-        shared = np.minimum(letters[:n], count).sum(axis=1)
-        for old in np.flatnonzero(2.0 * shared >= limit * (lengths[:n] + len(key))):
+        if key in seen and limit <= 1:  # the ratio of equal texts is 1
+            return True
+        n = len(old_keys)
+        near = np.flatnonzero(2.0 * np.minimum(lengths[:n], len(key)) >= limit * (lengths[:n] + len(key)))
+        shared = np.minimum(letters[near], count).sum(axis=1)
+        for old in near[2.0 * shared >= limit * (lengths[near] + len(key))].tolist():
+            if old not in matchers:
+                matchers[old] = SequenceMatcher(None, "", old_keys[old])
             matchers[old].set_seq1(key)
             if matchers[old].ratio() >= limit:
                 return True
