@@ -45,18 +45,17 @@ by `keep_one` and dropped by `classes`. Hash collisions of 64 bits are taken as
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelight.llm.common import col, free_name
-from trovelight.session import cut_lineage
+from trovelight.session import cut_lineage, spent_shuffles_dropped
 
 WORDS = 5
 #: The threshold as a fraction: intersection * UNDER >= OVER * union.
@@ -389,21 +388,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("i", shared).filter(UNDER * F.col("i") >= OVER * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
-@contextmanager
-def spent_shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Have Spark remove an execution's shuffle files at its end: what is needed later is stored."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def _with_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
