@@ -129,14 +129,14 @@ def two_hop_queries(spark: SparkSession, folder: str) -> DataFrame:
 def aligned(spark: SparkSession, folder: str):
     """Evaluation queries, their evidence units and the chunks."""
     pieces = cut_lineage(chunks(spark, folder))
-    queries, units = study.evaluation_set(two_hop_queries(spark, folder), pieces, fuzzy=False)
+    queries, units = study.evaluation_set(cut_lineage(two_hop_queries(spark, folder)), pieces, fuzzy=False)
     return queries, units, pieces
 
 
-def by_language(spark: SparkSession, folder: str):
-    """Two datasets for the merged study: English, and every other language."""
+def by_language(spark: SparkSession, folder: str, raw: DataFrame | None = None):
+    """Two datasets for the merged study: English, and every other language. `raw`: the two-hop queries, if stored already."""
     pieces = cut_lineage(chunks(spark, folder))
-    raw = two_hop_queries(spark, folder)
+    raw = cut_lineage(two_hop_queries(spark, folder)) if raw is None else raw
     english = F.col("lang") == "en"
     same = (F.col("lang") == "en") == (F.col("next_lang") == "en")
     parts = {}
@@ -935,8 +935,9 @@ def namespaced_chunks(spark, folder):
 
 def namespaced_queries(spark, folder):
     """The nested query tables of two corpora under one namespace."""
-    facts = V.evidence_facts(two_hop_queries(spark, folder))
-    parts = {name: V.query_records(queries, facts, units) for name, (queries, units, _) in by_language(spark, folder).items()}
+    raw = cut_lineage(two_hop_queries(spark, folder))
+    facts = V.evidence_facts(raw)
+    parts = {name: V.query_records(queries, facts, units) for name, (queries, units, _) in by_language(spark, folder, raw).items()}
     merged = C.union_corpora(parts, C.namespace_queries)
     return merged.select(
         "query_id",
