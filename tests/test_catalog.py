@@ -49,3 +49,9 @@ def test_crowded_documents_change_nothing(spark, folder):
     plain = retrieve(asked, pieces, conditions).collect()
     apart = retrieve(asked, pieces, conditions, crowd=8).collect()
     assert sorted(plain) == sorted(apart)
+
+
+def test_two_hop_queries_are_made_once_for_all_who_read_them(spark, folder):
+    """What the nested tables read are stored stages; documents would be split again for each use."""
+    read = queries()["namespaced_queries"](spark, folder).inputFiles()
+    assert read and not any("documents.parquet" in name for name in read)
