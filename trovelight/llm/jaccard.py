@@ -5,31 +5,25 @@ token flips one cell of a parity sketch, so two sketches differ in at most as ma
 cells as the sets have tokens that only one of them holds, and for a similarity of
 t that is at most D = (1 - t) / (1 + t) of the sum of the sizes.
 
-* Candidates. Tokens fall into 2^j buckets, each bucket holding the XOR of its
-  tokens. j depends on the size band; a set also takes part in the band of
-  the largest partner it may have. Two sets above the threshold agree on all but D
-  buckets, so by the pigeonhole principle they share a bucket among the first D + 1
-  of each, in any order both follow: fullest buckets first, as those say most. A set
-  whose filled buckets are too few for the argument joins the next band too; a pair
-  is safe as soon as one of the two has enough.
+* Candidates. A set's tokens are put in one order for all sets, those of few sets first, by a table of fixed
+  size of how often tokens occur (its cells are shared by tokens; it changes speed alone). Two sets above the threshold share
+  a token among the first seventh of the smaller one and the first quarter of the larger one. Tokens that are
+  many sets' own, as those of a common passage, come last and are mostly not looked at.
 * Filter. A sketch of 2,048 bits per set, after a fold of it to 512, bounds the difference from below by its Hamming distance.
   Larger sets fill that, so they have a further sketch of at least as many bits as tokens.
 * Verification. Sizes of intersections of the full sets.
 
-Sets, not documents, are joined: copies share one node. In each bucket the members
+Sets, not documents, are joined: copies share one node. In each bucket, the sets that hold a token in their first quarter, the members
 are first held against one head, by one of 32 orders that the bucket's key chooses. Near
 copies share many buckets and so meet many heads, which links groups of thousands without
 their pairs. What then counts are open buckets, whose members lie in different components:
 
-* with at most `FEW` pairs a member across components, these pairs are made, between the components of the bucket.
-* the others are crowded, mostly by a passage that many texts share and that fills whole buckets. A pair
-  whose common buckets are all crowded has both ends among their members, so these alone are signed
-  again, by buckets of one token each, those of crowded buckets last: each token of a crowded bucket heats a cell of a
-  table of fixed size. Both sets of a pair follow the same order, so they share a token among the first seventh of
-  the smaller set and the first quarter of the larger one; a passage that makes up less than six sevenths
-  of a text, as it does unless texts that share it are near copies, comes after that seventh.
-  This goes on until crowded buckets stand for no more pairs than there are members, a number that grows
-  as the input, or for hardly fewer than before; what is left then has its pairs made.
+* with at most `FEW` pairs a member across components, a task goes through these pairs and returns those within the bounds
+  of the sketches. A bucket of many members is dealt out as pairs of blocks of some `BLOCK` members, so no task holds more than two blocks.
+* the others are crowded. A pair whose common buckets are all crowded has both ends among their members, so these
+  alone are signed again, at most twice, while crowded buckets stand for more than `LEFT` pairs a member: by tokens once more, with the table
+  raised by the members that the buckets really have; then by buckets of the parity of several tokens, for texts that hold no rare token
+  but rare combinations. What is crowded then, or was before if that was less, has all its pairs gone through, in blocks.
 
 Components are found by contracting edges towards the
 smaller of two random node numbers, a logarithmic number of rounds.
@@ -63,15 +57,17 @@ OVER, UNDER = 3, 4
 #: Longs of a set's sketch, and of its fold, the sketch of as many cells that it contains.
 SKETCH, FOLD = 32, 8
 #: The 32 orders of buckets, and how many of them are taken at a time.
-ORDERS = (0, 1, 3, 7, 15, 32)
+ORDERS = (0, 4, 32)
 #: Pairs across components that a member of a bucket may stand for, on average, before the bucket counts as crowded.
-FEW = 4
-#: Pairs of all crowded buckets, for each row of members, up to which they are made and nothing is signed again.
-LEFT = 1
-#: log2 of the cells of the table of hot tokens; it is sent to all tasks, a byte a cell.
+FEW = 64
+#: Pairs of all crowded buckets, for each row of members, up to which they are gone through and nothing is signed again.
+LEFT = 128
+#: Members of a block of a bucket, about, and pairs that a task looks at together.
+BLOCK, PAIRS = 1024, 1 << 17
+#: log2 of the cells of the table of frequent tokens; it is sent to all tasks, a byte a cell.
 HEAT = 22
 #: Sets that a task remembers as sent.
-MEMORY = 1_000_000
+MEMORY = 250_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,17 +129,24 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(out) if out else runs[:0]), np.array([len(x) for x in out], np.int64)
 
 
-def nodes_of(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each set, and its parity sketch; empty sets have number 0."""
-    row = np.repeat(np.arange(len(size)), size)
+def nodes_of(tokens: np.ndarray, size: np.ndarray, sketch: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each set, and its parity sketch if wanted; empty sets have number 0."""
     total = np.concatenate(([np.uint64(0)], np.cumsum(mix(tokens + GOLD), dtype=np.uint64)))
     ends = np.cumsum(size)
     node = mix((total[ends] - total[ends - size]) * GOLD + size.astype(np.uint64))
+    node = np.where(size > 0, node, np.uint64(0))
+    if not sketch:
+        return node, np.zeros((len(size), 0), np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
     cells = 64 * SKETCH
     # Cell c is bit c of the sketch; long i of a fold is the XOR of longs i, i + FOLD and so on: again a parity of cells.
     cell = (mix(tokens ^ GOLD) >> np.uint64(64 - (cells - 1).bit_length())).astype(np.int64)
-    parity = (np.bincount(row * cells + cell, minlength=len(size) * cells) & 1).astype(np.uint8).reshape(len(size), cells)
-    return np.where(size > 0, node, np.uint64(0)), np.packbits(parity, axis=1).view(np.uint64)
+    parity = np.empty((len(size), cells), np.uint8)
+    for a in range(0, len(size), 256):  # counts of some rows at a time
+        part = slice((ends - size)[a], ends[a : a + 256][-1])
+        rows = len(size[a : a + 256])
+        parity[a : a + rows] = (np.bincount((row[part] - a) * cells + cell[part], minlength=rows * cells) & 1).reshape(rows, cells)
+    return node, np.packbits(parity, axis=1).view(np.uint64)
 
 
 def wide_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -181,10 +184,14 @@ def prefixes(tokens: np.ndarray, size: np.ndarray, heat: np.ndarray) -> tuple[np
     return row[take], tokens[order][take], short[take]
 
 
-def signatures(tokens: np.ndarray, size: np.ndarray, tell=None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the buckets by which each set is found.
+def signatures(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the buckets by which each set is found: those whose tokens have one parity.
 
-    `tell`, if given, is called with (row, key, first, tokens) of each lot of filled buckets: bucket i of the lot holds tokens[first[i]:first[i + 1]].
+    Tokens fall into 2^j buckets, each holding the XOR of its tokens. j depends on the size band; a set
+    also takes part in the band of the largest partner it may have. Two sets above the threshold differ in D tokens
+    at most, so they agree on all but D buckets and share one among the first D + 1 of each, in any order both follow: fullest
+    first, as those say most. A set with too few filled buckets for the argument joins the next band too; a
+    pair is safe as soon as one of the two has enough.
     """
     own, top = band(size), band(UNDER * size // OVER)
     rows, keys = [], []
@@ -204,8 +211,6 @@ def signatures(tokens: np.ndarray, size: np.ndarray, tell=None) -> tuple[np.ndar
         parity = np.bitwise_xor.reduceat(own_tokens, first)
         row, bucket = row[first], bucket[first]
         key = mix(mix(parity) + mix(bucket * np.uint64(64) + level[row].astype(np.uint64)))
-        if tell is not None:
-            tell(which[row], key, first, own_tokens)
         order = np.lexsort((key, -held, row))
         row, key = row[order], key[order]
         filled = np.bincount(row, minlength=len(which))
@@ -228,8 +233,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with some megabytes of text at most, or one longer text."""
+def _slices(batch: pa.RecordBatch, at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a megabyte of text at most, or one longer text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -271,40 +276,64 @@ def ranked(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return node ^ mix(key & np.uint64(31))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key, rank: the buckets of every document's set, with the node in its rank's dress."""
+def _new(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which nodes a task has not had: copies are the same set. Forgetting some costs time only."""
+    if len(seen) > MEMORY:
+        seen.clear()
+    new = np.zeros(len(node), bool)
+    new[np.unique(node, return_index=True)[1]] = True
+    new &= [x not in seen for x in node.tolist()]
+    seen.update(node[new].tolist())
+    return new
+
+
+def _frequent(docs: DataFrame) -> DataFrame:
+    """cell, log: cells of the table that tokens fall into more often than by chance, and log2 of how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        count = np.zeros(1 << HEAT, np.uint32)
         for batch in batches:
             for part in _slices(batch, 0):
                 tokens, size = shingles(part.column(0))
-                node, _ = nodes_of(tokens, size)
-                # Copies give the same rows; a task sends them once. Forgetting them costs time only.
-                if len(seen) > MEMORY:
-                    seen.clear()
-                new = np.zeros(len(node), bool)
-                new[np.unique(node, return_index=True)[1]] = True
-                new &= [x not in seen for x in node.tolist()]
-                seen.update(node[new].tolist())
-                tokens, size, node = tokens[np.repeat(new, size)], size[new], node[new]
-                row, key = signatures(tokens, size)
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(ranked(key, node[row]))], ["key", "rank"])
+                node, _ = nodes_of(tokens, size, sketch=False)
+                np.add.at(count, heat_cell(tokens[np.repeat(_new(node, seen), size)]), np.uint32(1))
+        # What chance puts together is left out, or nearly every cell of every task would be sent.
+        at = np.flatnonzero(count >= 2 + int(3 * (count.sum() / len(count))))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at].astype(np.int64))], ["cell", "n"])
+
+    return docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.log2(F.sum("n")).cast("short").alias("log"))
+
+
+def _keyed(docs: DataFrame, heat: np.ndarray) -> DataFrame:
+    """key, rank, short: the coolest tokens of every document's set, with the node in its rank's dress."""
+    table = docs.sparkSession.sparkContext.broadcast(heat)  # a byte a cell, whatever the corpus
 
-    return docs.select("text").mapInArrow(run, "key long, rank long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in _slices(batch, 0):
+                tokens, size = shingles(part.column(0))
+                node, _ = nodes_of(tokens, size, sketch=False)
+                new = _new(node, seen)
+                row, key, short = prefixes(tokens[np.repeat(new, size)], size[new], table.value)
+                yield pa.RecordBatch.from_arrays([_signed(key), _signed(ranked(key, node[new][row])), pa.array(short)], ["key", "rank", "short"])
+
+    return docs.select("text").mapInArrow(run, "key long, rank long, short boolean")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and rank, those whose key has several nodes, with the first of these as head.
+    """Of rows sorted by key and rank, those whose key has several nodes, with the first of these as head and what else they have.
 
     One row is held back between batches, so a key of any size streams through.
     """
-    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = None
     head = more = None  # of the key held back: its first node, and whether it has had another
 
-    def part(key: np.ndarray, node: np.ndarray, last: bool) -> pa.RecordBatch:
+    def part(rows: pa.RecordBatch, last: bool) -> pa.RecordBatch:
         nonlocal held, head, more
-        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = (rows.column(i).to_numpy() for i in (0, 1))
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
         key, node = key[new], node[new]
         begins = np.append(True, key[1:] != key[:-1])
         first = np.flatnonzero(begins)
@@ -315,24 +344,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = len(key) if last else len(key) - 1
         emit = several[run][:stop]
         if not last:
-            head, more, held = heads[-1], bool(several[-1]), (key[-1:], node[-1:])
+            head, more, held = heads[-1], bool(several[-1]), rows.slice(int(new[-1]), 1)
             # The last row waits: whether its key has another node may show in the next batch.
+        rest = [x.take(pa.array(new[:stop][emit])) for x in rows.columns[2:]]
         key, found = key[:stop][emit].view(np.uint64), (x[:stop][emit].view(np.uint64) for x in (node, heads[run]))
-        return pa.RecordBatch.from_arrays([_signed(key), *(_signed(ranked(key, x)) for x in found)], ["key", "node", "head"])
+        return pa.RecordBatch.from_arrays([_signed(key), *(_signed(ranked(key, x)) for x in found), *rest], ["key", "node", "head", *rows.schema.names[2:]])
 
     for batch in batches:
         if batch.num_rows:
-            key = np.concatenate((held[0], batch.column(0).to_numpy()))
-            node = np.concatenate((held[1], batch.column(1).to_numpy()))
-            yield part(key, node, False)
-    if len(held[0]):
-        yield part(*held, True)
+            yield part(batch if held is None else pa.concat_batches([held, batch]), False)
+    if held is not None:
+        yield part(held, True)
 
 
 def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """key, node, head of the buckets that more than one set falls into."""
+    """key, node, head, short of the buckets that more than one set falls into."""
     met = keyed.repartition("key").sortWithinPartitions("key", "rank")
-    return met.mapInArrow(_shared, "key long, node long, head long")
+    return met.mapInArrow(_shared, "key long, node long, head long, short boolean")
 
 
 def _near(a: str, b: str, longs: int) -> Column:
@@ -421,33 +449,6 @@ def _of(roots: DataFrame, x: str) -> DataFrame:
     return roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
 
 
-def _bucket_cells(held: DataFrame) -> DataFrame:
-    """cell, log of the tokens of crowded buckets; `held` has texts and their crowded keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hottest = np.zeros(1 << HEAT, np.uint8)
-        for batch in batches:
-            for part in _slices(batch, 0):
-                tokens, size = shingles(part.column(0))
-                keys, logs = (part.column(k).flatten().to_numpy() for k in (1, 2))
-                owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64), pc.list_value_length(part.column(1)).to_numpy())
-                asked = mix(keys.view(np.uint64) + GOLD * owner)
-                order = np.argsort(asked, kind="stable")
-                asked, logs = asked[order], logs[order].astype(np.uint8)
-
-                def mark(row: np.ndarray, key: np.ndarray, first: np.ndarray, own: np.ndarray) -> None:
-                    mine = mix(key + GOLD * row.astype(np.uint64))
-                    at = np.minimum(np.searchsorted(asked, mine), len(asked) - 1)
-                    log = np.where(asked[at] == mine, logs[at], 0).astype(np.uint8)
-                    np.maximum.at(hottest, heat_cell(own), np.repeat(log, np.diff(np.append(first, len(own)))))
-
-                signatures(tokens, size, mark)
-        at = np.flatnonzero(hottest)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(hottest[at].astype(np.int16))], ["cell", "log"])
-
-    return held.select("text", F.col("crowded.key").alias("keys"), F.col("crowded.log").alias("logs")).mapInArrow(run, "cell int, log short")
-
-
 def _token_cells(counts: DataFrame) -> DataFrame:
     """cell, log of tokens with more than a few members, whether these lie in different components or not."""
 
@@ -468,39 +469,85 @@ def _heated(cells: DataFrame, heat: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefixed(texts: DataFrame, heat: np.ndarray) -> DataFrame:
-    """key, node, root, short, stored: the coolest tokens of the set of every row of `texts` (text, node, root)."""
+def _signed_again(texts: DataFrame, heat: np.ndarray | None) -> DataFrame:
+    """key, node, root, short, stored: the coolest tokens of the set of every row of `texts` (text, node, root); without heat its buckets."""
     table = texts.sparkSession.sparkContext.broadcast(heat)  # a byte a cell, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0):
                 tokens, size = shingles(part.column(0))
-                row, token, short = prefixes(tokens, size, table.value)
+                if table.value is None:
+                    row, key = signatures(tokens, size)
+                    short = np.ones(len(row), bool)
+                else:
+                    row, key, short = prefixes(tokens, size, table.value)
                 owner = pa.array(row)
-                yield pa.RecordBatch.from_arrays([_signed(token), part.column(1).take(owner), part.column(2).take(owner), pa.array(short)], ["key", "node", "root", "short"])
+                yield pa.RecordBatch.from_arrays([_signed(key), part.column(1).take(owner), part.column(2).take(owner), pa.array(short)], ["key", "node", "root", "short"])
 
     members = cut_lineage(texts.select("text", "node", "root").mapInArrow(run, "key long, node long, root long, short boolean"))
     table.destroy()
     return members
 
 
+def _meeting(rows: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) within the groups of rows, `ends[i]` being the end of row i's group: across components, one short and not the larger, within the bounds."""
+    at = {name: rows.column(name).to_numpy(zero_copy_only=False) for name in ("lo", "hi", "block", "root", "short", "node", "n")}
+    sketch = np.stack([rows.column(f"s{i}").to_numpy().view(np.uint64) for i in range(FOLD)], 1)
+    n, root, short, node, block = at["n"].astype(np.int64), at["root"], at["short"], at["node"], at["block"]
+    inner = at["lo"] == at["hi"]
+    later = ends - np.arange(len(ends)) - 1
+    before = np.concatenate(([0], np.cumsum(later)))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + PAIRS, "right")) - 1)
+        own = np.arange(start, stop)
+        i = np.repeat(own, later[start:stop])
+        j = np.arange(len(i)) - np.repeat(before[start:stop] - before[start], later[start:stop]) + i + 1
+        take = (root[i] != root[j]) & (inner[i] | (block[i] != block[j]))
+        i, j = i[take], j[take]
+        i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+        take = (UNDER * n[i] >= OVER * n[j]) & (short[i] | (short[j] & (n[i] == n[j])))
+        i, j = i[take], j[take]
+        far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+        take = (UNDER + OVER) * far <= (UNDER - OVER) * (n[i] + n[j])
+        i, j = node[i[take]], node[j[take]]
+        if len(i):
+            found = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1])], ["a", "b"])
+        start = stop
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows sorted by key, lo and hi: those of each such group, which is two blocks at most."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            key, lo, hi = (rows.column(i).to_numpy() for i in range(3))
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            last = int(first[-1])  # the last group may go on in the next batch
+            if last:
+                yield from _meeting(rows.slice(0, last), np.repeat(first[1:], np.diff(first)))
+            held = rows.slice(last)
+    if held is not None:
+        yield from _meeting(held, np.full(held.num_rows, held.num_rows))
+
+
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of the members (key, node, short, root) of a bucket in different components, within the bounds of the fold.
+    """Distinct pairs (a, b) of the members (key, node, short, root, blocks) of a bucket in different components, within the bounds of the fold.
 
-    One of a pair is short and not the larger. Components of a bucket are paired first, so members of one component never meet.
+    Pairs that the bounds rule out are never rows: tasks go through the pairs of two blocks at most in memory.
     """
-    held = members.join(_as(nodes, "a", FOLD), F.col("node") == F.col("a")).drop("node")
-    roots = members.groupBy("key", "root").agg(F.max("short").alias("any_short"))
-    paired = roots.filter("any_short").drop("any_short").join(roots.select("key", F.col("root").alias("other")), "key").filter("root <> other")
-    left = held.filter("short").drop("short").join(paired, ["key", "root"])
-    right = held.select("key", F.col("root").alias("other"), *(F.col(c).alias("b" + c[1:]) for c in held.columns if c.startswith("a")))
-    met = left.join(right, ["key", "other"]).filter(_near("a", "b", FOLD) & (F.col("an") <= F.col("bn")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    held = members.join(_as(nodes, "a", FOLD), F.col("node") == F.col("a"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "root", "short", "node", F.col("an").alias("n"), *(F.col(f"as{i}").alias(f"s{i}") for i in range(FOLD)))
+    return held.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_met, "a long, b long").distinct()
 
 
 def _open(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Of members (key, node, root, short): those of open buckets with few pairs; those of crowded ones, with log2 of these;
+    """Of members (key, node, root, short): those of open buckets with few pairs; those of crowded ones, both with their number of blocks;
     key and n of the buckets with several members; and the pairs that crowded buckets stand for.
 
     Most buckets have one member or one component and leave by one aggregate, before anything is joined.
@@ -512,45 +559,48 @@ def _open(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.col("short").cast("long")).alias("s"))
     sizes = sizes.groupBy("key").agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(n * s).alias("own"))
     pairs = n * s - F.col("own")
-    keys = cut_lineage(sizes.filter(pairs > 0).select("key", (pairs > 2 * FEW * n).alias("many"), F.log2("n").cast("int").alias("log"), pairs.alias("pairs")))
+    keys = cut_lineage(sizes.filter(pairs > 0).select("key", (pairs > 2 * FEW * n).alias("many"), F.ceil(n / BLOCK).cast("int").alias("blocks"), pairs.alias("pairs")))
     total = keys.filter("many").agg(F.sum("pairs")).first()[0] or 0
-    few = held.join(keys.filter(~F.col("many")).select("key"), "key")
-    return few, held.join(keys.filter("many").select("key", "log"), "key"), counts, total
+    few, crowded = (held.join(keys.filter(which).select("key", "blocks"), "key") for which in (~F.col("many"), F.col("many")))
+    return few, crowded, counts, total
 
 
-def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the heads of the buckets have not settled: within the bounds of the fold."""
-    found, heat, texts, before = [], np.zeros(1 << HEAT, np.uint8), None, None
-    members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.lit(True).alias("short"))
-    members = cut_lineage(members)
+def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, heat: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of members (key, node, short) that the heads of the buckets have not settled: within the bounds of the fold."""
+    found, texts, left = [], None, None
+    members = cut_lineage(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "short"))
+    by_tokens = True
     while True:
         few, crowded, counts, pairs = _open(members)
         # Each lot is a plan of its own: a driver need not hold the broadcasts of all rounds at once.
         found.append(cut_lineage(_across(few, nodes)))
         if not pairs:
+            left = None
             break
-        if pairs <= LEFT * members.count() or (before is not None and pairs > 0.9 * before):
-            found.append(cut_lineage(_across(crowded.drop("log"), nodes)))
+        # What all rounds so far have not found lies in the crowded buckets of each of them, so the least of these will do.
+        left = min(left or (pairs, crowded), (pairs, crowded), key=lambda x: x[0])
+        if not by_tokens or pairs <= LEFT * members.count():
             break
-        before = pairs
         if texts is None:
-            keys = crowded.groupBy("node", "root").agg(F.collect_list(F.struct("key", "log")).alias("crowded"))  # of a set's own buckets
-            asked = cut_lineage(keys.join(nodes.select("node", "place"), "node"))
+            asked = cut_lineage(crowded.select("node", "root").distinct().join(nodes.select("node", "place"), "node"))
             source = docs.select(place("doc_id", "text").alias("place"), "text")
-            texts = cut_lineage(source.join(asked, "place").dropDuplicates(["place"]))
-            cells, texts = _bucket_cells(texts), texts.select("text", "node", "root")
+            texts = cut_lineage(source.join(asked, "place").dropDuplicates(["place"]).select("text", "node", "root"))
+            hotter = _heated(_token_cells(counts), heat)
+            by_tokens = bool((hotter > heat).any())
         else:
             texts = cut_lineage(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
-            cells = _token_cells(counts)
-        heat = _heated(cells, heat)
-        members = _prefixed(texts, heat)
+            by_tokens = False
+        members = _signed_again(texts, hotter if by_tokens else None)
+    if left:
+        found.append(cut_lineage(_across(left[1], nodes)))
     pairs = reduce(DataFrame.unionByName, found)
-    return cut_lineage(pairs.distinct() if len(found) > 1 else pairs)
+    return cut_lineage(pairs.distinct()) if len(found) > 1 else pairs
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose connected components are those of all links."""
-    shared = cut_lineage(shared_buckets(_keyed(docs)))
+    heat = _heated(_frequent(docs), np.zeros(1 << HEAT, np.uint8))
+    shared = cut_lineage(shared_buckets(_keyed(docs, heat)))
     stars = shared.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), F.col("key").bitwiseAND(31).alias("o"))
     stars = stars.groupBy("a", "b").agg(F.min("o").alias("o"))
     folded = cut_lineage(_close(stars, nodes, FOLD))
@@ -565,7 +615,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         edges = cut_lineage(found if edges is None else edges.unionByName(found))
         roots = components(edges)
     # Each bucket's head has met all its members.
-    met = _left_open(shared.filter("node <> head").select("key", "node"), docs, nodes, roots)
+    met = _left_open(shared.filter("node <> head").select("key", "node", "short"), docs, nodes, roots, heat)
     met = cut_lineage(_close(met.join(close, ["a", "b"], "left_anti"), nodes, SKETCH))
     met = cut_lineage(_wide_close(met, nodes))
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
