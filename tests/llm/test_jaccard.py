@@ -155,6 +155,45 @@ def test_shared_rows_stream():
         assert sorted(found) == sorted((k, x, first[k]) for k, v in by.items() if len(v) > 1 for x in v)
 
 
+@pytest.mark.parametrize(("blocks", "step"), [(1, 7), (3, 50), (1, 500)])
+def test_pairs_of_a_bucket_are_made_in_blocks(blocks, step):
+    """A bucket gives a task the pairs of two blocks at most, of which only those within the bounds become rows, and each of them once."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 140).astype(np.uint64)
+    held = [np.sort(np.append(pool[rng.random(140) < 0.9], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64))) for _ in range(120)]
+    size = np.array([len(x) for x in held])
+    node, sketch = jaccard.nodes_of(np.concatenate(held), size)
+    root, short, block = rng.integers(0, 60, 120), rng.random(120) < 0.6, rng.integers(0, blocks, 120)
+    rows = sorted((k, min(block[i], o), max(block[i], o), i) for k in (5, 9) for i in range(120) for o in range(blocks) if k == 5 or i % 3 == 0)
+    key, lo, hi, i = (np.array(x) for x in zip(*rows, strict=True))
+    names = ["key", "lo", "hi", "block", "root", "short", "node", "n", *(f"s{k}" for k in range(jaccard.SKETCH))]
+    columns = [key, lo, hi, block[i], root[i], short[i], node[i].view(np.int64), size[i], *(sketch[i, k].view(np.int64) for k in range(jaccard.SKETCH))]
+    table = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names)
+    found = [tuple(r.values()) for b in jaccard._met(table.slice(a, step) for a in range(0, len(key), step)) for r in b.to_pylist()]
+    near = lambda a, b: 4 * size[a] >= 3 * size[b] and 7 * sum(int(x).bit_count() for x in sketch[a] ^ sketch[b]) <= size[a] + size[b]
+    signed = node.view(np.int64)
+    expected = {tuple(sorted((signed[a].item(), signed[b].item()))): (a % 3 == 0) + (b % 3 == 0) for a in range(120) for b in range(120) if root[a] != root[b] and short[a] and size[a] <= size[b] and near(a, b)}
+    expected = sorted(p for p, n in expected.items() for _ in range(2 if n == 2 else 1))
+    everything = sum(root[a] != root[b] for a in range(120) for b in range(a))
+    assert sorted(tuple(sorted(p)) for p in found) == expected
+    assert 0 < len(set(found)) < everything
+
+
+def test_only_wanted_texts_are_fetched(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k}") for k in range(300)] * 2 + [(None, "none"), (7, None)], "doc_id long, text string")
+    wanted = docs.filter("doc_id = 3 OR doc_id IS NULL OR text IS NULL").select(jaccard.place("doc_id", "text").alias("place")).distinct()
+    found = jaccard._texts(docs, wanted).select("text").collect()
+    assert sorted(str(r.text) for r in found) == sorted(["None", "none", *(f"text {k}" for k in range(3, 300, 50))])
+
+
+def test_frequent_tokens_are_told(spark):
+    """What many texts share is hot before any bucket is made."""
+    docs = spark.createDataFrame([(k, " ".join(["a b c d e f", *(f"w{k}x{i}" for i in range(20))])) for k in range(64)], "doc_id long, text string")
+    heat = jaccard._heated(jaccard._frequent(docs), np.zeros(1 << jaccard.HEAT, np.uint8))
+    tokens, _ = jaccard.shingles(pa.array(["a b c d e f"]))
+    assert (heat[jaccard.heat_cell(tokens)] >= 5).all() and np.count_nonzero(heat) < 20
+
+
 def test_shingles_are_those_of_the_words():
     texts = ["", None, "a", " a ", "A b", "b a", "a b c d e", "a  b\nc d e f\x0ba", "é É ß \x1c x y z", "a b c d", "a b c d e a b c d e", "x" * 5000 + " y z", "ab c d e f", "a bc d e f", "\t", "end"]
     array = pa.array(["skip", *texts, "skip"])[1:-1]

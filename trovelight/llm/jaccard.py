@@ -63,9 +63,11 @@ FEW = 64
 #: Pairs of all crowded buckets, for each row of members, up to which they are gone through and nothing is signed again.
 LEFT = 128
 #: Members of a block of a bucket, about, and pairs that a task looks at together.
-BLOCK, PAIRS = 1024, 1 << 17
+BLOCK, PAIRS = 1024, 1 << 16
 #: log2 of the cells of the table of frequent tokens; it is sent to all tasks, a byte a cell.
 HEAT = 22
+#: log2 of the bits of the table of wanted texts, which is sent to all tasks; of the first three bytes of a digest.
+WANTED = 24
 #: Sets that a task remembers as sent.
 MEMORY = 250_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -400,13 +402,32 @@ def _wide_close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter(near).drop("an", "aw", "bn", "bw")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """place, text and what else `wanted` has, of the rows of `docs` whose place is wanted, each place once.
+
+    A table of bits keeps nearly all other texts from being moved; the join is exact.
+    """
+    cell = F.conv(F.hex(F.substring("place", 1, 3)), 16, 10).cast("int").alias("cell")
+    bits = np.zeros(1 << WANTED, bool)
+    bits[wanted.select(cell).distinct().toArrow()["cell"].to_numpy()] = True
+    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 16).astype(np.int64)
+            at = digest[:, 0] << 16 | digest[:, 1] << 8 | digest[:, 2]
+            yield batch.filter(pa.array((table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    likely = docs.select(place("doc_id", "text").alias("place"), "text").mapInArrow(run, "place binary, text string")
+    return likely.join(wanted, "place").dropDuplicates(["place"])
+
+
 def _sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, t: the sets of the nodes in pairs, made anew from the documents that stand for them, and stored."""
     both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut_lineage(both.join(nodes.select("node", "place"), "node"))
-    # A place has one text, so one node; repeated rows share it.
-    texts = docs.select(place("doc_id", "text").alias("place"), "text").join(wanted.select("place"), "place", "left_semi")
-    return cut_lineage(_with_sets(texts).dropDuplicates(["node"]))
+    wanted = cut_lineage(both.join(nodes.select("node", "place"), "node").select("place"))
+    # A place has one text, so one node.
+    return cut_lineage(_with_sets(_texts(docs, wanted)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -493,7 +514,8 @@ def _signed_again(texts: DataFrame, heat: np.ndarray | None) -> DataFrame:
 def _meeting(rows: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) within the groups of rows, `ends[i]` being the end of row i's group: across components, one short and not the larger, within the bounds."""
     at = {name: rows.column(name).to_numpy(zero_copy_only=False) for name in ("lo", "hi", "block", "root", "short", "node", "n")}
-    sketch = np.stack([rows.column(f"s{i}").to_numpy().view(np.uint64) for i in range(FOLD)], 1)
+    sketch = np.stack([rows.column(f"s{i}").to_numpy().view(np.uint64) for i in range(SKETCH)], 1)
+    fold = np.bitwise_xor.reduce(sketch.reshape(len(sketch), SKETCH // FOLD, FOLD), 1)
     n, root, short, node, block = at["n"].astype(np.int64), at["root"], at["short"], at["node"], at["block"]
     inner = at["lo"] == at["hi"]
     later = ends - np.arange(len(ends)) - 1
@@ -509,9 +531,11 @@ def _meeting(rows: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]
         i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
         take = (UNDER * n[i] >= OVER * n[j]) & (short[i] | (short[j] & (n[i] == n[j])))
         i, j = i[take], j[take]
-        far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-        take = (UNDER + OVER) * far <= (UNDER - OVER) * (n[i] + n[j])
-        i, j = node[i[take]], node[j[take]]
+        for bits in (fold, sketch):
+            far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            take = (UNDER + OVER) * far <= (UNDER - OVER) * (n[i] + n[j])
+            i, j = i[take], j[take]
+        i, j = node[i], node[j]
         if len(i):
             found = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1), axis=0)
             yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1])], ["a", "b"])
@@ -535,14 +559,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of the members (key, node, short, root, blocks) of a bucket in different components, within the bounds of the fold.
+    """Distinct pairs (a, b) of the members (key, node, short, root, blocks) of a bucket in different components, within the bounds.
 
     Pairs that the bounds rule out are never rows: tasks go through the pairs of two blocks at most in memory.
     """
-    held = members.join(_as(nodes, "a", FOLD), F.col("node") == F.col("a"))
+    held = members.join(_as(nodes, "a", SKETCH), F.col("node") == F.col("a"))
     held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "root", "short", "node", F.col("an").alias("n"), *(F.col(f"as{i}").alias(f"s{i}") for i in range(FOLD)))
+    held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "root", "short", "node", F.col("an").alias("n"), *(F.col(f"as{i}").alias(f"s{i}") for i in range(SKETCH)))
     return held.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_met, "a long, b long").distinct()
 
 
@@ -566,7 +590,7 @@ def _open(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
 
 
 def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, heat: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of members (key, node, short) that the heads of the buckets have not settled: within the bounds of the fold."""
+    """Pairs (a, b) of members (key, node, short) that the heads of the buckets have not settled: within the bounds of size and sketch."""
     found, texts, left = [], None, None
     members = cut_lineage(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "short"))
     by_tokens = True
@@ -583,8 +607,7 @@ def _left_open(members: DataFrame, docs: DataFrame, nodes: DataFrame, roots: Dat
             break
         if texts is None:
             asked = cut_lineage(crowded.select("node", "root").distinct().join(nodes.select("node", "place"), "node"))
-            source = docs.select(place("doc_id", "text").alias("place"), "text")
-            texts = cut_lineage(source.join(asked, "place").dropDuplicates(["place"]).select("text", "node", "root"))
+            texts = cut_lineage(_texts(docs, asked).select("text", "node", "root"))
             hotter = _heated(_token_cells(counts), heat)
             by_tokens = bool((hotter > heat).any())
         else:
@@ -616,8 +639,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         roots = components(edges)
     # Each bucket's head has met all its members.
     met = _left_open(shared.filter("node <> head").select("key", "node", "short"), docs, nodes, roots, heat)
-    met = cut_lineage(_close(met.join(close, ["a", "b"], "left_anti"), nodes, SKETCH))
-    met = cut_lineage(_wide_close(met, nodes))
+    met = cut_lineage(_wide_close(met.join(close, ["a", "b"], "left_anti"), nodes))
     return edges if met.isEmpty() else cut_lineage(edges.unionByName(_verified(met, _sets(met, docs, nodes))))
 
 
