@@ -38,11 +38,12 @@ by `keep_one` and dropped by `classes`. Hash collisions of 64 bits are taken as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -402,21 +403,31 @@ def _wide_close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter(near).drop("an", "aw", "bn", "bw")
 
 
+def _maybe(wanted: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Tells of places whether they may be among the wanted ones: never no for one that is."""
+    cell = F.conv(F.hex(F.substring("place", 1, 3)), 16, 10).cast("int").alias("cell")
+    bits = np.zeros(1 << WANTED, bool)
+    bits[wanted.select(cell).distinct().toArrow()["cell"].to_numpy()] = True
+    table = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def told(places: pa.Array) -> np.ndarray:
+        digest = np.frombuffer(b"".join(places.to_pylist()), np.uint8).reshape(-1, 16).astype(np.int64)
+        at = digest[:, 0] << 16 | digest[:, 1] << 8 | digest[:, 2]
+        return (table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return told
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """place, text and what else `wanted` has, of the rows of `docs` whose place is wanted, each place once.
 
     A table of bits keeps nearly all other texts from being moved; the join is exact.
     """
-    cell = F.conv(F.hex(F.substring("place", 1, 3)), 16, 10).cast("int").alias("cell")
-    bits = np.zeros(1 << WANTED, bool)
-    bits[wanted.select(cell).distinct().toArrow()["cell"].to_numpy()] = True
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    told = _maybe(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 16).astype(np.int64)
-            at = digest[:, 0] << 16 | digest[:, 1] << 8 | digest[:, 2]
-            yield batch.filter(pa.array((table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(told(batch.column(0))))
 
     likely = docs.select(place("doc_id", "text").alias("place"), "text").mapInArrow(run, "place binary, text string")
     return likely.join(wanted, "place").dropDuplicates(["place"])
@@ -678,7 +689,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     others = own.join(several, "root").filter("place <> stays").select("place")
     gone = cut_lineage(found.filter("doc_id <> component_id").select("place").union(others).distinct())
     here = place(col(docs, doc_id), col(docs, text))
-    rest = docs.join(gone, here == gone["place"], "left_anti")
+    told = _maybe(gone)
+    maybe = F.pandas_udf(lambda places: pd.Series(told(pa.array(places, pa.binary()))), "boolean", F.PandasUDFType.SCALAR)(here)
+    # Rows that are surely not gone need not move to be joined.
+    rest = docs.filter(~maybe).union(docs.filter(maybe).join(gone, here == gone["place"], "left_anti"))
     if several.isEmpty():
         return rest
     mark = free_name(rest, "twice")
