@@ -247,7 +247,8 @@ def offered_questions(answer: Column, n_facts: Column, supporting: Column) -> Co
 def completed(wanted: DataFrame, generator: Generator, near: bool = True) -> DataFrame:
     """`wanted` (content, facts, supporting, budget, ...) with `accepted`, exactly `budget` questions, and why a list is shorter.
 
-    Each attempt is one plan over the lists that are not complete. Of facts the state holds the texts alone.
+    Each attempt is one plan over the lists that are not complete. Of facts the state holds the texts alone, and
+    once a list is complete neither these nor the content.
     """
     wanted = wanted.withColumn("facts", fact_texts())
     state, done = wanted.withColumn("accepted", F.array().cast(QUESTION_TYPE)).withColumn("failure", F.lit(None).cast("string")), []
@@ -261,7 +262,8 @@ def completed(wanted: DataFrame, generator: Generator, near: bool = True) -> Dat
         limit = QUESTION_DUPLICATE_RETRY if attempt else QUESTION_DUPLICATE
         offered = asked.withColumn("_offered", offered_questions(F.col("answer"), F.size("facts"), F.col("supporting")))
         more = fresh(F.col("_offered"), "question", limit, near, F.col("accepted"))
-        state = cut_lineage(offered.withColumn("accepted", F.slice(F.concat("accepted", more), 1, F.col("budget"))).drop("_offered", "answer"))
+        grown = offered.withColumn("accepted", F.slice(F.concat("accepted", more), 1, F.col("budget"))).drop("_offered", "answer")
+        state = cut_lineage(grown.withColumns({c: F.when(~complete, F.col(c)) for c in ("content", "facts")}), codec="zstd")
     else:
         short = F.concat(F.size("accepted").cast("string"), F.lit(" of "), F.col("budget").cast("string"), F.lit(" questions"))
         done.append(state.withColumn("failure", F.when(F.size("accepted") < F.col("budget"), F.coalesce("failure", short))))
@@ -306,12 +308,15 @@ def generate_articles(todo: DataFrame, generator: Generator, bounded: bool = Tru
 
     A failed document keeps its id, title and chunks beside the error, so that callers can tell placeholders from results.
     """
-    rows = cut_lineage(todo.select(F.col("article_id").alias("owner"), "title", "content", F.col("chunk_ids").alias("supporting"), "facts"))
+    rows = cut_lineage(
+        todo.select(F.col("article_id").alias("owner"), "title", "content", F.col("chunk_ids").alias("supporting"), fact_texts().alias("facts")), codec="zstd"
+    )
     known = rows.filter(F.size("facts") > 0).withColumn("failure", F.lit(None).cast("string"))
-    found = known.unionByName(with_facts(rows.filter("facts IS NULL OR size(facts) = 0").drop("facts"), generator, near))
-    n = F.size("facts")
+    asked = with_facts(rows.filter("facts IS NULL OR size(facts) = 0").drop("facts"), generator, near)
+    found = known.unionByName(asked.withColumn("facts", fact_texts())).withColumn("n_facts", F.size("facts"))
+    n = F.col("n_facts")
     budgets = found.withColumn("budget", bounded_budget(n) if bounded else unbounded_budget(n))
-    failed = budgets.filter("failure IS NOT NULL").withColumns({"accepted": F.lit(None).cast(QUESTION_TYPE), "facts": fact_texts()})
+    failed = budgets.filter("failure IS NOT NULL").withColumn("accepted", F.lit(None).cast(QUESTION_TYPE))
     made = completed(budgets.filter("failure IS NULL").drop("failure"), generator, near).unionByName(failed)
     records = made.select(
         F.col("owner").alias("article_id"), "title", F.col("supporting").alias("chunk_ids"), n.alias("n_distinct_article_facts"),
